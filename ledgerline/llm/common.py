@@ -152,7 +152,7 @@ def unpack(blobs: Iterable[bytes], inner: pa.Schema) -> pa.Table:
     """The documents of one block, ordered by id (null first) and text, so that every pass sees one order."""
     z = zstandard.ZstdDecompressor()
     t = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(z.decompress(x)), inner) for x in blobs], inner)
-    return t.sort_by([("__id", "ascending"), ("__text", "ascending")])
+    return t.take(pc.sort_indices(t, sort_keys=[("__id", "ascending"), ("__text", "ascending")], null_placement="at_start"))
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:

@@ -17,7 +17,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(docs).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import substrings
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
