@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import load
+from ledgerline.llm.common import held_out, load
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(docs).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import quality
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, load(spark, sf_dir, "labels").filter(~held_out("doc_id", 3, 1)))
+    return quality.score(docs.withColumn("held_out", held_out("doc_id", 3, 1)), model, keep=["doc_id", "held_out"])
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm import substrings
 
@@ -40,6 +48,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
