@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import held_out, load
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import urls
+
+    return urls.judge(load(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm import decontaminate
 
@@ -74,6 +83,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_filters": op4_url_filters,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -81,4 +91,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+OP4_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), paths AS (
+  SELECT host, path, count(*) AS n FROM parts GROUP BY ALL
+), ruled AS (
+  SELECT host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM paths JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL
+), urls AS (
+  SELECT host, path, rule, verdict, CASE WHEN verdict = 'block' THEN n ELSE 0 END AS blocked, CASE WHEN verdict = 'allow' THEN n ELSE 0 END AS allowed, n,
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs
+  FROM paths LEFT JOIN ruled USING (host, path)
+), steps AS (
+  SELECT host, path, n, blocked, allowed, d AS depth, segs[d] AS seg, array_to_string(segs[1:d - 1], '/') AS parent
+  FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS d FROM urls)
+), children AS (
+  SELECT host, depth, parent, seg, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed FROM steps GROUP BY ALL
+), nodes AS (
+  SELECT host, depth, parent, count(*) AS kinds, sum(n) AS urls, sum(blocked) AS all_blocked, sum(blocked) + sum(allowed) AS all_labelled FROM children GROUP BY ALL
+), named AS (
+  SELECT host, depth, parent, seg, CASE
+    WHEN kinds >= 8 AND urls < 3.0 * kinds THEN '*'
+    WHEN blocked + allowed > 0 AND abs(blocked - (blocked + allowed) * (all_blocked / all_labelled)) <= 2.0 * sqrt((blocked + allowed) * (all_blocked / all_labelled) * (1 - all_blocked / all_labelled) + 0.25) THEN '~'
+    ELSE seg END AS name
+  FROM children JOIN nodes USING (host, depth, parent)
+), told AS (
+  SELECT host, path, string_agg(name, '/' ORDER BY depth) AS template FROM steps JOIN named USING (host, depth, parent, seg) GROUP BY ALL
+), shaped AS (
+  SELECT host, path, rule, verdict, blocked, allowed, '/' || coalesce(template, '') AS template FROM urls LEFT JOIN told USING (host, path)
+), shares AS (
+  SELECT host, template, (sum(blocked) + 1) / (sum(blocked) + sum(allowed) + 2) AS rejected_share FROM shaped GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN rejected_share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template, rejected_share
+FROM parts JOIN shaped USING (host, path) JOIN shares USING (host, template)
+"""
+
+ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL}
