@@ -64,6 +64,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.withColumn("held_out", held_out("doc_id", 3, 1)), model, keep=["doc_id", "held_out"])
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import vectors
+
+    return vectors.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm import substrings
 
@@ -82,6 +88,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filters": op4_url_filters,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
