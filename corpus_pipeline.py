@@ -1,2 +1,69 @@
-STAGES = []
-run = None
+"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage reads what the stage before wrote. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import decontaminate, packing, quality, simhash, substrings
+from ledgerline.llm.common import load, shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier, fitted on labels, rejects."""
+    model = quality.train(docs, load(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter("predicted = 1").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays. Rows without an id stay."""
+    go = simhash.classes(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove words of 20-word windows that start earlier too; a text that loses words is its kept words, others stay as
+    they are. Documents of which nothing is left go."""
+    done = substrings.dedup_substrings(docs.withColumn("original", F.col("text")), carry=["lang", "source", "n_chars", "original"])
+    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("original"))
+    return done.filter("n_removed = 0 or n_removed < n_words").withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an 8-word window of a benchmark item."""
+    leaked = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")).filter(F.size("items") > 0).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins of the permitted lengths."""
+    return packing.pack_documents(docs.select("doc_id", packing.count_words("text").alias("n_tokens")))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_leaked),
+    ("packing", pack),
+]
+
+#: SQL can't express the classifier or SimHash; tests hold every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{where}/{k}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{where}/{k}-{name}")
+    return docs

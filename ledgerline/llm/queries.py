@@ -19,6 +19,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(load(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import lm
+
+    return lm.score(load(spark, sf_dir, "documents").select("doc_id", "text"), held_out=held_out("doc_id", 7, 2))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm import decontaminate
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
