@@ -71,11 +71,11 @@ FIXTURES: dict[str, tuple[str, str, dict[str, str]]] = {
         "entries": "CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey % 100 END", "prior_present": "o_orderkey % 90", "corroboration": "CASE WHEN o_orderkey % 6 = 0 THEN 'CORROBORATED' ELSE NULL END",
     }),
     "inv_journal": ("orders", "true", {
-        "root_id": "concat('root', cast(o_custkey AS VARCHAR(20)))", "at": "o_orderdate", "tie": "o_orderkey",
+        "root_id": "concat('root', cast(o_custkey AS VARCHAR(20)))", "made_at": "o_orderdate", "tie": "o_orderkey",
         "event_type": "CASE o_orderstatus WHEN 'F' THEN 'resource-removed' WHEN 'O' THEN 'resource-added' ELSE 'resource-updated' END", "resource_id": "concat('r', cast(o_orderkey % 50 AS VARCHAR(20)))",
     }),
     "inv_admission": ("orders", "true", {
-        "root_id": "concat('root', cast(o_custkey AS VARCHAR(20)))", "snapshot_id": "concat('s', cast(o_orderkey AS VARCHAR(20)))", "at": "o_orderdate", "tie": "o_orderkey",
+        "root_id": "concat('root', cast(o_custkey AS VARCHAR(20)))", "snapshot_id": "concat('s', cast(o_orderkey AS VARCHAR(20)))", "made_at": "o_orderdate", "tie": "o_orderkey",
         "status": "CASE o_orderstatus WHEN 'F' THEN 'APPLIED' WHEN 'O' THEN 'PENDING' ELSE 'NOOP' END",
     }),
     "inv_evidence": ("lineitem", "true", {
