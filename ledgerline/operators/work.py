@@ -163,14 +163,12 @@ def due_polls(watches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return signals, watches.withColumn("next_due", F.when(is_due(now), now + F.col("interval_s") * 1_000_000).otherwise(F.col("next_due")))
 
 
-def child_signals(verified: DataFrame, entries: DataFrame, now: Column, top: str = "", most: int = 10_000, priority_top: str | None = None) -> DataFrame:
-    """Signals for the directories directly below verified scopes: at most eight levels deep, each once.
-
-    Listings above `most` children are refused before this by the directory check; nothing is cut here.
-    """
+def child_signals(verified: DataFrame, entries: DataFrame, now: Column, priority_top: str | None = None) -> DataFrame:
+    """Signals for the directories directly below verified scopes: at most eight levels deep, each once."""
     from ledgerline.functions.paths import depth, dirname, is_below
 
-    kids = entries.filter("is_dir").join(verified.select("root_id", F.col("scope").alias("__up")), (dirname(F.col("path")) == F.col("__up")) & (entries["root_id"] == verified["root_id"])).select(entries["root_id"], F.col("path").alias("scope")).distinct()
+    tops = verified.select("root_id", F.col("scope").alias("__up"))
+    kids = entries.filter("is_dir").select("root_id", F.col("path").alias("scope"), dirname(F.col("path")).alias("__up")).join(tops, ["root_id", "__up"], "left_semi").select("root_id", "scope").distinct()
     high = F.lit(False) if priority_top is None else (F.col("scope") == priority_top) | is_below(F.col("scope"), F.lit(priority_top))
     return kids.filter(depth(F.col("scope")) <= 8).select("root_id", "scope", F.lit("RECOVERY").alias("source"), F.lit("POSSIBLE_CHANGE").alias("reason"), F.when(high, "HIGH").otherwise("NORMAL").alias("priority"), now.alias("seen_at"), F.lit(None).cast("long").alias("not_before"))
 
