@@ -71,7 +71,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("src").alias("node"), F.col("dst").alias("root"))
         e = C.materialise(e.coalesce(tasks).mapInArrow(_contract, "src long, dst long"), "cc")
         # done if all are stars: nobody points to two nodes, and nobody who is pointed to points on
-        if tasks == 1 or not e.select("src", F.lit(1).alias("k")).union(e.select("dst", F.lit(2))).groupBy("src").agg(F.count_if("k = 1").alias("out"), F.max("k").alias("k")).filter("out > 1 or (out = 1 and k = 2)").head(1):
+        if tasks == 1 or not e.select("src", F.lit(1).alias("k")).union(e.select("dst", F.lit(2))).groupBy("src").agg(F.count_if(F.col("k") == 1).alias("out"), F.max("k").alias("k")).filter("out > 1 or (out = 1 and k = 2)").head(1):
             return e.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(e.select(F.col("dst"), F.col("dst")).distinct())
         # large-star: every larger neighbour of a node points to the smallest of the node and its neighbours
         both = e.union(e.select("dst", "src"))

@@ -70,8 +70,8 @@ def _roll(h: np.ndarray, base: np.uint64, window: int) -> np.ndarray:
 class Block:
     """The words and windows of one block's documents, the same in every pass."""
 
-    def __init__(self, docs: pa.Table, window: int):
-        self.docs, self.window = docs, window
+    def __init__(self, docs: pa.Table, window: int, part: int = SLICE):
+        self.docs, self.window, self.part = docs, window, part
         self.texts = docs.column("__text").to_pylist()
         ids, self.words, self.n = C.word_ids(self.texts, bytes.split)
         self.ids = ids
@@ -120,7 +120,7 @@ class Block:
             cells = self.cells(row, width)
             distinct, at = np.unique(cells, return_inverse=True)
             flag = np.zeros(len(distinct), bool)
-            for s, lo, hi in _runs(distinct // np.uint64(SLICE)):
+            for s, lo, hi in _runs(distinct // np.uint64(self.part)):
                 flag[lo:hi] = np.unpackbits(np.frombuffer(bits[row, s], np.uint8), count=hi - lo).astype(bool)
             ok &= flag[at]
         return np.flatnonzero(ok)
@@ -168,9 +168,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[
         yield last, held
 
 
-def _window_cells(total: int) -> int:
+def _window_cells(total: int, part: int) -> int:
     """Width of a row of the sketch: a power of two, at least four times the windows that `total` bytes can hold at six a word."""
-    return max(SLICE, 1 << int(np.ceil(np.log2(max(1, total) / 6 * 4))))
+    return max(part, 1 << int(np.ceil(np.log2(max(1, total) / 6 * 4))))
 
 
 def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -178,38 +178,39 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: list[str] | None = None, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: list[str] | None = None, digest: bool = False, block_bytes: int = BLOCK_BYTES, part: int = SLICE) -> DataFrame:
     """One row per document: id, text (kept words joined by one space), n_words, n_removed, then the columns in `carry`
     (default: all others). With digest, kept_sha256 stands in for text.
 
     A null text is empty: no words, text "". Null ids rank before all others. Rows that repeat an id rank by start
-    alone, so two equal rows keep or lose the same words. Columns named like a result column are dropped.
+    alone, so two equal rows keep or lose the same words. Columns named like a result column are dropped. block_bytes and
+    part (cells of a slice of the sketch) bound what a task holds.
     """
     made = ["n_words", "n_removed", "kept_sha256" if digest else text_col]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in {id_col, text_col, *made}]
     spark = docs.sparkSession
     total = C.text_bytes(docs, text_col)
-    width = _window_cells(total)
-    blocks, inner = C.pack(docs, id_col, text_col, carry, BLOCK_BYTES, total)
+    width = _window_cells(total, part)
+    blocks, inner = C.pack(docs, id_col, text_col, carry, block_bytes, total)
     parts = C.parts(spark)
     buckets = max(1, -(-total // (16 << 20)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(batches):
-            b = Block(C.unpack((x for r in rows for x in r.column(1).to_pylist()), inner), window)
+            b = Block(C.unpack((x for r in rows for x in r.column(1).to_pylist()), inner), window, part)
             out = []
             for row in range(ROWS):
                 cells = b.cells(row, width)
                 distinct, at = np.unique(cells, return_inverse=True)
                 several = np.bincount(at, weights=b.times, minlength=len(distinct)) > 1
-                for s, lo, hi in _runs(distinct // np.uint64(SLICE)):
-                    part = (distinct[lo:hi] - np.uint64(s * SLICE)).astype(np.uint32)
-                    out.append((s, row, block, C.squeeze(_delta(part), np.packbits(several[lo:hi]))))
+                for s, lo, hi in _runs(distinct // np.uint64(part)):
+                    own = (distinct[lo:hi] - np.uint64(s * part)).astype(np.uint32)
+                    out.append((s, row, block, C.squeeze(_delta(own), np.packbits(several[lo:hi]))))
             yield _table(out, ["slice", "row", "block", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, 4):
-            count = np.zeros(SLICE, np.uint8)
+            count = np.zeros(part, np.uint8)
             asked = []
             for r in rows:
                 for s, row, block, blob in zip(*(r.column(i).to_pylist() for i in range(4)), strict=True):
@@ -223,7 +224,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield _table([(block, row, s, np.packbits(count[cells] > 1).tobytes())], ["block", "row", "slice", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
 
     def send(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window)
+        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window, part)
         pick = b.candidates(right, width)
         bucket = b.h[0][pick] % np.uint64(buckets)
         idv = b.ids_of_docs()
@@ -263,7 +264,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def remove(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
-        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window)
+        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window, part)
         late = [np.cumsum(C.unsqueeze(x)[0], dtype=np.int64) for x in right.column("blob").to_pylist()]
         late = np.concatenate(late) if late else np.empty(0, np.int64)
         gone = np.zeros(len(b.at), bool)
