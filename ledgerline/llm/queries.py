@@ -146,4 +146,63 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN rejected_share >=
 FROM parts JOIN shaped USING (host, path) JOIN shares USING (host, template)
 """
 
-ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL}
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - 18)) AS s FROM d)
+), late AS (
+  SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM late
+), words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(8, len(w)) AS n FROM b WHERE len(w) > 0))
+), sizes AS (
+  SELECT DISTINCT n FROM phrases
+), windows AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)
+), found AS (
+  SELECT doc_id, s, n, item_id FROM windows JOIN phrases USING (n, k)
+), hits AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM found) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?(?:INST|ROLE|NAME|s)[\]>])', '\1\\\2\3', 'g')) AS n,
+    length(regexp_replace(role, '([\[<])(\\*)(/?(?:INST|ROLE|NAME|s)[\]>])', '\1\\\2\3', 'g')) AS r FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 7 ELSE n + r + 19 END)::BIGINT AS formatted_chars, 0::INTEGER AS rewrites
+FROM e GROUP BY 1
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
+    "op4_url_filters": OP4_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
