@@ -6,9 +6,9 @@ linked pair agrees exactly and, going round from one such segment, every prefix
 floor(l * distance / segments) bits (pigeonring principle). Two segments of the chain are the lookup key (the first
 exact, the second with at most one flipped bit); longer chains are tested before the full Hamming distance.
 
-Equal fingerprints collapse first, so a group of copies is one row here. Hot keys (many near fingerprints that share a
-segment) are cut into tiles of bounded size, and tiles meet pairwise; a task keeps a spanning forest of the links it
-finds, never the pairs.
+Equal fingerprints collapse first, so a group of copies is one row here. Keys of one segment that hold more than TILE
+fingerprints are divided by the second segment, where each fingerprint also asks at its one-bit changes; what is still
+larger is cut into tiles that meet pairwise. A task keeps a spanning forest of the links it finds, never the pairs.
 """
 
 from __future__ import annotations
@@ -127,26 +127,34 @@ def link_forest(prints: DataFrame, distance: int = 4, col: str = "simhash") -> D
     prints holds distinct fingerprints as longs. Complete: by the pigeonring principle no linked pair lacks a chain.
     """
     segs, m = segments(distance), distance + 1
-    keys = F.array(*[F.shiftrightunsigned(F.col(col), s).bitwiseAND(F.lit((1 << w) - 1)).cast("int") for s, w in segs])
-    rows = prints.select(F.col(col).alias("fp"), F.posexplode(keys).alias("seg", "key"))
+    value = lambda s, w: F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
+    own = prints.select(F.col(col).alias("fp"))
+    rows = own.select("fp", F.posexplode(F.array(*[value(s, w) for s, w in segs])).alias("seg", "key"))
     sizes = rows.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    cut = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+    # a hot key is divided by the next segment of the chain: a row keeps its value there, and asks at each one-bit change
+    after = F.element_at(F.array(*[value(*segs[(i + 1) % m]) for i in range(m)]), F.col("seg") + 1)
+    width = max(w for _, w in segs)
+    asks = [1 << k for k in range(width)] if 2 * distance // m >= 1 else []
+    whole, divided = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).alias("asks"))), F.array(*[F.struct(after.bitwiseXOR(F.lit(x)).alias("sub"), F.lit(int(x > 0)).alias("asks")) for x in [0, *asks]])
+    placed = rows.join(sizes, ["seg", "key"]).select("seg", "key", "fp", F.explode(F.when(F.col("n") <= TILE, whole).otherwise(divided)).alias("x")).select("seg", "key", "fp", "x.*")
+    tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+    groups = placed.groupBy("seg", "key", "sub").agg(F.count_if(F.col("asks") == 0).alias("n_own"), F.count_if(F.col("asks") == 1).alias("n_asks")).filter("n_own > 0 and n_own + n_asks > 1")
+    groups = groups.select("seg", "key", "sub", tiles("n_own").alias("own"), tiles("n_asks").alias("askers"))
+    pick = F.xxhash64("fp", F.lit(7))
     dealt = (
-        rows.join(sizes, ["seg", "key"])
-        .select("seg", "key", "fp", cut.alias("tiles"))
-        .withColumn("tile", mine)
-        # a tile meets itself and every other: it is sent once to each pair that it takes part in
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("seg", "key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "fp")
+        placed.join(groups, ["seg", "key", "sub"])
+        .withColumn("tile", F.when(F.col("asks") == 0, F.pmod(pick, F.col("own"))).otherwise(F.col("own") + F.pmod(pick, F.greatest("askers", F.lit(1)))).cast("int"))
+        # an own tile meets itself and every other, a tile of askers every own one: a row is sent once to each such pair
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks") == 0, F.col("own") + F.col("askers")).otherwise(F.col("own")) - 1)))
+        .select("seg", "key", "sub", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "fp")
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (seg, key, p, q)."""
+        """Rows arrive sorted by (seg, key, sub, p, q)."""
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
-            k = np.stack([np.asarray(b.column(i)) for i in range(4)])
+            k = np.stack([np.asarray(b.column(i)) for i in range(5)])
             cuts = [0, *(np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1).tolist(), b.num_rows]
             out = []
             for s, e in zip(cuts, cuts[1:], strict=False):
@@ -163,18 +171,18 @@ def link_forest(prints: DataFrame, distance: int = 4, col: str = "simhash") -> D
             yield batch([solve(last, held)])
 
     def solve(key: tuple, held: list[pa.RecordBatch]) -> np.ndarray:
-        seg, _, p, q = key
-        fp = np.concatenate([np.asarray(h.column(5)) for h in held]).view(np.uint64)
+        seg, _, _, p, q = key
+        fp = np.concatenate([np.asarray(h.column(6)) for h in held]).view(np.uint64)
         if p == q:
             return _links(fp, None, seg, segs, distance)
-        tile = np.concatenate([np.asarray(h.column(4)) for h in held])
+        tile = np.concatenate([np.asarray(h.column(5)) for h in held])
         return _links(fp[tile == p], fp[tile == q], seg, segs, distance)
 
     def batch(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], names=["src", "dst"])
 
-    by = ["seg", "key", "p", "q"]
+    by = ["seg", "key", "sub", "p", "q"]
     return dealt.repartition(C.parts(prints.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(meet, "src long, dst long")
 
 
