@@ -56,7 +56,8 @@ class Store:
         if not fs.rename(new, p):
             raise OSError(f"could not commit {root.root_id}")
 
-    def inventory(self, root: Root, like: DataFrame | None = None) -> DataFrame | None:
+    def inventory(self, root: Root) -> DataFrame | None:
+        """The root's current version, or None before its first."""
         return self.spark.read.parquet(f"{self.path}/inventory/{root.root_id}/{root.version}") if root.version else None
 
     def journal(self, root_id: str) -> DataFrame:
@@ -107,9 +108,9 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
     seen = t.filter("resource_id is not null and entry_id is not null").select("root_id", "resource_id", "entry_id").distinct().join(entries.select("root_id", "entry_id", F.col("provider_id").alias("n_id"), F.col("provider_scope").alias("n_scope"), F.col("assurance").alias("n_assurance")), ["root_id", "entry_id"])
     seen = seen.groupBy("root_id", "resource_id").agg(F.max_by(F.struct("n_id", "n_scope", "n_assurance"), "entry_id").alias("n"))
     after = after.join(ids, ["root_id", "resource_id"], "left").join(seen, ["root_id", "resource_id"], "left")
-    now_of = lambda old, new, other=None: F.when(F.col("n").isNotNull(), F.col(f"n.{new}")).otherwise(F.col(old)).alias(old)
-    keep = [c.split()[0] for c in PRIOR.split(", ")]
-    after = after.select(*[now_of(c, {"provider_id": "n_id", "provider_scope": "n_scope", "assurance": "n_assurance"}[c]) if c in ("provider_id", "provider_scope", "assurance") else F.col(c) for c in keep])
+    newer = {"provider_id": "n_id", "provider_scope": "n_scope", "assurance": "n_assurance"}
+    now_of = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{newer[c]}")).otherwise(F.col(c)).alias(c)
+    after = after.select(*[now_of(c) if c in newer else F.col(c) for c in (x.split()[0] for x in PRIOR.split(", "))])
     after.write.parquet(f"{store.path}/inventory/{root_id}/{version}")
     last = spark.createDataFrame([(root_id, root.last_event)], "root_id string, event_seq long")
     events = apply.events(t, g, last)
