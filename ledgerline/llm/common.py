@@ -110,8 +110,9 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts(spark: SparkSession, total_bytes: int = 0) -> int:
+    """Tasks of a shuffle: the session's number, or more where a task would otherwise get over 32 MB of text."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // (32 << 20)))
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, carry: list[str], block_bytes: int, total_bytes: int) -> tuple[DataFrame, pa.Schema]:
@@ -144,8 +145,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, carry: list[str], block_byte
                     blobs.append(z.compress(piece.serialize()))
                 yield pa.RecordBatch.from_arrays([pa.array(at[order][cut], pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
-    # bound to n at most, so that no shuffle has more tasks than blocks
-    return src.mapInArrow(run, "block long, blob binary").repartition(max(parts(df.sparkSession), 1), "block"), inner
+    return src.mapInArrow(run, "block long, blob binary").repartition(parts(df.sparkSession, total_bytes), "block"), inner
 
 
 def unpack(blobs: Iterable[bytes], inner: pa.Schema) -> pa.Table:

@@ -205,7 +205,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     total = C.text_bytes(src, "text")
     blocks, inner = C.pack(src, "doc_id", "text", ["held_out"], BLOCK_BYTES, total)
     slices = max(1, -(-total // (16 << 20)))
-    parts = C.parts(spark)
+    parts = C.parts(spark, total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(batches):

@@ -192,7 +192,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = C.text_bytes(docs, text_col)
     width = _window_cells(total, part)
     blocks, inner = C.pack(docs, id_col, text_col, carry, block_bytes, total)
-    parts = C.parts(spark)
+    parts = C.parts(spark, total)
     buckets = max(1, -(-total // (16 << 20)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
