@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, packing, quality, simhash, substrings
-from ledgerline.llm.common import load, shared_dir
+from ledgerline.llm.common import load, materialise, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,7 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays. Rows without an id stay."""
-    go = simhash.classes(docs).filter("doc_id <> component_id").select("doc_id")
+    # a stored list of ids has a known size: the join broadcasts it where it is small, and else doesn't
+    go = materialise(simhash.classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -38,7 +39,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an 8-word window of a benchmark item."""
-    leaked = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")).filter(F.size("items") > 0).select("doc_id").distinct()
+    leaked = materialise(decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")).filter(F.size("items") > 0).select("doc_id").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
 
 
