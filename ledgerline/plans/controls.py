@@ -12,7 +12,11 @@ from ledgerline.sources import listings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-AT = F.lit(NOW)
+
+
+def at():
+    return F.lit(NOW)
+
 C = F.col
 
 
@@ -68,9 +72,9 @@ def p19_directory_coverage(spark, d):
     n = e.groupBy("root_id", "parent_ref").agg(F.count("*").alias("k"))
     rows = e.join(n, ["root_id", "parent_ref"]).select(
         "root_id", C("parent_ref").alias("scope"), F.lit(5).alias("generation"), F.when(C("root_id") == "root20", 6).otherwise(5).alias("current_generation"), "name", (C("k") + F.when(C("parent_ref") == "/de", 1).otherwise(0)).alias("declared"),
-        F.lit("PARTIAL").alias("traversal"), F.lit("FRESH_REFRESHED").alias("freshness"), (AT - F.when(C("root_id") == "root40", 180_000_000).otherwise(1_000_000)).alias("observed_at"),
+        F.lit("PARTIAL").alias("traversal"), F.lit("FRESH_REFRESHED").alias("freshness"), (at() - F.when(C("root_id") == "root40", 180_000_000).otherwise(1_000_000)).alias("observed_at"),
     )
-    return controls.coverage_ok(rows, AT)
+    return controls.coverage_ok(rows, at())
 
 
 _REC = with_sql("inv_admission") + ", s AS (SELECT root_id, snapshot_id, tie, CASE tie % 4 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'SUBMITTED' ELSE 'RECONCILED' END AS lifecycle FROM inv_admission)"
@@ -95,8 +99,8 @@ w AS (SELECT c.root_id, c.scope, CASE WHEN lifecycle IS NULL OR lifecycle <> 'AC
 def t19_scoped_fence(spark, d):
     w, r = _get(spark, d, "inv_work", "inv_root")
     k = C("tie")
-    claims = w.select("root_id", "scope", (k % 25).alias("generation"), (k % 2).alias("frontier"), (k % 3).alias("revision"), F.lit(1).alias("epoch"), F.when(k % 7 == 0, 2).otherwise(1).alias("claimed_epoch"), (AT - k % 150 * 1_000_000 + 10_000_000).alias("read_at"))
-    return controls.fenced(claims, r.withColumn("frontier", F.lit(0)).withColumn("revision", F.lit(0)), AT)
+    claims = w.select("root_id", "scope", (k % 25).alias("generation"), (k % 2).alias("frontier"), (k % 3).alias("revision"), F.lit(1).alias("epoch"), F.when(k % 7 == 0, 2).otherwise(1).alias("claimed_epoch"), (at() - k % 150 * 1_000_000 + 10_000_000).alias("read_at"))
+    return controls.fenced(claims, r.withColumn("frontier", F.lit(0)).withColumn("revision", F.lit(0)), at())
 
 
 _BIND = with_sql("inv_watch") + f""", b AS (SELECT root_id, scope, scope AS resource_id, scope AS path, 'x' AS digest, failures AS revision, CASE WHEN interval_s % 5 = 0 THEN 'RETIRED' WHEN interval_s % 5 = 1 THEN 'EXPIRED' ELSE 'ACTIVE' END AS lifecycle, next_due AS lease_until, interval_s AS epoch FROM inv_watch WHERE interval_s % 7 <> 0),
@@ -112,7 +116,7 @@ def _bindings(spark, d) -> DataFrame:
 @check(_BIND + f" SELECT root_id, scope, step, CASE step WHEN 'BIND' THEN 1 WHEN 'REBIND' THEN epoch + 1 ELSE epoch END AS epoch, CASE WHEN step IN ('BIND', 'REBIND', 'RENEW') THEN {NOW} + {60 * MINUTE} ELSE lease_until END AS lease_until FROM m")
 def t10_binding_steps(spark, d):
     w = fixture(spark, d, "inv_watch").select("root_id", "scope", C("scope").alias("resource_id"), C("scope").alias("path"), F.when(C("failures") == 3, "y").otherwise("x").alias("digest"), C("failures").alias("revision"))
-    return controls.step_bindings(_bindings(spark, d), w, AT, 60 * MINUTE)
+    return controls.step_bindings(_bindings(spark, d), w, at(), 60 * MINUTE)
 
 
 @check(_BIND + " SELECT b.root_id, b.scope, b.resource_id, b.path, b.digest, b.revision, b.lifecycle, b.lease_until, b.epoch, failures AS version, CASE WHEN (b.root_id, b.scope) > ('root2', '/d3') THEN 0 ELSE 1 END AS band FROM b JOIN inv_watch USING (root_id, scope) WHERE lifecycle <> 'RETIRED' ORDER BY band, root_id, scope LIMIT 5")
@@ -193,7 +197,7 @@ def f30_discovery_children(spark, d):
 
     f = fixture(spark, d, "inv_path").select(F.concat(F.lit("root"), C("page_id") % 3).alias("root_id"), dirname(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)).alias("path")).filter("path <> '/'").withColumn("is_dir", F.lit(True))
     tops = f.select("root_id").distinct().withColumn("scope", F.lit("/"))
-    return work.child_signals(tops, f, AT, priority_top="/en")
+    return work.child_signals(tops, f, at(), priority_top="/en")
 
 
 _MOUNT = "WITH m AS (SELECT concat('root', s_suppkey % 20) AS root_id, CASE WHEN s_suppkey % 13 = 0 THEN concat('/m', s_suppkey - 20, '/x') ELSE concat('/m', s_suppkey) END AS mount, CASE WHEN s_suppkey % 17 = 0 THEN 'ftp' ELSE 's3' END AS driver FROM supplier)"
@@ -243,11 +247,11 @@ def t9_admit_children(spark, d):
     w = fixture(spark, d, "inv_watch").withColumn("source_set", F.when(C("enrolled"), F.array(F.lit("BACKSTOP_ENROLL"))).otherwise(F.array(F.lit("OPERATOR_POLICY"))))
     i, f = C("interval_s"), C("failures") % 4
     rows = (
-        w.withColumn("child_priority", F.when(i % 13 == 0, "HIGH").otherwise("NORMAL")).withColumn("proof_ok", i % 11 != 0).withColumn("changed_at", AT - i % 10 * 1_000_000)
-        .withColumn("work_state", F.when(f == 1, "VERIFIED").when(f == 2, "PENDING").when(f == 3, "BLOCKED")).withColumn("verified_at", F.when(i % 3 != 0, AT - 5_000_000)).withColumn("verified_seq", F.lit(1)).withColumn("signal_seq", F.lit(2)).withColumn("attempts", F.lit(1))
+        w.withColumn("child_priority", F.when(i % 13 == 0, "HIGH").otherwise("NORMAL")).withColumn("proof_ok", i % 11 != 0).withColumn("changed_at", at() - i % 10 * 1_000_000)
+        .withColumn("work_state", F.when(f == 1, "VERIFIED").when(f == 2, "PENDING").when(f == 3, "BLOCKED")).withColumn("verified_at", F.when(i % 3 != 0, at() - 5_000_000)).withColumn("verified_seq", F.lit(1)).withColumn("signal_seq", F.lit(2)).withColumn("attempts", F.lit(1))
         .withColumn("error_class", F.lit(None).cast("string")).withColumn("work_priority", F.when(i % 2 == 0, "NORMAL").otherwise("LOW")).withColumn("not_before", F.lit(None).cast("long"))
     )
-    return work.admit_children(rows, AT, 3600).select("root_id", "scope", "verdict")
+    return work.admit_children(rows, at(), 3600).select("root_id", "scope", "verdict")
 
 
 _DISC = with_sql("inv_path", "inv_root") + f""", f AS (SELECT concat('root', page_id % 40) AS root_id, page_id, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') AS scope FROM inv_path),
@@ -265,9 +269,9 @@ def j11_first_discovery(spark, d):
     new = f.withColumn("up", parent_scope(C("scope")))
     state = lambda df, s, p, v, a: df.select("root_id", "scope", F.lit(s).alias("work_state"), F.lit(p).alias("priority"), v.alias("verified_at"), F.lit(a).alias("attempts"), F.array(F.lit("RECOVERY")).alias("sources"), F.array(F.lit("POSSIBLE_CHANGE")).alias("reasons"), F.lit(None).cast("long").alias("not_before"), "first_seen", F.lit(None).cast("string").alias("error_class"))
     none = F.lit(None).cast("long")
-    w = state(new.withColumn("first_seen", AT - C("page_id") * 1000), "PENDING", "NORMAL", none, 0)
-    ups = state(new.select("root_id", C("up").alias("scope")).distinct().withColumn("first_seen", AT), "VERIFIED", "LOW", AT, 1)
+    w = state(new.withColumn("first_seen", at() - C("page_id") * 1000), "PENDING", "NORMAL", none, 0)
+    ups = state(new.select("root_id", C("up").alias("scope")).distinct().withColumn("first_seen", at()), "VERIFIED", "LOW", at(), 1)
     inv = f.filter("page_id % 5 <> 0").select("root_id", F.concat(F.lit("/mnt"), "scope").alias("path")).unionByName(new.filter("up <> '/fr'").select("root_id", F.concat(F.lit("/mnt"), "up").alias("path")).distinct())
     inv = inv.select("root_id", "path", F.lit("PRESENT").alias("presence"), F.lit(True).alias("is_dir"), F.lit("NONE").alias("evidence"))
     adapters = f.select("root_id").distinct().select("root_id", F.lit("alist").alias("kind"), F.lit("/mnt/").alias("base_path"))
-    return selectors.first_discovery(w.unionByName(ups), fixture(spark, d, "inv_root"), adapters, inv, AT, limit=7).select("root_id", "scope", "first_seen")
+    return selectors.first_discovery(w.unionByName(ups), fixture(spark, d, "inv_root"), adapters, inv, at(), limit=7).select("root_id", "scope", "first_seen")

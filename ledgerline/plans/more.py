@@ -12,7 +12,11 @@ from ledgerline.plans.reads import admissions, journal
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-AT = F.lit(NOW)
+
+
+def at():
+    return F.lit(NOW)
+
 C = F.col
 
 
@@ -139,7 +143,7 @@ _R = "CASE {0} WHEN 'URGENT' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'NORMAL' THEN 2 ELSE
 
 @check(_ST + f" SELECT root_id, scope, tie, CASE WHEN fl THEN CASE WHEN signal_seq > cs THEN 'PENDING' ELSE 'VERIFIED' END ELSE work_state END AS work_state, CASE WHEN fl THEN {NOW} END AS verified_at, CASE WHEN fl THEN cs END AS verified_seq, CASE WHEN fl THEN 0 ELSE failures END AS failures, CASE WHEN fl THEN NULL ELSE error_class END AS error_class, CASE WHEN fl THEN 2 ELSE 1 END AS version FROM s")
 def t5_complete(spark, d):
-    return work.complete(_state(spark, d), F.lit(True), AT).select("root_id", "scope", "tie", "work_state", "verified_at", "verified_seq", "failures", "error_class", "version")
+    return work.complete(_state(spark, d), F.lit(True), at()).select("root_id", "scope", "tie", "work_state", "verified_at", "verified_seq", "failures", "error_class", "version")
 
 
 _SRC = "CASE WHEN fl THEN CASE WHEN q THEN 'POLL_SCHEDULE,RECOVERY' ELSE 'POLL_SCHEDULE' END ELSE 'RECOVERY' END"
@@ -148,18 +152,18 @@ _PRI = f"CASE WHEN fl THEN CASE WHEN q AND {_R.format('priority')} > 2 THEN prio
 
 @check(_ST + f" SELECT root_id, scope, tie, CASE WHEN fl THEN 'RETRY_WAIT' ELSE work_state END AS work_state, {_SRC} AS sources, {_PRI} AS priority, CASE WHEN fl THEN greatest({NOW} + 45000000, not_before) ELSE not_before END AS not_before, failures + CASE WHEN fl THEN 1 ELSE 0 END AS failures, CASE WHEN fl THEN 'THROTTLED' ELSE error_class END AS error_class FROM s")
 def t6_fail(spark, d):
-    out = work.fail(_state(spark, d), F.lit(True), F.lit("THROTTLED"), AT + 45_000_000, AT)
+    out = work.fail(_state(spark, d), F.lit(True), F.lit("THROTTLED"), at() + 45_000_000, at())
     return out.select("root_id", "scope", "tie", "work_state", F.array_join("sources", ",").alias("sources"), "priority", "not_before", "failures", "error_class")
 
 
 @check(_ST + f", r AS (SELECT s.*, fl AND started < {NOW - 10 * MINUTE} AS back, coalesce(lifecycle = 'ACTIVE', false) AS act FROM s LEFT JOIN inv_root USING (root_id)) SELECT root_id, scope, tie, CASE WHEN back THEN CASE WHEN act THEN 'PENDING' ELSE 'SUSPENDED' END ELSE work_state END AS work_state, CASE WHEN fl AND NOT back THEN NULL ELSE first_seen END AS first_seen, CASE WHEN fl AND NOT back THEN NULL ELSE not_before END AS not_before, failures FROM r")
 def t8_recover_stale(spark, d):
-    return work.recover_stale(_state(spark, d), fixture(spark, d, "inv_root"), AT - 10 * MINUTE).select("root_id", "scope", "tie", "work_state", "first_seen", "not_before", "failures")
+    return work.recover_stale(_state(spark, d), fixture(spark, d, "inv_root"), at() - 10 * MINUTE).select("root_id", "scope", "tie", "work_state", "first_seen", "not_before", "failures")
 
 
 @check(_ST + f" SELECT root_id, scope, tie, CASE WHEN work_state = 'RETRY_WAIT' AND not_before <= {NOW} THEN 'PENDING' ELSE work_state END AS work_state FROM s")
 def t7_retry_ready(spark, d):
-    return work.retry_ready(fixture(spark, d, "inv_work"), AT).select("root_id", "scope", "tie", "work_state")
+    return work.retry_ready(fixture(spark, d, "inv_work"), at()).select("root_id", "scope", "tie", "work_state")
 
 
 @check(_ST + " SELECT DISTINCT root_id, scope, tie FROM s WHERE fl AND scope = '/w1/' || tie AND cs >= 2")

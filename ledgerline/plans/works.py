@@ -10,7 +10,11 @@ from ledgerline.plans.fixtures import MINUTE, NOW, fixture, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-AT = F.lit(NOW)
+
+
+def at():
+    return F.lit(NOW)
+
 
 
 def check(sql: str):
@@ -77,19 +81,19 @@ def t1_merge_signals(spark, d):
 @check(_WORK + f" SELECT * FROM inv_work WHERE {_OPEN} ORDER BY {_RANK.format('priority')} DESC, first_seen, root_id, scope LIMIT 20")
 def l2_next_work(spark, d):
     w, r = _get(spark, d, "inv_work", "inv_root")
-    return selectors.next_work(w, r, AT, 20)
+    return selectors.next_work(w, r, at(), 20)
 
 
 @check(_WORK + f" SELECT * FROM inv_work WHERE {_OPEN} AND priority IN ('NORMAL', 'LOW') AND first_seen <= {NOW - 30_000_000} ORDER BY first_seen, root_id, scope LIMIT 5")
 def l7_aged_background(spark, d):
     w, r = _get(spark, d, "inv_work", "inv_root")
-    return selectors.aged_background(w, r, AT, F.lit(NOW - 30_000_000), 5)
+    return selectors.aged_background(w, r, at(), F.lit(NOW - 30_000_000), 5)
 
 
 @check(_WORK + f" SELECT * FROM inv_work WHERE {_OPEN} AND root_id <> 'root5' ORDER BY CASE WHEN root_id > 'root3' THEN 0 ELSE 1 END, root_id, CASE priority WHEN 'HIGH' THEN 0 WHEN 'NORMAL' THEN 1 ELSE 2 END, first_seen, scope LIMIT 5")
 def l9_pool_fair(spark, d):
     w, r = _get(spark, d, "inv_work", "inv_root")
-    return selectors.fair_pool(w, r, AT, "root3", ["root5"], 5)
+    return selectors.fair_pool(w, r, at(), "root3", ["root5"], 5)
 
 
 _POLICY = "SELECT DISTINCT concat('root', n) AS root_id FROM (SELECT unnest(range(60)) AS n) WHERE n % 3 = 0"
@@ -104,7 +108,7 @@ def j10_due_retries(spark, d):
     ids = spark.range(60).select(F.concat(F.lit("root"), "id").alias("root_id"), "id")
     watches = ids.filter("id % 3 = 0").select("root_id", F.lit("/").alias("scope"), F.lit("HOT").alias("watch_state"), F.lit("SOURCE_MIRROR").alias("cadence"), F.array(F.lit("OPERATOR_POLICY")).alias("source_set"))
     adapters = ids.filter("id % 2 = 0").select("root_id", F.lit("alist").alias("kind"), F.lit(True).alias("mirror"), F.lit("T").alias("token"), F.lit(None).cast("string").alias("username"), F.lit("").alias("password"))
-    return selectors.due_retries(w, r, watches, adapters, AT, 200)
+    return selectors.due_retries(w, r, watches, adapters, at(), 200)
 
 
 def _watches(spark, d) -> DataFrame:
@@ -118,7 +122,7 @@ _MANAGED = "(watch_state = 'WARM' AND cadence = 'MIRROR_REVISIT' AND enrolled AN
 
 @check(_WORK + f" SELECT {_W} FROM inv_watch WHERE {_DUE} AND {_ACTIVE} ORDER BY next_due, root_id, scope LIMIT 30")
 def l4_due_watches(spark, d):
-    return selectors.due_watches(_watches(spark, d), fixture(spark, d, "inv_root"), AT, 30).drop("source_set")
+    return selectors.due_watches(_watches(spark, d), fixture(spark, d, "inv_root"), at(), 30).drop("source_set")
 
 
 @check(
@@ -128,7 +132,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY managed ORDER BY next_due, root_
 SELECT {_W}, managed, row_number() OVER (ORDER BY band, next_due, root_id, scope) AS slot FROM s ORDER BY slot LIMIT 6"""
 )
 def w1_due_fair(spark, d):
-    return selectors.due_fair(_watches(spark, d), fixture(spark, d, "inv_root"), AT, 6).drop("source_set")
+    return selectors.due_fair(_watches(spark, d), fixture(spark, d, "inv_root"), at(), 6).drop("source_set")
 
 
 _BUDGET = "(SELECT DISTINCT root_id, '/d3' AS scope_cursor FROM inv_watch WHERE root_id NOT LIKE '%7')"
@@ -141,7 +145,7 @@ def _budgets(spark, d) -> DataFrame:
 
 @check(_WORK + " SELECT * FROM " + _ROLL)
 def j13_rolling_pick(spark, d):
-    return selectors.rolling_pick(_watches(spark, d), fixture(spark, d, "inv_root"), _budgets(spark, d), AT, "root2").drop("source_set")
+    return selectors.rolling_pick(_watches(spark, d), fixture(spark, d, "inv_root"), _budgets(spark, d), at(), "root2").drop("source_set")
 
 
 @check(
@@ -150,17 +154,17 @@ def j13_rolling_pick(spark, d):
 al AS (SELECT * FROM o UNION ALL SELECT *, 3 FROM {_ROLL}) SELECT {_W}, row_number() OVER (ORDER BY p) AS slot FROM al ORDER BY p LIMIT 6"""
 )
 def l6_due_rolling(spark, d):
-    return selectors.due_rolling(_watches(spark, d), fixture(spark, d, "inv_root"), _budgets(spark, d), AT, "root2", 6).drop("source_set")
+    return selectors.due_rolling(_watches(spark, d), fixture(spark, d, "inv_root"), _budgets(spark, d), at(), "root2", 6).drop("source_set")
 
 
 @check(_WORK + f", p AS (SELECT root_id, scope, 'POLL_SCHEDULE' AS source, 'POSSIBLE_CHANGE' AS reason, priority, {NOW} AS seen_at, NULL::BIGINT AS not_before FROM inv_watch WHERE {_DUE}) SELECT * FROM p")
 def t3_due_polls(spark, d):
-    return work.due_polls(_watches(spark, d), AT)[0]
+    return work.due_polls(_watches(spark, d), at())[0]
 
 
 @check(_WORK + f" SELECT root_id, scope, {_MANAGED} AS managed, {_DUE} AS due, coalesce({_MANAGED} AND last_error IS NULL AND (deferred_until IS NULL OR deferred_until <= {NOW}) AND interval_s <= 3600 AND next_due <= {NOW} + 3600000000, false) AS covers FROM inv_watch")
 def p17_watch_predicates(spark, d):
-    return _watches(spark, d).select("root_id", "scope", selectors.managed().alias("managed"), selectors.is_due(AT).alias("due"), F.coalesce(selectors.covers(AT, 3600), F.lit(False)).alias("covers"))
+    return _watches(spark, d).select("root_id", "scope", selectors.managed().alias("managed"), selectors.is_due(at()).alias("due"), F.coalesce(selectors.covers(at(), 3600), F.lit(False)).alias("covers"))
 
 
 _STATES = ", ".join(f"count(*) FILTER (WHERE work_state = '{s}') AS {s.lower()}" for s in diagnose.STATES)
@@ -184,7 +188,7 @@ UNION ALL SELECT root_id, CASE WHEN lifecycle = 'ACTIVE' THEN 'ROOT_ACTIVE' ELSE
 )
 def k22_checks(spark, d):
     w, r = _get(spark, d, "inv_work", "inv_root")
-    return diagnose.work_checks(diagnose.work_facts(w), AT, 10 * MINUTE).unionByName(diagnose.root_checks(r))
+    return diagnose.work_checks(diagnose.work_facts(w), at(), 10 * MINUTE).unionByName(diagnose.root_checks(r))
 
 
 @check(

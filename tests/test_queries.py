@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def duck(data):
 
 def rows(df):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         return float(f"{x:.9g}") if isinstance(x, (float, np.floating)) else int(x) if isinstance(x, (int, np.integer)) and not isinstance(x, (bool, np.bool_)) else bool(x) if isinstance(x, np.bool_) else x
 
