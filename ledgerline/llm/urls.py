@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Tasks that a template's urls are dealt to.
+SALTS = 32
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 
@@ -85,7 +87,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", purity: flo
     urls = base.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(known).alias("blocked"), F.count_if(~known).alias("allowed"))
     shaped = templates(urls, many, few, z).join(urls, ["host", "path"])
     share = (F.sum("blocked") + 1) / (F.sum("blocked") + F.sum("allowed") + 2)
-    told = shaped.select("host", "path", "template").join(shaped.groupBy("host", "template").agg(share.alias("rejected_share")), ["host", "template"])
+    # one template may hold a third of all urls: its one row of shares goes to SALTS tasks
+    shares = shaped.groupBy("host", "template").agg(share.alias("rejected_share")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = shaped.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")).join(shares, ["host", "template", "salt"]).drop("salt")
     return base.join(told, ["host", "path"], "left").select(
         *[F.col(f"`{c}`") for c in kept],
         "host",
