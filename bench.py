@@ -34,6 +34,14 @@ def main() -> None:
         start = time.perf_counter()
         queries[n](spark, sf).write.format("noop").mode("overwrite").save()
         took[n] = round(time.perf_counter() - start, 3)
+    import shutil
+    import tempfile
+
+    from ledgerline.plans.ingest import timings
+
+    folder = tempfile.mkdtemp(prefix="bench-")
+    took |= timings(spark, sf, folder)
+    shutil.rmtree(folder)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
     spark.stop()
 

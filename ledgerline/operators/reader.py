@@ -100,6 +100,22 @@ def page(rows: DataFrame, root_id: str, generation: int, limit: int | None = Non
     return rows.filter(F.col("root_id") == root_id).orderBy(path, "resource_id").limit(page_limit(limit))
 
 
+def pages(rows: DataFrame, root_id: str, generation: int, limit: int | None = None):
+    """All pages of one version, in order, as (rows, next cursor): one distributed sort, then partition by partition.
+
+    The same pages as repeated calls of `page`, for a consumer that wants them all; the driver holds one page and one
+    partition at a time.
+    """
+    path = F.coalesce("path", F.lit(""))
+    held = []
+    for row in rows.filter(F.col("root_id") == root_id).orderBy(path, "resource_id").toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == page_limit(limit):
+            yield held, next_cursor(held, root_id, generation, limit)
+            held = []
+    yield held, None
+
+
 def next_cursor(rows: list, root_id: str, generation: int, limit: int | None = None) -> str | None:
     """A full page has a next one, which may be empty."""
     if len(rows) < page_limit(limit):

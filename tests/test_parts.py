@@ -50,6 +50,8 @@ def test_pages(spark):
         if cursor is None:
             break
     assert seen == ["x0", "x3", "x1", "x4", "x2", "x5"]
+    got = list(reader.pages(rows, "r", 1, 2))
+    assert [[r["resource_id"] for r in p] for p, _ in got] == [["x0", "x3"], ["x1", "x4"], ["x2", "x5"], []] and [c is None for _, c in got] == [False, False, False, True]
     token = reader.encode_cursor("r", 1, "/a", "b")
     with pytest.raises(reader.StaleCursor):
         reader.page(rows, "r", 2, 2, token)
