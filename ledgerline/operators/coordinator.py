@@ -87,7 +87,10 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
     if accepted == "FAILED":
         return REJECTED
     now, sid = F.lit(snapshot["observed_at"]), F.lit(snapshot["snapshot_id"])
-    context = reconcile.removal_context(prior, reconcile.resolve(prior, entries, now, cfg.move_horizon)).first()
+    version = uuid.uuid4().hex
+    reconcile.resolve(prior, entries, now, cfg.move_horizon).write.parquet(f"{store.path}/resolved/{root_id}/{version}")  # read three times
+    resolved = spark.read.parquet(f"{store.path}/resolved/{root_id}/{version}")
+    context = reconcile.removal_context(prior, resolved).first()
     from ledgerline.operators.controls import entry_digest
 
     digest = entry_digest(entries, ["root_id"]).first()
@@ -96,8 +99,7 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
         root.applied_seq = seq
         store.save(root)
         return NOOP
-    t = reconcile.reconcile(prior, entries, accepted, cfg, now, sid)
-    version = uuid.uuid4().hex
+    t = reconcile.reconcile(prior, entries, accepted, cfg, now, sid, resolved)
     t.write.parquet(f"{store.path}/transitions/{root_id}/{version}")
     t = spark.read.parquet(f"{store.path}/transitions/{root_id}/{version}")
     mutates = bool(t.filter(F.col("kind").isin(*reconcile.GENERATION_KINDS)).head(1))

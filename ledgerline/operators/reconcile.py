@@ -113,9 +113,12 @@ def missing_transitions(gone: DataFrame, snapshot: Column, now: Column, cfg: Con
     )
 
 
-def reconcile(prior: DataFrame, entries: DataFrame, acceptance: str, cfg: Config, now: Column, snapshot: Column) -> DataFrame:
-    """Transitions of one accepted snapshot (per root). FAILED gives none; only COMPLETE says anything of what is absent."""
-    resolved = resolve(prior, entries, now, cfg.move_horizon)
+def reconcile(prior: DataFrame, entries: DataFrame, acceptance: str, cfg: Config, now: Column, snapshot: Column, resolved: DataFrame | None = None) -> DataFrame:
+    """Transitions of one accepted snapshot (per root). FAILED gives none; only COMPLETE says anything of what is absent.
+
+    resolved: the entries' resolution where it is known already.
+    """
+    resolved = resolve(prior, entries, now, cfg.move_horizon) if resolved is None else resolved
     out = entry_transitions(resolved)
     if acceptance == "COMPLETE":
         out = out.unionByName(missing_transitions(unobserved(prior, resolved), snapshot, now, cfg))
