@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(sc, "_ledgerline_dir", None):
         sc._ledgerline_dir = tempfile.mkdtemp(prefix="ledgerline-")
