@@ -27,7 +27,7 @@ from ledgerline.llm.components import connected_components
 #: Vectors a build shard and a search cell aim at; most of a tile of either.
 SHARD, CELL, SHARD_TILE, CELL_TILE = 400, 6000, 2048, 16384
 #: Most coarse and, in each, fine centroids; most rows that they are fitted on.
-COARSE, FINE, SAMPLE = 4096, 64, 100_000
+COARSE, FINE, SAMPLE = 4096, 64, 32_000
 DEGREE, ALPHA, CANDIDATES = 16, 1.2, 64
 AUDIT = 200
 
@@ -169,7 +169,9 @@ def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps
     distinct: key, vec (array<double>, usable); vectors of different lengths never link.
     """
     spark = distinct.sparkSession
-    rows = distinct.orderBy(F.xxhash64("key")).limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    most = F.array_max(F.transform("vec", F.abs))
+    scaled = F.transform("vec", lambda x: x / most)
+    rows = distinct.orderBy(F.xxhash64("key")).limit(SAMPLE).select(scaled.cast("array<float>").alias("vec")).toArrow().column("vec").combine_chunks()
     sizes = np.diff(np.asarray(rows.offsets)) if len(rows) else np.empty(0, np.int64)
     trees = spark.sparkContext.broadcast({int(d): Tree(_unit(rows.filter(pa.array(sizes == d))), max(1, round(n * float((sizes == d).mean())))) for d in np.unique(sizes)})
 
