@@ -5,11 +5,15 @@ nearest clusters, which so overlap. Each cluster is a build shard: its members'
 (a neighbour goes if another kept one is nearer to it, by the factor alpha) to a bounded degree. The adjacency lists of a
 vector from all its shards are then united. Search takes the united graph a coarse cell at a time: each vector starts at
 the nearest medoids, expands best first, and from then on every vector within range, until the range brings no new one.
-Found links are verified in double precision. A bounded sample of queries is compared with all vectors by brute force;
-below the wanted recall, the index is built again with more overlap and a longer search.
-
-Clusters and cells over a bound are cut into tiles by a hash: each tile has a graph of its own, and queries go to all
-tiles of their cell. So no task holds an unbounded group, and copies in a third of all rows are one vector.
+Found links are verified in double precision. A vector asks in every coarse cell that can hold a vector within the
+threshold (`Tree.reach`); of two cells that reach each other, one side asks. In cells other than its own it is compared with
+all vectors at home there, in blocks, which costs less than a search. A bounded sample of queries is compared with all
+vectors by brute force; below the wanted recall, the index is built again with more overlap and a longer search, and if
+that does not suffice either, vectors are compared in blocks in their own cells too.
+
+Clusters, cells and the queries of a cell over a bound are cut into tiles by a hash: each tile has a graph of its own, and
+every tile of queries goes to all tiles of its cell. So no task holds an unbounded group, and copies in a third of all
+rows are one vector.
 """
 
 from __future__ import annotations
@@ -64,6 +68,8 @@ class Tree:
     def __init__(self, x: np.ndarray, n: int):
         rng = np.random.default_rng(11)
         self.coarse = _kmeans(x, int(min(COARSE, max(1, -(-n // CELL)))), rng)
+        self.dots = self.coarse @ self.coarse.T
+        self.norms = self.dots.diagonal()
         near = (x @ self.coarse.T).argmax(1)
         fine = int(min(FINE, max(1, -(-n // len(self.coarse) // SHARD))))
         self.fine = [_kmeans(x[near == i], fine, rng) if (near == i).any() else self.coarse[i : i + 1] for i in range(len(self.coarse))]
@@ -78,11 +84,31 @@ class Tree:
             for c in np.unique(cells[:, j]):
                 rows = np.flatnonzero(cells[:, j] == c)
                 best[rows, j * width : j * width + len(self.fine[c])] = x[rows] @ self.fine[c].T
+        best[np.arange(len(x)), best[:, :width].argmax(1)] = 9.0  # one of the nearest cell's comes first
         order = np.argsort(-best, axis=1, kind="stable")[:, :overlap]
         value = np.take_along_axis(best, order, 1)
         coarse = np.take_along_axis(cells, order // width, 1)
         return np.where(value > -9, coarse, -1), np.where(value > -9, order % width, -1)
 
+    def reach(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's own) for every cell that can be the nearest of a vector with a cosine of `threshold` or more to the row.
+
+        Such a vector is nearer to its own cell's centroid than to that of the row's, so the row lies at most the sine of
+        their angle beyond the plane between both. Of two cells only one asks the other; all rows ask their own.
+        """
+        sine = np.sqrt(1 - threshold * threshold) if 0 < threshold < 1 else float(threshold <= 0)
+        found = []
+        for lo in range(0, len(x), 1024):
+            sims = x[lo : lo + 1024] @ self.coarse.T
+            home = sims.argmax(1)
+            at, cell = np.arange(len(home))[:, None], np.arange(len(self.coarse))[None]
+            apart = np.sqrt(np.maximum(0, self.norms[home][:, None] + self.norms[None] - 2 * self.dots[home]))
+            near = sims[at, home[:, None]] - sims <= sine * apart + 1e-6
+            turn = (cell > home[:, None]) == ((cell + home[:, None]) % 2 == 0)
+            row, c = np.nonzero(near & (turn & (cell != home[:, None])) | (cell == home[:, None]))
+            found.append((row + lo, c, c == home[row]))
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
 
 def prune(sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, candidates: int = CANDIDATES) -> np.ndarray:
     """Robust pruning for all nodes at once: neighbours of each by local number, -1 where there are fewer than degree."""
@@ -163,8 +189,8 @@ def _cut(df: DataFrame, by: str, most: int) -> DataFrame:
     return df.join(sizes, by)
 
 
-def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps: int = 32) -> DataFrame:
-    """(a, b), a < b: keys of distinct vectors with a cosine of threshold or more, as found by the graph.
+def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps: int = 32, exact: bool = False) -> DataFrame:
+    """(a, b), a < b: keys of distinct vectors with a cosine of threshold or more, as found by the graph, or all if `exact`.
 
     distinct: key, vec (array<double>, usable); vectors of different lengths never link.
     """
@@ -191,6 +217,20 @@ def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps
                     )
 
     placed = C.materialise(distinct.select("key", "vec").mapInArrow(assign, "cell long, cluster long, home boolean, key long, vec array<double>"), "placed")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(np.asarray(b.column(1).offsets))
+            for d in np.unique(size):
+                own = b.filter(pa.array(size == d))
+                tree = trees.value.get(int(d))
+                x = _unit(own.column(1))
+                row, cell, home = tree.reach(x, threshold) if tree else (np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool))
+                for lo in range(0, len(row), 1 << 14):
+                    r = pa.array(row[lo : lo + (1 << 14)])
+                    yield pa.RecordBatch.from_arrays([pa.array((int(d) << 16) + cell[lo : lo + (1 << 14)]), pa.array(home[lo : lo + (1 << 14)]), own.column(0).take(r), own.column(1).take(r)], names=["cell", "home", "key", "vec"])
+
+    queries = distinct.select("key", "vec").mapInArrow(route, "cell long, home boolean, key long, vec array<double>")
     sharded = _cut(placed, "cluster", SHARD_TILE).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
 
     def build(table: pa.Table) -> pa.Table:
@@ -204,8 +244,17 @@ def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps
     united = C.materialise(united, "graph")
     # a cluster's tile stays whole in the cell's tiles
     nodes = _cut(sharded.drop("tiles"), "cell", CELL_TILE).withColumn("part", F.pmod(F.xxhash64("cluster", "tile"), F.col("tiles")).cast("int"))
-    asks = nodes.filter("home").select("cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), F.lit(None).cast("long").alias("cluster"), "key", "vec", F.lit(None).cast("array<long>").alias("near"))
-    both = nodes.join(united, "key").select("cell", "part", "cluster", "key", "vec", "near").unionByName(asks)
+    queries = _cut(queries, "cell", CELL_TILE).withColumnRenamed("tiles", "turns")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    parts = nodes.groupBy("cell").agg(F.first("tiles").alias("tiles"))
+    asks = queries.join(parts, "cell").select("cell", each("tiles").alias("part"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("turns")).cast("int").alias("turn"), F.lit(None).cast("long").alias("cluster"), "home", "key", "vec", F.lit(None).cast("array<long>").alias("near"))
+    turns = queries.groupBy("cell").agg(F.first("turns").alias("turns"))
+    both = nodes.join(united, "key").join(turns, "cell").select("cell", "part", each("turns").alias("turn"), "cluster", "home", "key", "vec", "near").unionByName(asks)
+
+    def sure(x: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Keys of the pairs that hold in double precision."""
+        ok = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (keys[a] != keys[b])
+        return np.stack([keys[a[ok]], keys[b[ok]]])
 
     def search(table: pa.Table) -> pa.Table:
         node = np.asarray(table.column("cluster").is_valid())
@@ -214,6 +263,16 @@ def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps
         found: list = []
         if len(at) and len(ask):
             x = _unit(table.column("vec").combine_chunks())
+            home = np.asarray(table.column("home"))
+            alone = ask if exact else ask[~home[ask]]
+            rows = at[home[at]]
+            single = x.astype(np.float32)
+            for lo in range(0, len(alone), 256):
+                q = alone[lo : lo + 256]
+                who, hit = np.nonzero(single[q] @ single[rows].T >= threshold - 1e-4)
+                found.append(sure(x, keys, q[who], rows[hit]))
+            ask = ask[:0] if exact else ask[home[ask]]
+        if len(at) and len(ask):
             own, first = np.unique(keys[at], return_index=True)
             rows = at[first]
             lists = table.column("near").take(pa.array(rows)).to_pylist()
@@ -227,13 +286,11 @@ def links(distinct: DataFrame, threshold: float, n: int, overlap: int = 3, steps
             for lo in range(0, len(ask), 128):
                 q = ask[lo : lo + 128]
                 who, hit = g.search(x[q].astype(np.float32), threshold - 1e-4, steps)
-                a, b = q[who], rows[hit]
-                sure = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (keys[a] != keys[b])  # verified in double precision
-                found.append(np.stack([keys[a[sure]], keys[b[sure]]]))
+                found.append(sure(x, keys, q[who], rows[hit]))
         pair = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(pair.min(0) if pair.size else pair[0]), "b": pa.array(pair.max(0) if pair.size else pair[1])})
 
-    return both.groupBy("cell", "part").applyInArrow(search, "a long, b long").distinct()
+    return both.groupBy("cell", "part", "turn").applyInArrow(search, "a long, b long").distinct()
 
 
 def brute_links(distinct: DataFrame, queries: pa.Table, threshold: float) -> DataFrame:
@@ -272,10 +329,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     truth = C.materialise(brute_links(distinct, asked, threshold), "audit")
     total = truth.count()
     overlap, steps = 3, 32
-    for attempt in range(3):
-        pairs = C.materialise(links(distinct, threshold, n, overlap, steps), "links")
+    for attempt in range(4):
+        pairs = C.materialise(links(distinct, threshold, n, overlap, steps, exact=attempt == 3), "links")
         share = truth.join(pairs, ["a", "b"]).count() / total if total else 1.0
-        if share >= recall or attempt == 2:
+        if share >= recall:
             break
         overlap, steps = overlap + 2, steps * 2
     ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other")))

@@ -410,6 +410,29 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_links_across_cells(spark, monkeypatch, exact):
+    """One group of near copies over many small cells, with tiles of cells and of their queries."""
+    monkeypatch.setattr(vectors, "CELL", 60)
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    monkeypatch.setattr(vectors, "CELL_TILE", 150)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(500, 32)) * 0.15, rng.normal(size=(300, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(u @ u.T >= 0.95) if a < b}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vec array<double>")
+    got = {tuple(r) for r in vectors.links(df, 0.95, len(x), **({"exact": True} if exact else {})).collect()}
+    assert got <= want and len(got) >= (1 if exact else 0.9) * len(want) and len(want) > 10_000
+
+
+def test_recall_is_reached_without_the_graph(spark, monkeypatch):
+    """Where no rebuilt graph finds anything, the last attempt compares exactly."""
+    plain = vectors.links
+    monkeypatch.setattr(vectors, "links", lambda *a, exact=False: plain(*a, exact=exact) if exact else plain(*a).limit(0))
+    df = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["component_id"], r["audited_recall"]) for r in vectors.near_duplicates(df).collect()} == {(19, 0, 1.0)}
+
+
 def test_prune_keeps_near_and_spreads():
     p = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0, 1]], float)
     p /= np.linalg.norm(p, axis=1, keepdims=True)
