@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, packing, quality, simhash, substrings
+from ledgerline.llm import decontaminate, packing, quality, shingles, substrings
 from ledgerline.llm.common import load, materialise, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays. Rows without an id stay."""
+    """Of each class of near copies (0.8 or more of their five-word runs in common) the document with the smallest id
+    stays. Rows without an id stay."""
     # a stored list of ids has a known size: the join broadcasts it where it is small, and else doesn't
-    go = materialise(simhash.classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    go = materialise(shingles.classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -50,13 +51,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("near_dedup", keep_one_of_near_copies),
     ("substring_dedup", drop_repeated_passages),
     ("decontamination", drop_leaked),
     ("packing", pack),
 ]
 
-#: SQL can't express the classifier or SimHash; tests hold every stage against a brute-force version.
+#: SQL can't express the classifier; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,104 @@
+"""Near copies by the similarity of their shingle sets.
+
+Two texts link if the Jaccard similarity of their sets of `shingle`-word runs is `similarity` or more. Candidates share
+one of BANDS keys, each made of ROWS minima of a hash over the set: a pair at 0.8 has none in common with a probability
+of 7e-7. Every candidate link is checked on the sets themselves. Equal sets collapse first. Keys are first settled by
+stars around one member, a few rounds with other members; what still isn't one component meets pairwise.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerline.llm import common as C
+from ledgerline.llm.components import connected_components
+
+BANDS, ROWS, STARS = 36, 5, 3
+_rng = np.random.default_rng(17)
+_FLIP, _TIMES = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32), _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of words; fewer words than a shingle are one run, no words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    n = len(words)
+    if n <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1))
+
+
+def band_keys(s: np.ndarray) -> list[int]:
+    """BANDS signed longs; none for an empty set."""
+    if not len(s):
+        return []
+    low = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.array([((low ^ f) * t).min() for f, t in zip(_FLIP, _TIMES, strict=True)], np.uint32).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least)], np.uint64).view(np.int64).tolist()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: id, component_id: the smallest id reachable over links, its own included.
+
+    Null and texts without words are copies of each other. A null id has a class too, named by the smallest non-null id.
+    """
+
+    def run(texts: list) -> dict:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return {
+            "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
+            "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+            "size": pa.array([len(s) for s in sets], pa.int64()),
+        }
+
+    def grams(texts: list) -> dict:
+        return {"grams": pa.array([shingle_set(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))}
+
+    longs = T.ArrayType(T.LongType())
+    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", longs), T.StructField("size", T.LongType())])
+    prints = C.materialise(C.append(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text")), "text", run, made, [id_col, "text"]), "shingles")
+    distinct = prints.groupBy("node").agg(F.min(id_col).alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    rows = distinct.select("node", "size", F.explode("keys").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    members = C.materialise(rows.join(shared, "h"), "shingle-members")
+    inside = members.select("node").distinct()
+    # texts travel and not sets, which don't compress; one text stands for all with its set
+    texts = prints.select("node", "text").join(inside, "node", "left_semi").dropDuplicates(["node"])
+    sets = C.materialise(C.append(texts, "text", grams, T.StructType([T.StructField("grams", longs)]), ["node"]), "shingle-sets")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+        common = F.size(F.array_intersect("x", "y"))
+        return C.materialise(both.withColumn("ok", common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-9)).select("a", "b", "ok"), "shingle-links")
+
+    spark = docs.sparkSession
+    tried = spark.createDataFrame([], "a long, b long, ok boolean")
+    roots = spark.createDataFrame([], "node long, root long")
+    near = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - F.lit(1e-9)
+    for k in range(STARS + 1):
+        placed = members.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+        open_ = placed.groupBy("h").agg(F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(k))).alias("lead"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
+        if k < STARS:
+            other = open_.select("h", F.col("lead.node").alias("b"), F.col("lead.size").alias("size_b"), F.col("lead.root").alias("root_b"))
+            met = placed.join(other, "h").filter("root <> root_b")
+        else:
+            left = placed.join(open_.select("h"), "h", "left_semi")
+            other = left.select("h", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+            met = left.join(other, "h").filter("root < root_b")
+        pairs = met.filter(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        found = check(pairs)
+        tried = found if k == 0 else C.materialise(tried.union(found), "shingle-tried")
+        roots = C.materialise(connected_components(tried.filter("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", "root"), "shingle-roots")
+    grouped = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return prints.select(id_col, "node").join(named, "node").select(id_col, "component_id")

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -42,6 +43,49 @@ def test_one_of_each_class(stages):
     assert set(after) <= set(before)
 
 
+def brute_similar(rows, similarity=0.8):
+    """(id, smallest id reachable) over links of texts with a Jaccard similarity of their five-word runs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((rows[i][0], least[find(i)]) for i in range(len(rows)))
+
+
+def test_near_copies_of_similarity(spark, stages):
+    """Copies with words changed, dropped and added, around 0.8, in chains, and short and empty texts."""
+    rnd = random.Random(3)
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (30, 60, 200, 900, 4, 5, 6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100, ""), (101, " ")]
+    for k in range(160):
+        w = list(base[k % len(base)]) if k % 3 else rows[rnd.randrange(len(rows))][1].split()
+        for _ in range(rnd.randrange(1 + len(w) // 25)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randrange(2)] = [f"x{rnd.randrange(9999)}"][: rnd.randrange(2)]
+        rows.append((200 + k, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_similar(rows)
+    assert sorted(r["doc_id"] for r in P.keep_one_of_near_copies(spark, docs, "").collect()) == sorted({c for _, c in want})
+    before, after = map(pairs, stages[1])
+    assert sorted(i for i, _ in after) == sorted({c for _, c in brute_similar(before)})
+
+
 def test_passages(stages):
     before, after = map(pairs, stages[2])
     want = {i: (n, r, h) for i, n, r, h in brute_substrings(before, 20)}
