@@ -56,14 +56,14 @@ def t2_new_work(spark, d):
 
 def _state(spark, d) -> DataFrame:
     """Work on scopes of the signals: every second one has a state of its own."""
-    s = work.coalesce_signals(fixture(spark, d, "inv_signal").filter("event_id % 5 = 1"))
+    s = work.coalesce_signals(fixture(spark, d, "inv_signal").filter("event_id % 2 = 1"))
     n = F.length("scope") + F.substring("scope", -1, 1).cast("int")
     states = F.array(*[F.lit(x) for x in ("PENDING", "VERIFIED", "IN_FLIGHT", "RETRY_WAIT", "BLOCKED", "SUSPENDED")])
     return s.withColumn("work_state", F.element_at(states, n % 6 + 1))
 
 
-_STATE = f""", st AS (SELECT x.*, (['PENDING', 'VERIFIED', 'IN_FLIGHT', 'RETRY_WAIT', 'BLOCKED', 'SUSPENDED'])[(length(scope) + right(scope, 1)::INT) % 6 + 1] AS work_state FROM ({_FOLD.replace('FROM inv_signal', 'FROM inv_signal WHERE event_id % 5 = 1')}) x),
-sg AS ({_FOLD.replace('FROM inv_signal', 'FROM inv_signal WHERE event_id % 5 = 2')}), m AS (SELECT root_id, scope, st.work_state AS w, st.signal_seq AS n, st.sources AS so, st.reasons AS re, st.priority AS pr, st.first_seen AS fs, st.not_before AS nb, st.last_seen AS ls,
+_STATE = f""", st AS (SELECT x.*, (['PENDING', 'VERIFIED', 'IN_FLIGHT', 'RETRY_WAIT', 'BLOCKED', 'SUSPENDED'])[(length(scope) + right(scope, 1)::INT) % 6 + 1] AS work_state FROM ({_FOLD.replace('FROM inv_signal', 'FROM inv_signal WHERE event_id % 2 = 1')}) x),
+sg AS ({_FOLD.replace('FROM inv_signal', 'FROM inv_signal WHERE event_id % 2 = 0')}), m AS (SELECT root_id, scope, st.work_state AS w, st.signal_seq AS n, st.sources AS so, st.reasons AS re, st.priority AS pr, st.first_seen AS fs, st.not_before AS nb, st.last_seen AS ls,
   sg.signal_seq AS n2, sg.sources AS so2, sg.reasons AS re2, sg.priority AS pr2, sg.first_seen AS fs2, sg.not_before AS nb2, sg.last_seen AS ls2, lifecycle FROM st FULL JOIN sg USING (root_id, scope) JOIN inv_root USING (root_id)),
 k AS (SELECT *, n2 IS NOT NULL AND (w IS NULL OR w = 'VERIFIED') AS opened, n2 IS NOT NULL AS hit FROM m)
 SELECT root_id, scope, CASE WHEN opened THEN CASE WHEN lifecycle = 'ACTIVE' THEN 'PENDING' ELSE 'SUSPENDED' END ELSE w END AS work_state, coalesce(n, 0) + coalesce(n2, 0) AS signal_seq,
@@ -75,7 +75,7 @@ SELECT root_id, scope, CASE WHEN opened THEN CASE WHEN lifecycle = 'ACTIVE' THEN
 @check(with_sql("inv_signal", "inv_root") + _STATE)
 def t1_merge_signals(spark, d):
     signals, roots = _get(spark, d, "inv_signal", "inv_root")
-    return _flat(work.merge_signals(_state(spark, d), signals.filter("event_id % 5 = 2"), roots))
+    return _flat(work.merge_signals(_state(spark, d), signals.filter("event_id % 2 = 0"), roots))
 
 
 @check(_WORK + f" SELECT * FROM inv_work WHERE {_OPEN} ORDER BY {_RANK.format('priority')} DESC, first_seen, root_id, scope LIMIT 20")
