@@ -9,11 +9,19 @@ exact, the second with at most one flipped bit); longer chains are tested before
 Equal fingerprints collapse first, so a group of copies is one row here. Keys of one segment that hold more than TILE
 fingerprints are divided by the second segment, where each fingerprint also asks at its one-bit changes; what is still
 larger is cut into tiles that meet pairwise. A task keeps a spanning forest of the links it finds, never the pairs.
+
+`similar_classes` links by a similarity of shingle sets instead of a number of bits. Its fingerprints are PARTS times as
+wide; at 0.8 two of them differ in about 15 of 100 bits, too many for a key that must agree in nearly all segments, so
+the chain is only required to start well: a segment that agrees, two with at most one, three with at most two bits.
+By the pigeonring principle every pair that differs in fewer bits than there are segments has such a chain, and of the
+pairs at 0.8 more than 99 in 100 have one. Pairs within `limit` bits form loose groups; the texts of a group then meet in
+bounded tiles, where the sets themselves decide. So links are exact, and what a group passes on is a forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +32,18 @@ from pyspark.sql import types as T
 
 from ledgerline.llm import common as C
 from ledgerline.llm.components import connected_components, forest
+from ledgerline.llm.substrings import _mix, _roll
 
 WIDTH = 64
 #: Most fingerprints of one side of a comparison.
 TILE = 4096
+#: 64-bit parts of a wide fingerprint, bits of a segment of its ring, segments of a chain that are looked at, and most wide
+#: fingerprints of one side of a comparison.
+PARTS, SEGMENT, CHAIN, WIDE_TILE = 6, 8, 3, 1 << 16
+#: Most texts, and about the most bytes of them, of one side of a comparison of sets.
+SET_TILE, SET_BYTES = 2048, 16 << 20
+_PART_SEED = np.random.default_rng(17).integers(0, 1 << 63, 64).astype(np.uint64)
+_ROLL_BASE = np.uint64(0x9E3779B97F4A7C17)
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -44,10 +60,23 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
-    votes = np.zeros(WIDTH, np.int64)
+    return int(np.packbits(_votes(hashes, np.zeros(1, np.int64))[0] * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _votes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of each run of hashes, which begin at `starts`, set each bit. Bytes count up to 255 rows at once."""
+    out = np.zeros((len(starts), WIDTH), np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        votes += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        part = hashes[at : at + (1 << 16)]
+        first, last = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, at + len(part), "left"))
+        own = np.r_[max(0, starts[first] - at), starts[first + 1 : last] - at]
+        size = np.diff(own, append=len(part))
+        runs = -(-size // 255)
+        cuts = np.repeat(own, runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+        lanes = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64).reshape(-1, WIDTH // 8)
+        few = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(-1, WIDTH).astype(np.int64)
+        out[first:last] += np.add.reduceat(few, np.cumsum(runs) - runs, axis=0)
+    return out
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
@@ -59,131 +88,171 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed
     return C.append(docs, text_col, run, T.StructType([T.StructField("simhash", T.LongType())]), keep)
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of each of distance + 1 nearly equal runs of bits."""
+@dataclass
+class Ring:
+    """Segments (part, shift, width) in ring order, the most differing bits of a chain's first 1, 2, ... segments, and of
+    all parts (None where the longest chain is the whole ring)."""
+
+    segments: list[tuple[int, int, int]]
+    budgets: list[int]
+    limit: int | None = None
+    parts: int = 1
+
+    def value(self, x: np.ndarray, i: int) -> np.ndarray:
+        part, shift, width = self.segments[i % len(self.segments)]
+        return (x[:, part] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+
+    def near(self, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
+        """Positions of pairs whose chain from segment `first` stays within budget for every length, and within the limit."""
+        alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for length, most in enumerate(self.budgets):
+            total = total + np.bitwise_count(self.value(x[alive], first + length) ^ self.value(y[alive], first + length))
+            ok = total <= most
+            alive, total = alive[ok], total[ok]
+        return alive[self.within(x[alive], y[alive])]
+
+    def within(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), bool) if self.limit is None else np.bitwise_count(x ^ y).sum(1) <= self.limit
+
+
+def narrow_ring(distance: int) -> Ring:
+    """distance + 1 nearly equal segments of 64 bits; a chain's budget is its share of distance, rounded down."""
     m = distance + 1
     cuts = [round(i * WIDTH / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _chain(x: np.ndarray, y: np.ndarray, first: int, segs: list[tuple[int, int]], distance: int) -> np.ndarray:
-    """Positions of pairs whose chain from segment `first` stays within budget for every length."""
-    m, alive, total = len(segs), np.arange(len(x)), np.zeros(len(x), np.int64)
-    for length in range(1, m + 1):
-        shift, width = segs[(first + length - 1) % m]
-        total = total + np.bitwise_count(((x[alive] ^ y[alive]) >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-        ok = total <= length * distance // m
-        alive, total = alive[ok], total[ok]
-    return alive
-
-
-def _links(a: np.ndarray, b: np.ndarray | None, first: int, segs: list[tuple[int, int]], distance: int) -> np.ndarray:
-    """Links of a with b, or within a, as rows (fingerprint, root): a spanning forest. All agree in segment `first`."""
-    shift, width = segs[(first + 1) % len(segs)]
-    flips = [0, *(1 << k for k in range(width))] if 2 * distance // len(segs) >= 1 else [0]
-    other = a if b is None else b
-    seg = lambda v: ((v >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-    order = np.argsort(seg(other), kind="stable")
-    keys, sa = seg(other)[order], seg(a)
+    return Ring([(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], [length * distance // m for length in range(1, m + 1)])
+
+
+def wide_ring(similarity: float, parts: int = PARTS) -> Ring:
+    """For sets of that Jaccard similarity: bits differ with the chance of the angle between the sets; four deviations more."""
+    bits = WIDTH * parts
+    chance = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    limit = int(np.ceil(bits * chance + 4 * np.sqrt(bits * chance * (1 - chance))))
+    return Ring([(p, s, SEGMENT) for p in range(parts) for s in range(0, WIDTH, SEGMENT)], list(range(CHAIN)), limit, parts)
+
+
+def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring) -> np.ndarray:
+    """Links of a with b, or within a, as pairs of row numbers (b's after a's): a spanning forest. All agree in segment `first`.
+
+    All are compared with a few of their own first, which settles a large group of near copies; only those that
+    then aren't in the largest component ask further, each among all.
+    """
     everything = a if b is None else np.concatenate([a, b])
-    base = 0 if b is None else len(a)
-    tree, left, right, held = np.arange(len(everything)), [], [], 0
-
-    def settle() -> None:
-        nonlocal tree, left, right, held
-        if left:
-            tree = forest(np.concatenate([tree, np.concatenate(left)]), np.concatenate([np.arange(len(tree)), np.concatenate(right)]), len(everything))
-            left, right, held = [], [], 0
-
-    for flip in flips:
-        lo, hi = np.searchsorted(keys, sa ^ flip, "left"), np.searchsorted(keys, sa ^ flip, "right")
-        size = hi - lo
-        at = 0
-        ends = np.cumsum(size)
-        while at < len(a):  # bounded runs of candidates
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
-            n = size[at:stop]
-            i = np.repeat(np.arange(at, stop), n)
-            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
-            if b is None:
-                i, j = i[j > i] if len(i) else i, j[j > i] if len(i) else j
-            differ = tree[i] != tree[base + j]  # links inside a known component add nothing
-            i, j = i[differ], j[differ]
-            ok = _chain(a[i], other[j], first, segs, distance)
-            if len(ok):
-                left.append(i[ok])
-                right.append(base + j[ok])
-                held += len(ok)
-                settle()
-            at = stop
-    settle()
+    side = np.zeros(len(everything), bool)
+    side[len(a) :] = True
+    tree = np.arange(len(everything))
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal tree
+        if len(i):
+            tree = forest(np.concatenate([np.arange(len(tree)), i]), np.concatenate([tree, j]), len(tree))
+
+    for _ in range(3 if len(everything) > 64 else 0):
+        largest = np.bincount(tree).argmax()
+        for k in {0, int(np.flatnonzero(tree == largest)[-1]), len(a) - 1}:
+            other = np.flatnonzero((tree != tree[k]) & ((side != side[k]) if b is not None else True))
+            settle(np.full(len(other), k)[(ok := ring.near(everything[other], np.broadcast_to(everything[k], (len(other), everything.shape[1])), first))], other[ok])
+    ask = np.flatnonzero(tree != np.bincount(tree).argmax())
+    second = ring.value(everything, first + 1).astype(np.int64)
+    width = ring.segments[(first + 1) % len(ring.segments)][2]
+    flips = [0, *(1 << k for k in range(width))] if len(ring.budgets) > 1 and ring.budgets[1] >= 1 else [0]
+    for asks, pool in [(ask, np.arange(len(everything)))] if b is None else [(ask[~side[ask]], np.flatnonzero(side)), (ask[side[ask]], np.flatnonzero(~side))]:
+        pool = pool[np.argsort(second[pool], kind="stable")]
+        keys = second[pool]
+        for flip in flips:
+            lo, hi = np.searchsorted(keys, second[asks] ^ flip, "left"), np.searchsorted(keys, second[asks] ^ flip, "right")
+            size = hi - lo
+            at, ends = 0, np.cumsum(size)
+            while at < len(asks):  # bounded runs of candidates
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                n = size[at:stop]
+                i = np.repeat(asks[at:stop], n)
+                j = pool[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
+                differ = tree[i] != tree[j]  # links inside a known component add nothing
+                i, j = i[differ], j[differ]
+                ok = ring.near(everything[i], everything[j], first)
+                settle(i[ok], j[ok])
+                at = stop
     used = np.flatnonzero(tree != np.arange(len(tree)))
-    return np.stack([everything[used], everything[tree[used]]]) if len(used) else np.empty((2, 0), np.uint64)
+    return np.stack([used, tree[used]])
 
 
-def link_forest(prints: DataFrame, distance: int = 4, col: str = "simhash") -> DataFrame:
-    """(src, dst) links that connect exactly the fingerprints joined by links of `distance` or fewer bits.
+def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: list[str] | None = None, tile: int | None = None) -> DataFrame:
+    """(src, dst) links that connect exactly the nodes joined by chains of links within the ring's budgets and limit.
 
-    prints holds distinct fingerprints as longs. Complete: by the pigeonring principle no linked pair lacks a chain.
+    prints: a node (long) for each distinct fingerprint, and its parts as long columns; without `parts` the node is its own
+    only part. Complete for narrow rings: by the pigeonring principle no linked pair lacks a chain.
     """
-    segs, m = segments(distance), distance + 1
-    value = lambda s, w: F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
-    own = prints.select(F.col(col).alias("fp"))
-    rows = own.select("fp", F.posexplode(F.array(*[value(s, w) for s, w in segs])).alias("seg", "key"))
-    sizes = rows.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    tile = tile or TILE
+    cols = [f"fp{i}" for i in range(ring.parts)] if parts else []
+    part = lambda p: F.col(f"fp{p}") if parts else F.col("node")
+    value = lambda p, s, w: F.shiftrightunsigned(part(p), s).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
+    own = prints.select(F.col(node).alias("node"), *[F.col(c).alias(f"fp{i}") for i, c in enumerate(parts or [])])
+    m = len(ring.segments)
+    rows = own.select("node", *cols, F.posexplode(F.array(*[value(*x) for x in ring.segments])).alias("seg", "key"))
+    # a row for each value of each segment at most: a bounded table
+    sizes = F.broadcast(rows.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    sized = rows.join(sizes, ["seg", "key"])
+    whole = sized.filter(F.col("n") <= tile).select("seg", "key", F.lit(-1).alias("sub"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("tile"), "node", *cols)
     # a hot key is divided by the next segment of the chain: a row keeps its value there, and asks at each one-bit change
-    after = F.element_at(F.array(*[value(*segs[(i + 1) % m]) for i in range(m)]), F.col("seg") + 1)
-    width = max(w for _, w in segs)
-    asks = [1 << k for k in range(width)] if 2 * distance // m >= 1 else []
-    whole, divided = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).alias("asks"))), F.array(*[F.struct(after.bitwiseXOR(F.lit(x)).alias("sub"), F.lit(int(x > 0)).alias("asks")) for x in [0, *asks]])
-    placed = rows.join(sizes, ["seg", "key"]).select("seg", "key", "fp", F.explode(F.when(F.col("n") <= TILE, whole).otherwise(divided)).alias("x")).select("seg", "key", "fp", "x.*")
-    tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
-    groups = placed.groupBy("seg", "key", "sub").agg(F.count_if(F.col("asks") == 0).alias("n_own"), F.count_if(F.col("asks") == 1).alias("n_asks")).filter("n_own > 0 and n_own + n_asks > 1")
+    after = F.element_at(F.array(*[value(*ring.segments[(i + 1) % m]) for i in range(m)]), F.col("seg") + 1)
+    width = max(w for _, _, w in ring.segments)
+    asks = [1 << k for k in range(width)] if len(ring.budgets) > 1 and ring.budgets[1] >= 1 else []
+    places = F.array(*[F.struct(after.bitwiseXOR(F.lit(x)).alias("sub"), F.lit(int(x > 0)).alias("asks")) for x in [0, *asks]])
+    divided = sized.filter(F.col("n") > tile).select("seg", "key", "node", *cols, F.explode(places).alias("x")).select("seg", "key", "node", *cols, "x.*")
+    tiles = lambda n: F.ceil(F.col(n) / F.lit(tile)).cast("int")
+    groups = divided.groupBy("seg", "key", "sub").agg(F.count_if(F.col("asks") == 0).alias("n_own"), F.count_if(F.col("asks") == 1).alias("n_asks")).filter("n_own > 0 and n_own + n_asks > 1")
     groups = groups.select("seg", "key", "sub", tiles("n_own").alias("own"), tiles("n_asks").alias("askers"))
-    pick = F.xxhash64("fp", F.lit(7))
+    pick = F.xxhash64("node", F.lit(7))
     dealt = (
-        placed.join(groups, ["seg", "key", "sub"])
+        divided.join(groups, ["seg", "key", "sub"])
         .withColumn("tile", F.when(F.col("asks") == 0, F.pmod(pick, F.col("own"))).otherwise(F.col("own") + F.pmod(pick, F.greatest("askers", F.lit(1)))).cast("int"))
         # an own tile meets itself and every other, a tile of askers every own one: a row is sent once to each such pair
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks") == 0, F.col("own") + F.col("askers")).otherwise(F.col("own")) - 1)))
-        .select("seg", "key", "sub", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "fp")
+        .select("seg", "key", "sub", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", *cols)
+        .unionByName(whole)
     )
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (seg, key, sub, p, q)."""
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            k = np.stack([np.asarray(b.column(i)) for i in range(5)])
-            cuts = [0, *(np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1).tolist(), b.num_rows]
-            out = []
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e == s:
-                    continue
-                now = tuple(k[:, s].tolist())
-                if last is not None and now != last:
-                    out.append(solve(last, held))
-                    held = []
-                held.append(b.slice(s, e - s))
-                last = now
-            yield batch(out)
-        if last is not None:
-            yield batch([solve(last, held)])
-
     def solve(key: tuple, held: list[pa.RecordBatch]) -> np.ndarray:
         seg, _, _, p, q = key
-        fp = np.concatenate([np.asarray(h.column(6)) for h in held]).view(np.uint64)
+        node = np.concatenate([np.asarray(h.column(6)) for h in held])
+        fp = np.stack([np.concatenate([np.asarray(h.column(c)) for h in held]).view(np.uint64) for c in (range(7, 7 + ring.parts) if cols else [6])], axis=1)
         if p == q:
-            return _links(fp, None, seg, segs, distance)
+            return node[_links(fp, None, seg, ring)]
         tile = np.concatenate([np.asarray(h.column(5)) for h in held])
-        return _links(fp[tile == p], fp[tile == q], seg, segs, distance)
+        left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
+        if not len(left) or not len(right):
+            return np.empty((2, 0), np.int64)
+        return np.concatenate([node[left], node[right]])[_links(fp[left], fp[right], seg, ring)]
+
+    by = ["seg", "key", "sub", "p", "q"]
+    return dealt.repartition(C.parts(prints.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key(batches, 5, solve), "src long, dst long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], width: int, solve) -> Iterator[pa.RecordBatch]:
+    """solve(key, batches) for the rows of each key; rows arrive sorted by their first `width` integer columns."""
 
     def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], names=["src", "dst"])
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
 
-    by = ["seg", "key", "sub", "p", "q"]
-    return dealt.repartition(C.parts(prints.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(meet, "src long, dst long")
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        k = np.stack([np.asarray(b.column(i)) for i in range(width)])
+        cuts = [0, *(np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1).tolist(), b.num_rows]
+        out = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e == s:
+                continue
+            now = tuple(k[:, s].tolist())
+            if last is not None and now != last:
+                out.append(solve(last, held))
+                held = []
+            held.append(b.slice(s, e - s))
+            last = now
+        yield batch(out)
+    if last is not None:
+        yield batch([solve(last, held)])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -194,7 +263,129 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     """
     prints = C.materialise(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`")), text_col, shingle, seed, [id_col]), "simhash")
     distinct = prints.groupBy("simhash").agg(F.min(id_col).alias("first"))
-    roots = connected_components(C.materialise(link_forest(distinct.select("simhash"), distance), "simhash-links"))
+    roots = connected_components(C.materialise(link_forest(distinct.select("simhash"), narrow_ring(distance)), "simhash-links"))
     grouped = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("simhash", "component_id")
     return prints.join(named, "simhash").select(id_col, "simhash", "component_id")
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, size of each text's set): distinct 64-bit hashes of each text's runs of `shingle` lower-cased words, sorted
+    in each text. Fewer words than a shingle are one run, no words none."""
+    ids, words, n = C.word_ids([(t or b"").lower() for t in texts], bytes.split)
+    x = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[ids]
+    begin = np.cumsum(n) - n
+    text = np.repeat(np.arange(len(n)), n)
+    k = max(0, len(x) - shingle + 1)
+    fits = np.flatnonzero(text[:k] == text[shingle - 1 :]) if k else np.empty(0, np.int64)
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    whole = np.array([xxhash.xxh3_64_intdigest(x[begin[i] : begin[i] + n[i]].tobytes()) for i in short.tolist()], np.uint64)
+    h = np.concatenate([_mix(_roll(x, _ROLL_BASE, shingle)[fits]) if len(fits) else np.empty(0, np.uint64), whole])
+    text = np.concatenate([text[fits], short])
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])] if len(h) else np.empty(0, bool)
+    return h[new], np.bincount(text[new], minlength=len(n))
+
+
+def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """A row of `parts` 64-bit numbers for each set: a bit is 1 if over half of the set's hashes, mixed anew for each part, set it."""
+    out = np.zeros((len(sizes), parts), np.uint64)
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    for p in range(parts if len(some) else 0):
+        votes = _votes(_mix(hashes ^ _PART_SEED[p]), starts)
+        out[some, p] = np.packbits(votes * 2 > sizes[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def _same_sets(x: list, y: list | None, seen: np.ndarray, shingle: int, similarity: float) -> np.ndarray:
+    """Pairs of row numbers (y's after x's) that connect exactly the texts joined by links within x, or of x with y.
+
+    seen: fingerprints of both. Each text not yet in the others' component is compared with all of those at once.
+    """
+    ring = wide_ring(similarity, seen.shape[1])
+    h, size = shingle_sets([*x, *(y or [])], shingle)
+    _, term = np.unique(h, return_inverse=True)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(int(term.max(initial=-1)) + 1, bool)
+    tree = np.arange(len(size))
+    ends = np.r_[0, np.cumsum(size)]
+    for i in range(len(x)):
+        j = np.arange(len(x), len(size)) if y is not None else np.arange(i + 1, len(size))
+        j = j[(tree[j] != tree[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9)]
+        j = j[ring.within(seen[j], np.broadcast_to(seen[i], (len(j), seen.shape[1])))]
+        if not len(j) or not size[i]:
+            continue
+        own = term[begin[i] : ends[i + 1]]
+        mark[own] = True
+        n = size[j]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[j], n)
+        common = np.add.reduceat(mark[term[at]].astype(np.int64), np.cumsum(n) - n)
+        mark[own] = False
+        hit = j[common >= similarity * (n + size[i] - common) - 1e-9]
+        if len(hit):
+            tree = forest(np.concatenate([np.arange(len(tree)), np.full(len(hit), i)]), np.concatenate([tree, hit]), len(tree))
+    used = np.flatnonzero(tree != np.arange(len(tree)))
+    return np.stack([used, tree[used]])
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): stored rows with `keep`, __id, __row and __node; for each distinct set of shingles its __node, __root
+    and `least`, the first of its rows as a struct by id."""
+    fps = [f"__fp{i}" for i in range(PARTS)]
+    made = T.StructType([T.StructField("__node", T.LongType()), T.StructField("__bytes", T.LongType()), *[T.StructField(c, T.LongType()) for c in fps]])
+
+    def run(texts: list) -> dict:
+        h, size = shingle_sets(texts, shingle)
+        fp, end = wide_fingerprints(h, size), np.cumsum(size)
+        node = np.array([xxhash.xxh3_64_intdigest(h[e - n : e].tobytes()) for e, n in zip(end.tolist(), size.tolist(), strict=True)], np.uint64)
+        return {"__node": pa.array(node.view(np.int64)), "__bytes": pa.array([len(t or b"") for t in texts], pa.int64())} | {c: pa.array(fp[:, i].copy().view(np.int64)) for i, c in enumerate(fps)}
+
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__words"))
+    rows = C.materialise(C.append(src, "__words", run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
+    distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
+    loose = connected_components(C.materialise(link_forest(distinct, wide_ring(similarity), "__node", fps, WIDE_TILE), "wide-links"))
+    members = distinct.select(F.col("__node").alias("node"), F.col("least.__row").alias("__row"), "__bytes", *fps).join(loose, "node")
+    tiles = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(SET_TILE), F.sum("__bytes") / F.lit(SET_BYTES))).cast("int").alias("tiles"))
+    placed = members.join(tiles, "root").select("__row", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int").alias("tile"), *fps)
+    # one text stands for all that share its set, found by its row number: no group of copies meets in a join
+    texts = rows.select("__row", F.col("__words").cast("binary").alias("text")).join(C.materialise(placed, "loose"), "__row")
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", *fps, "text")
+
+    def solve(key: tuple, held: list[pa.RecordBatch]) -> np.ndarray:
+        _, p, q = key
+        t = pa.Table.from_batches(held)
+        node, tile = np.asarray(t.column("node")), np.asarray(t.column("tile"))
+        seen = np.stack([np.asarray(t.column(c)).astype(np.int64).view(np.uint64) for c in fps], axis=1)
+        text = t.column("text").to_pylist()
+        left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q) if q != p else np.empty(0, np.int64)
+        both = np.concatenate([left, right])
+        return node[both][_same_sets([text[i] for i in left], [text[i] for i in right] if q != p else None, seen[both], shingle, similarity)]
+
+    by = ["root", "p", "q"]
+    links = dealt.repartition(C.parts(docs.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key((y for x in batches for y in C.slices(x, 2 << 20)), 3, solve), "src long, dst long")
+    roots = connected_components(C.materialise(links, "similar-links"))
+    return rows, distinct.join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left").select("__node", "least", F.coalesce("root", "__node").alias("__root"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: id, component_id: the smallest id reachable over links, its own included.
+
+    Two texts link if the Jaccard similarity of their sets of `shingle`-word runs (A-Z lower-cased) is `similarity` or more.
+    Null and texts without words are copies of each other. Repeated rows each give a row. A null id has a class too, named
+    by the smallest non-null id. Extra columns don't matter.
+    """
+    rows, sets = _similar(docs, id_col, text_col, [], shingle, similarity)
+    named = sets.join(sets.groupBy("__root").agg(F.min("least").alias("first")), "__root").select("__node", F.col("first.__id").alias("component_id"))
+    return rows.select(F.col("__id").alias(id_col), "__node").join(named, "__node").select(id_col, "component_id")
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the near copies: of each class (see similar_classes) the row with the smallest id stays, of several such
+    rows one. Null ids come last. Rows are told apart by place, not by id, so a repeated id loses no other text."""
+    rows, sets = _similar(docs, id_col, text_col, docs.columns, shingle, similarity)
+    stay = sets.groupBy("__root").agg(F.min("least").alias("first")).select(F.col("first.__row").alias("__row"))
+    # a stored list has a known size: the last join broadcasts it where it is small, and else doesn't
+    go = C.materialise(rows.select("__row").join(stay, "__row", "left_anti"), "copies")
+    return rows.join(go, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -178,9 +178,10 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: list[str] | None = None, digest: bool = False, block_bytes: int = BLOCK_BYTES, part: int = SLICE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: list[str] | None = None, digest: bool = False, unchanged: bool = False, block_bytes: int = BLOCK_BYTES, part: int = SLICE) -> DataFrame:
     """One row per document: id, text (kept words joined by one space), n_words, n_removed, then the columns in `carry`
-    (default: all others). With digest, kept_sha256 stands in for text.
+    (default: all others). With digest, kept_sha256 stands in for text; with unchanged, a text that loses no word stays as
+    it is, white space included.
 
     A null text is empty: no words, text "". Null ids rank before all others. Rows that repeat an id rank by start
     alone, so two equal rows keep or lose the same words. Columns named like a result column are dropped. block_bytes and
@@ -274,9 +275,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keep = b.kept(np.flatnonzero(gone))
         texts, n_kept = [], []
         words, ids = b.words, b.ids
-        for s, n in zip(b.start.tolist(), b.n.tolist(), strict=True):
+        for i, (s, n) in enumerate(zip(b.start.tolist(), b.n.tolist(), strict=True)):
             mine = ids[s : s + n][keep[s : s + n]].tolist()
-            text = b" ".join([words[i] for i in mine])
+            text = b.texts[i] if unchanged and len(mine) == n else b" ".join([words[w] for w in mine])
             n_kept.append(len(mine))
             texts.append(hashlib.sha256(text).hexdigest() if digest else text)
         n_kept = np.array(n_kept, np.int64)

@@ -79,7 +79,7 @@ def test_links_complete(spark, monkeypatch, tile):
     a, b = zip(*[(i, j) for i in range(len(fps)) for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4], strict=True)
     want = forest(np.array(a), np.array(b), len(fps))
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "simhash long")
-    edges = [(r[0] % 2**64, r[1] % 2**64) for r in simhash.link_forest(df).collect()]
+    edges = [(r[0] % 2**64, r[1] % 2**64) for r in simhash.link_forest(df, simhash.narrow_ring(4)).collect()]
     at = {x: i for i, x in enumerate(fps)}
     assert all((x ^ y).bit_count() <= 64 for x, y in edges)
     got = forest(np.array([at[x] for x, _ in edges]), np.array([at[y] for _, y in edges]), len(fps))

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 from ledgerline.llm.common import load
-from tests.llm.test_llm import brute_classes, brute_leaks, brute_substrings, words
+from tests.llm.test_llm import brute_leaks, brute_substrings, words
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +37,6 @@ def test_quality_keeps_good(spark, data, stages):
     assert sum(a == b for a, b in told) / len(told) > 0.97
 
 
-def test_one_of_each_class(stages):
-    before, after = map(pairs, stages[1])
-    assert sorted(i for i, _ in after) == sorted({c for _, _, c in brute_classes(before)})
-    assert set(after) <= set(before)
-
-
 def brute_similar(rows, similarity=0.8):
     """(id, smallest id reachable) over links of texts with a Jaccard similarity of their five-word runs."""
     sets = []
@@ -118,5 +112,40 @@ def test_pack(stages):
     assert got == n and all(sum(v) <= size for (_, size), v in fill.items())
 
 
+TABLE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_rows_not_ids(spark):
+    """A repeated id takes no other text with it; of equal rows one stays; a null id goes before others do."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (20, three), (20, three), (None, three), (None, None), (7, ""), (8, " ")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], TABLE)
+    assert kept(P.keep_one_of_near_copies(spark, docs, "")) == sorted([(1, one), (5, two), (7, ""), (20, three)], key=repr)
+
+
+def test_leak_by_row(spark, data, tmp_path):
+    spark.createDataFrame([("i", "z1 z2 z3 z4 z5 z6 z7 z8 z9")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(5, "q z1 z2 z3 z4 z5 z6 z7 z8 q", None, None, 0), (5, clean, None, None, 0), (None, clean, "x", None, 0), (None, None, None, None, None)], TABLE)
+    assert kept(P.drop_leaked(spark, docs, str(tmp_path))) == sorted([(5, clean), (None, clean), (None, None)], key=repr)
+
+
+def test_stages_on_messy_tables(spark, data):
+    """Nulls everywhere, repeated rows, clashing extra columns, no rows."""
+    long = " ".join(f"v{i % 9000}" for i in range(60_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, long, "en", "s", 5), (3, "a b", None, None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], TABLE + ", row int, __id string, n_words int")
+    for table in (docs, docs.limit(0)):
+        for name, f in P.STAGES:
+            out = f(spark, table, data)
+            n = out.count()
+            assert n <= (2 * table.count() + 40 if name == "packing" else table.count())
+            assert name == "packing" or out.columns == P.COLUMNS
+
+
 def test_run_is_the_stages(spark, data, stages):
     assert sorted(map(repr, P.run(spark, data).collect())) == sorted(map(repr, stages[-1][1].collect()))
