@@ -1,17 +1,17 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage reads what the stage before wrote. All but the last return the columns of documents.
+Each stage reads what the stage before wrote. All but the last return the columns of documents. Rows are told apart by
+place, not by doc_id: a repeated or null id never takes another text with it. Null texts count as empty, extra columns
+are left out, an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, packing, quality, shingles, substrings
-from ledgerline.llm.common import load, materialise, shared_dir
+from ledgerline.llm import decontaminate, packing, quality, simhash, substrings
+from ledgerline.llm.common import load, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,24 +24,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (0.8 or more of their five-word runs in common) the document with the smallest id
-    stays. Rows without an id stay."""
-    # a stored list of ids has a known size: the join broadcasts it where it is small, and else doesn't
-    go = materialise(shingles.classes(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
+    stays, one of several equal rows. A null id counts as the largest."""
+    return simhash.one_of_similar(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove words of 20-word windows that start earlier too; a text that loses words is its kept words, others stay as
-    they are. Documents of which nothing is left go."""
-    done = substrings.dedup_substrings(docs.withColumn("original", F.col("text")), carry=["lang", "source", "n_chars", "original"])
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("original"))
-    return done.filter("n_removed = 0 or n_removed < n_words").withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    they are (a null one empty). Documents of which nothing is left go."""
+    done = substrings.dedup_substrings(docs, carry=["lang", "source", "n_chars"], unchanged=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.filter("n_removed = 0 or n_removed < n_words").withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an 8-word window of a benchmark item."""
-    leaked = materialise(decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")).filter(F.size("items") > 0).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")  # stored, so that numbers stay
+    found = decontaminate.find_contamination(rows, load(spark, sf_dir, "benchmark"), id_col="row")
+    # a stored list has a known size: the join broadcasts it where it is small, and else doesn't
+    leaked = materialise(found.filter(F.size("items") > 0).select(F.col("doc_id").alias("row")), "leaked")
+    return rows.join(leaked, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("near_dedup", keep_one_of_near_copies),
+    ("simhash_near_dedup", keep_one_of_near_copies),
     ("substring_dedup", drop_repeated_passages),
     ("decontamination", drop_leaked),
     ("packing", pack),
@@ -63,9 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{where}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{where}/{k}-{name}")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
