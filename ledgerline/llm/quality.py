@@ -1,15 +1,22 @@
 """Quality classifier: random-indexing word vectors, pooled per document, a two-layer network, calibrated probabilities.
 
-Random indexing: each word has a fixed sparse index vector (a few +1 and -1, from a hash of the word); a word's context
-vector is the sum of the index vectors of its neighbours in the fitting sample. Words fall into BUCKETS rows by hash, so
-the model's size is fixed. A document is the mean of its words' normalised vectors beside a few shape rates (repeats,
-capitals, symbols, lengths), which no context vector can show. Every word of every text counts.
+Words are runs of letters, of digits and of other signs, as written. Each has a fixed sparse index vector (a few +1 and -1,
+from a hash of the word). A word's vector is the sum, over all its occurrences in all documents, of the index vectors of
+the words around it and of itself, each turned by its offset, so that before and after differ; then it is normalised.
+Words fall into BUCKETS rows by hash, so the model's size is fixed; every task adds up its own documents and the sums of
+tasks are added in two levels.
 
-The fit takes a bounded sample of labelled rows (`sample_rows`), the first by a hash of the id; scoring has no bound.
+A document is the mean and the spread of its words' vectors, and the mean product of the vectors of neighbours. There is
+no other input. Every word of every text counts.
+
+The fit of the network takes a bounded sample of labelled rows (`sample_rows`), the first by a hash of the id; the word
+vectors and scoring have no bound.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,80 +29,99 @@ from pyspark.sql import types as T
 from ledgerline.llm import common as C
 
 BUCKETS = 1 << 14
-DIM = 32
+DIM = 64
 #: Non-zero entries of an index vector; words to each side that count as neighbours.
-SPARSE, REACH = 4, 2
-SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-UPPER = bytes(range(65, 91))
-DIGITS = bytes(range(48, 58))
-
-
-def _bucket_ids(text: bytes | None, cache: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
-    words = (text or b"").split()
-    out = np.empty(len(words), np.int32)
-    for i, w in enumerate(words):
-        k = cache.get(w)
-        if k is None:
-            if len(cache) > 500_000:
-                cache.clear()
-            k = cache[w] = xxhash.xxh64_intdigest(w.lower().strip(SYMBOLS) or w, 3) % BUCKETS
-        out[i] = k
-    return out, words
-
-
-def _shape(text: bytes | None, ids: np.ndarray, words: list[bytes]) -> list[float]:
-    """Rates in [0, 1], and log sizes, that tell prose from junk."""
-    text = text or b""
-    n, size = max(1, len(words)), max(1, len(text))
-    symbols, upper, digits = (len(text) - len(text.translate(None, x)) for x in (SYMBOLS, UPPER, DIGITS))
-    same = float((ids[1:] == ids[:-1]).mean()) if len(ids) > 1 else 0.0
-    lines = text.count(b"\n") + 1
-    ends = sum(text.count(x) for x in (b".", b"?", b"!"))
-    distinct = len(np.unique(ids)) / n
-    return [same, symbols / size, upper / size, digits / size, min(1.0, lines / n), min(1.0, ends / n), distinct, np.log1p(n) / 10, min(1.0, len(text) / n / 20), text.count(b"|") / n, min(1.0, symbols / n)]
-
-
-N_SHAPE = 11
-
-
-def index_vectors() -> np.ndarray:
-    """The fixed sparse vector of each bucket."""
+SPARSE, REACH = 8, 2
+#: Numbers that a document is pooled to.
+POOLED = 3 * DIM
+#: Rows of the vectors' sum that travel together.
+CHUNK = 256
+WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x09-\x0D\x20]+")
+
+
+class Buckets:
+    """Bucket numbers of words, remembered up to a bound."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        words = WORD.findall(text or b"")
+        out, seen = np.empty(len(words), np.int32), self.seen
+        for i, w in enumerate(words):
+            k = seen.get(w)
+            if k is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                k = seen[w] = xxhash.xxh64_intdigest(w, 3) % BUCKETS
+            out[i] = k
+        return out
+
+
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the non-zero entries of each bucket's fixed vector; places may repeat."""
     rng = np.random.default_rng(17)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    at = rng.integers(0, DIM, (BUCKETS, SPARSE))
-    sign = rng.choice(np.float32([-1, 1]), (BUCKETS, SPARSE))
-    for k in range(SPARSE):
-        np.add.at(out, (np.arange(BUCKETS), at[:, k]), sign[:, k])
-    return out
-
-
-def word_vectors(texts: list[bytes | None]) -> np.ndarray:
-    """Context vectors of the buckets: neighbours' index vectors summed over the texts, normalised; unseen ones keep their own."""
-    own, cache = index_vectors(), {}
-    total = np.zeros((BUCKETS, DIM), np.float64)
-    held, n = [], 0
-    for t in [*texts, None]:
-        ids, _ = _bucket_ids(t, cache)
-        if len(ids):
-            held.append(ids)
-            n += len(ids)
-        if held and (n > 200_000 or t is None):
-            _accumulate(total, held, own)
-            held, n = [], 0
-    seen = np.abs(total).sum(1) > 0
-    total[~seen] = own[~seen]
-    return (total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))).astype(np.float32)
-
-
-def _accumulate(total: np.ndarray, docs: list[np.ndarray], own: np.ndarray) -> None:
+    return rng.integers(0, DIM, (BUCKETS, SPARSE)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, SPARSE))
+
+
+def context_sums(docs: list[np.ndarray]) -> np.ndarray:
+    """BUCKETS x DIM: for each bucket the turned index vectors of the words within REACH of its occurrences, itself included."""
+    at, sign = index_vectors()
+    total = np.zeros(BUCKETS * DIM)
     ids, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    v, near = own[ids], np.zeros((len(ids), DIM), np.float32)
-    for d in range(1, min(REACH, len(ids) - 1) + 1):
-        inside = (doc[d:] == doc[:-d])[:, None]
-        near[:-d] += v[d:] * inside
-        near[d:] += v[:-d] * inside
-    for k in range(DIM):
-        total[:, k] += np.bincount(ids, weights=near[:, k], minlength=BUCKETS)
+    for d in range(-REACH, REACH + 1):
+        word, near = (slice(max(0, -d), len(ids) - max(0, d)), slice(max(0, d), len(ids) - max(0, -d))) if abs(d) < len(ids) else (slice(0), slice(0))
+        inside = doc[word] == doc[near]
+        x, y = ids[word][inside].astype(np.int64) * DIM, ids[near][inside]
+        total += np.bincount((x[:, None] + (at[y] + d) % DIM).ravel(), weights=sign[y].ravel(), minlength=BUCKETS * DIM)
+    return total.reshape(BUCKETS, DIM)
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Normalised vectors of all buckets, summed over all texts; buckets that no text has are zero."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, buckets, held, n = np.zeros((BUCKETS, DIM)), Buckets(), [], 0
+        for big in batches:
+            for b in C.slices(big, 1 << 20):
+                for t in b.column(0).to_pylist():
+                    held.append(buckets.of(t))
+                    n += len(held[-1])
+                if n > 200_000:
+                    total += context_sums(held)
+                    held, n = [], 0
+        if n:
+            total += context_sums(held)
+        for k in range(0, BUCKETS, CHUNK):
+            if total[k : k + CHUNK].any():
+                yield C.array_row(k, total[k : k + CHUNK].ravel().astype(np.int64))
+
+    sums = C.add_arrays(docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).mapInArrow(count, C.ARRAY_ROW))
+    out = np.zeros((BUCKETS, DIM))
+    for k, x in sums.items():
+        out[k : k + CHUNK] = x.reshape(CHUNK, DIM)
+    return (out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32)
+
+
+def pool(docs: list[np.ndarray], vectors: np.ndarray, run: int = 1 << 15) -> np.ndarray:
+    """A row of POOLED numbers for each document; zeros for one without words."""
+    out = np.zeros((len(docs), 3, DIM))
+    n = np.array([len(d) for d in docs], np.int64)
+    ids, doc = (np.concatenate(docs) if len(docs) else np.empty(0, np.int32)), np.repeat(np.arange(len(docs)), n)
+    for lo in range(0, len(ids), run):
+        own = doc[lo : lo + run]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        v = vectors[ids[lo : lo + run]]
+        after = vectors[ids[lo + 1 : lo + run + 1]] * (doc[lo + 1 : lo + run + 1] == own[: len(ids) - lo - 1])[:, None]
+        for k, x in enumerate((v, v * v, v[: len(after)] * after)):
+            if k < 2 or len(x) == len(v):
+                out[own[cuts], k] += np.add.reduceat(x, cuts, axis=0)
+            elif len(x):  # the last word of all has none after it
+                some = cuts[cuts < len(x)]
+                out[own[some], k] += np.add.reduceat(x, some, axis=0)
+    size = np.maximum(1, n)[:, None]
+    mean = out[:, 0] / size
+    return np.concatenate([mean, np.sqrt(np.maximum(0, out[:, 1] / size - mean * mean)), out[:, 2] / np.maximum(1, n - 1)[:, None]], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -109,30 +135,22 @@ class Model:
     b2: float
     temperature: float = 1.0
 
-    def features(self, texts: list[bytes | None]) -> np.ndarray:
-        cache: dict[bytes, int] = {}
-        out = np.zeros((len(texts), DIM + N_SHAPE), np.float32)
-        for i, t in enumerate(texts):
-            ids, words = _bucket_ids(t, cache)
-            if len(ids):
-                count = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS else None
-                out[i, :DIM] = count @ self.vectors / len(ids) if count is not None else self.vectors[ids].mean(0)
-            out[i, DIM:] = _shape(t, ids, words)
-        return out
-
     def logits(self, x: np.ndarray) -> np.ndarray:
         x = (x - self.mean) / self.scale
         return np.maximum(0, x @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)).astype(np.float64) / self.temperature, -500, 500)))
+    def probabilities(self, texts: list[bytes | None], buckets: Buckets | None = None) -> np.ndarray:
+        buckets = buckets or Buckets()
+        x = pool([buckets.of(t) for t in texts], self.vectors)
+        return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64) / self.temperature, -500, 500)))
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, hidden: int = 24, epochs: int = 60, seed: int = 5) -> Model:
-    """Adam on the logistic loss over four fifths of the rows; the temperature is fitted on the rest."""
+def fit(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 5) -> Model:
+    """Adam on the logistic loss over four fifths of the pooled rows x; the temperature is fitted on the rest,
+    to targets smoothed by one row of either class."""
     rng = np.random.default_rng(seed)
-    m = Model(word_vectors(texts), np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.0)
-    x, y = m.features(texts), labels.astype(np.float32)
+    m = Model(vectors, np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.0)
+    y = labels.astype(np.float32)
     aside = rng.random(len(y)) < 0.2
     if aside.all() or not aside.any() or len(y) < 20:
         aside = np.zeros(len(y), bool)
@@ -149,38 +167,52 @@ def fit(texts: list[bytes | None], labels: np.ndarray, hidden: int = 24, epochs:
             act = np.maximum(0, pre)
             err = (1 / (1 + np.exp(-np.clip(act @ p[2] + p[3][0], -500, 500))) - t[b]) / len(b)
             back = np.outer(err, p[2]) * (pre > 0)
-            grads = [z[b].T @ back + 1e-4 * p[0], back.sum(0), act.T @ err + 1e-4 * p[2], np.array([err.sum()])]
+            grads = [z[b].T @ back + 1e-3 * p[0], back.sum(0), act.T @ err + 1e-3 * p[2], np.array([err.sum()])]
             step += 1
             for i, g in enumerate(grads):
                 first[i] += 0.1 * (g - first[i])
                 second[i] += 0.001 * (g * g - second[i])
-                p[i] -= 0.01 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                p[i] -= 0.005 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     m.w1, m.b1, m.w2, m.b2 = p[0], p[1], p[2], float(p[3][0])
     if aside.any():
         logit, truth = m.logits(x[aside]).astype(np.float64), y[aside]
-        grid = np.exp(np.linspace(np.log(0.5), np.log(8), 60))
-        m.temperature = float(grid[int(np.argmin([np.logaddexp(0, np.where(truth > 0, -logit, logit) / g).mean() for g in grid]))])
+        # smoothed targets: a set told apart without a fault has a finite best temperature too
+        good, n = float(truth.sum()), len(truth)
+        soft = np.where(truth > 0, (good + 1) / (good + 2), 1 / (n - good + 2))
+        grid = np.exp(np.linspace(np.log(0.02), np.log(50), 160))
+        m.temperature = float(grid[int(np.argmin([(soft * np.logaddexp(0, -logit / g) + (1 - soft) * np.logaddexp(0, logit / g)).mean() for g in grid]))])
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[list, np.ndarray]:
-    """At most sample_rows labelled rows, those with the smallest hash of their id; null labels and ids don't count."""
+def sample(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pooled rows, labels) of at most sample_rows labelled ids, those with the smallest hash; null labels and ids don't
+    count. An id with several labels has the smallest, one with several texts that of the least pooled row. Texts are
+    pooled in tasks; only numbers reach the driver."""
     own = labels.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{label_col}`").cast("int").alias("__label")).filter("__key is not null and __label in (0, 1)")
-    picked = own.orderBy(F.xxhash64("__key"), "__key", "__label").limit(sample_rows)  # a bound, so the join can broadcast it
-    rows = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).join(F.broadcast(picked), "__key").select("__key", "t", "__label").toArrow()
-    order = np.lexsort((np.asarray(rows.column("__label")), np.asarray(rows.column("__key"))))
-    texts = rows.column("t").to_pylist()
-    return [texts[i] for i in order], np.asarray(rows.column("__label"))[order]
+    picked = own.groupBy("__key").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)  # a bound, so the join can broadcast it
+    rows = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{text_col}`").cast("string").alias("t")).join(F.broadcast(picked), "__key")
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(texts: list) -> dict:
+        buckets = Buckets()
+        return {"x": pa.array(list(pool([buckets.of(t) for t in texts], sent.value)), pa.list_(pa.float32()))}
+
+    pooled = C.append(rows, "t", run, T.StructType([T.StructField("x", T.ArrayType(T.FloatType()))]), ["__key", "__label"])
+    got = pooled.groupBy("__key", "__label").agg(F.min("x").alias("x")).toArrow()
+    order = np.argsort(np.asarray(got.column("__key")), kind="stable")
+    x = np.asarray(got.column("x").combine_chunks().flatten(), np.float32).reshape(-1, POOLED)
+    return x[order], np.asarray(got.column("__label"))[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000) -> Model:
-    """Fit on at most sample_rows labelled documents. One class, or no rows, gives that class's (or an even) prior."""
-    texts, y = sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    """Word vectors of all docs; the network on at most sample_rows labelled ones. One class, or no rows, gives that class's
+    (or an even) prior."""
+    vectors = word_vectors(docs, text_col)
+    x, y = sample(docs, labels, vectors, id_col, text_col, label_col, sample_rows)
     if len(set(y.tolist())) < 2:
         prior = 0.0 if not len(y) else 4.0 if y[0] else -4.0
-        k = DIM + N_SHAPE
-        return Model(index_vectors(), np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.zeros(1), prior)
-    return fit(texts, y)
+        return Model(vectors, np.zeros(POOLED), np.ones(POOLED), np.zeros((POOLED, 1)), np.zeros(1), np.zeros(1), prior)
+    return fit(vectors, x, y)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -189,9 +221,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     Null and empty texts have no words and get a score like any other. Columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    held: list[Buckets] = []  # one a worker
 
     def run(texts: list) -> dict:
-        p = sent.value.probabilities(texts)
+        held[:] = held or [Buckets()]
+        p = sent.value.probabilities(texts, held[0])
         return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
 
     return C.append(docs, text_col, run, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]), keep)

@@ -196,6 +196,47 @@ def test_quality(spark, data, messy, none):
     assert {r["score"] for r in quality.score(messy, empty).collect()} == {0.5}
 
 
+def test_quality_is_in_the_vectors(spark, data):
+    """Without the word vectors nothing is left to tell texts apart by; with them bad ones are found."""
+    docs, labels = C.load(spark, data, "documents"), C.load(spark, data, "labels")
+    model = quality.train(docs, labels)
+    told = {r["doc_id"]: r["predicted"] for r in quality.score(docs, model).collect()}
+    bad = [told[r["doc_id"]] for r in labels.filter("quality = 0").collect() if r["doc_id"] in told]
+    assert sum(x == 0 for x in bad) / len(bad) > 0.9 and 0.02 < model.temperature < 50
+    model.vectors = np.zeros_like(model.vectors)
+    assert len({r["score"] for r in quality.score(docs, model).collect()}) == 1
+
+
+def test_word_vectors(spark, monkeypatch):
+    """Sums over all documents and pooled rows, word by word."""
+    texts = ["a b a c !!", "a", None, "", "x9 a,b", "b b b"]
+    at, sign = quality.index_vectors()
+    b = quality.Buckets()
+    total = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        w = b.of((t or "").encode())
+        for i in range(len(w)):
+            for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                for k in range(quality.SPARSE):
+                    total[w[i], (at[w[j], k] + j - i) % quality.DIM] += sign[w[j], k]
+    want = total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = quality.word_vectors(df.repartition(3))
+    assert np.allclose(got, want, atol=1e-6)
+    rows = []
+    for t in texts:
+        v = want[b.of((t or "").encode())]
+        rows.append(np.concatenate([v.mean(0), v.std(0), (v[1:] * v[:-1]).mean(0) if len(v) > 1 else np.zeros(quality.DIM)]) if len(v) else np.zeros(quality.POOLED))
+    for run in (2, 3, 1 << 15):
+        assert np.allclose(quality.pool([b.of((t or "").encode()) for t in texts], got, run), rows, atol=2e-3)
+
+
+def test_quality_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 30, f"good words here {i}" if i % 2 else "bad !! bad !!", "x") for i in range(80)], "doc_id long, text string, t string")
+    labels = spark.createDataFrame([(i % 30, i % 2, None) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, x int")
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in quality.score(docs, quality.train(docs, labels)).collect())
+
+
 def test_quality_ignores_held_out_labels(spark, data):
     docs, labels = C.load(spark, data, "documents").select("doc_id", "text"), C.load(spark, data, "labels")
     seen = labels.filter(~C.held_out("doc_id", 3, 1))
