@@ -58,6 +58,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], total: int, copies: str = "copies") -> DataFrame:
+    """rows left-joined to keys, which has one row for each value of `on` and in `copies` how many of the `total` rows have it.
+
+    Values in over a hundredth of all rows, fewer than a hundred of them, are broadcast, so that none of them is one task.
+    """
+    hot = F.broadcast(keys.filter(F.col(copies) * 100 > total))
+    cold = keys.filter(F.col(copies) * 100 <= total)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, "left"))
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """crc32 of the id's decimal text, mod `modulus`, equals `remainder`; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

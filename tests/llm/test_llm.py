@@ -429,6 +429,16 @@ def test_url_templates(spark):
 # ---- embeddings
 
 
+def brute_vectors(rows, threshold=0.95):
+    """{id: (n_links, component_id)} of rows of usable vectors of one length."""
+    u = np.array([v / np.abs(v).max() for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    a, b = np.nonzero(u @ u.T >= threshold)
+    root, degree, ids = forest(a, b, len(rows)), np.bincount(a) - 1, [i for i, _ in rows]
+    least = {r: min(i for i, x in zip(ids, root.tolist(), strict=True) if x == r) for r in set(root.tolist())}
+    return {i: (int(degree[k]), least[int(root[k])]) for k, i in enumerate(ids)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(30, 16))
@@ -436,44 +446,52 @@ def test_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(5)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None, 1.0] * 8), (2004, []), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (2007, [float("inf")] * 16), (2008, (x[3] * 1e200).tolist())]
     df = spark.createDataFrame([(i, v, "z") for i, v in rows], "vec_id long, embedding array<double>, n_links string")
     got = {r["vec_id"]: r for r in vectors.near_duplicates(df).collect()}
-    good = [(i, np.array(v)) for i, v in rows if v and len(v) == 16 and all(c is not None and math.isfinite(c) for c in v) and any(v)]
-    u = np.array([v / np.abs(v).max() for _, v in good])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    a, b = np.nonzero(u @ u.T >= 0.95)
-    root = forest(a, b, len(good))
-    degree = np.bincount(a) - 1
-    ids = [i for i, _ in good]
-    found = sum(got[i]["n_links"] for i in ids) / degree.sum()
-    assert 0.98 <= found <= 1 and got[0]["audited_recall"] >= 0.9
-    if found == 1:
-        assert all(got[i]["component_id"] == ids[root[k]] for k, i in enumerate(ids))
+    want = brute_vectors([(i, np.array(v)) for i, v in rows if v and len(v) == 16 and all(c is not None and math.isfinite(c) for c in v) and any(v)])
+    found = sum(got[i]["n_links"] for i in want) / sum(n for n, _ in want.values())
+    assert 0.98 <= found <= 1 and got[0]["audited_recall"] >= 0.98 and got[0]["audited_links"] >= 200
+    assert all(got[i]["component_id"] == c for i, (_, c) in want.items())
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in (2000, 2001, 2002, 2003, 2004, 2007)) and got[2006]["component_id"] == 2005 and got[2005]["n_links"] == 1
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("exact", [False, True])
-def test_links_across_cells(spark, monkeypatch, exact):
-    """One group of near copies over many small cells, with tiles of cells and of their queries."""
-    monkeypatch.setattr(vectors, "CELL", 60)
-    monkeypatch.setattr(vectors, "SHARD", 20)
-    monkeypatch.setattr(vectors, "CELL_TILE", 150)
+@pytest.mark.parametrize("group", [4, 64])
+def test_links_across_cells(spark, monkeypatch, exact, group):
+    """One group of near copies over many small cells, and sparse pairs, with tiles of clusters, of cells and of askers."""
+    for name, x in (("CELL", 60), ("SHARD", 20), ("SHARD_TILE", 32), ("CELL_TILE", 64), ("GROUP", group)):
+        monkeypatch.setattr(vectors, name, x)
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(500, 32)) * 0.15, rng.normal(size=(300, 32))])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(int(a), int(b)) for a, b in np.argwhere(u @ u.T >= 0.95) if a < b}
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vec array<double>")
-    got = {tuple(r) for r in vectors.links(df, 0.95, len(x), **({"exact": True} if exact else {})).collect()}
-    assert got <= want and len(got) >= (1 if exact else 0.9) * len(want) and len(want) > 10_000
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.15, rng.normal(size=(200, 32))])
+    x = np.concatenate([x, x[-100:] + rng.normal(size=(100, 32)) * 0.1])
+    want = brute_vectors(list(enumerate(x)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "key long, vec array<double>, copies long")
+    out = vectors.neighbours(df, 0.95, len(x), exact=exact).collect()
+    n = collections.Counter()
+    for r in out:
+        if r["b"] is None:
+            n[r["a"]] += r["n"]
+    truth = {i: k for i, (k, _) in want.items() if k}
+    assert all(n[i] <= truth.get(i, 0) for i in n) and sum(n.values()) >= (1 if exact else 0.95) * sum(truth.values())
+    edges = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+    root = forest(np.array([a for a, _ in edges]), np.array([b for _, b in edges]), len(x))
+    if exact or sum(n.values()) == sum(truth.values()):
+        assert [int(r) for r in root] == [want[i][1] for i in range(len(x))]
+    assert len(out) < 40 * len(x)  # numbers and forests, not pairs
 
 
 def test_recall_is_reached_without_the_graph(spark, monkeypatch):
     """Where no rebuilt graph finds anything, the last attempt compares exactly."""
-    plain = vectors.links
-    monkeypatch.setattr(vectors, "links", lambda *a, exact=False: plain(*a, exact=exact) if exact else plain(*a).limit(0))
+    plain = vectors.neighbours
+    monkeypatch.setattr(vectors, "neighbours", lambda *a, exact=False: plain(*a, exact=exact) if exact else plain(*a).limit(0))
     df = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(20)], "vec_id long, embedding array<double>")
     assert {(r["n_links"], r["component_id"], r["audited_recall"]) for r in vectors.near_duplicates(df).collect()} == {(19, 0, 1.0)}
 
 
+def test_nothing_to_audit(spark):
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(20)]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["audited_recall"], r["audited_links"]) for r in vectors.near_duplicates(df).collect()} == {(0, None, 0)}
+
+
 def test_prune_keeps_near_and_spreads():
     p = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0, 1]], float)
     p /= np.linalg.norm(p, axis=1, keepdims=True)
