@@ -122,23 +122,11 @@ WITH rest AS (
   SELECT host, path, rule, verdict, CASE WHEN verdict = 'block' THEN n ELSE 0 END AS blocked, CASE WHEN verdict = 'allow' THEN n ELSE 0 END AS allowed, n,
     list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs
   FROM paths LEFT JOIN ruled USING (host, path)
-), steps AS (
-  SELECT host, path, n, blocked, allowed, d AS depth, segs[d] AS seg, array_to_string(segs[1:d - 1], '/') AS parent
-  FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS d FROM urls)
-), children AS (
-  SELECT host, depth, parent, seg, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed FROM steps GROUP BY ALL
-), nodes AS (
-  SELECT host, depth, parent, count(*) AS kinds, sum(n) AS urls, sum(blocked) AS all_blocked, sum(blocked) + sum(allowed) AS all_labelled FROM children GROUP BY ALL
-), named AS (
-  SELECT host, depth, parent, seg, CASE
-    WHEN kinds >= 8 AND urls < 3.0 * kinds THEN '*'
-    WHEN blocked + allowed > 0 AND abs(blocked - (blocked + allowed) * (all_blocked / all_labelled)) <= 2.0 * sqrt((blocked + allowed) * (all_blocked / all_labelled) * (1 - all_blocked / all_labelled) + 0.25) THEN '~'
-    ELSE seg END AS name
-  FROM children JOIN nodes USING (host, depth, parent)
-), told AS (
-  SELECT host, path, string_agg(name, '/' ORDER BY depth) AS template FROM steps JOIN named USING (host, depth, parent, seg) GROUP BY ALL
+), l0 AS (
+  SELECT *, '' AS template FROM urls
+LEVELS
 ), shaped AS (
-  SELECT host, path, rule, verdict, blocked, allowed, '/' || coalesce(template, '') AS template FROM urls LEFT JOIN told USING (host, path)
+  SELECT host, path, rule, verdict, blocked, allowed, CASE template WHEN '' THEN '/' ELSE template END AS template FROM l8
 ), shares AS (
   SELECT host, template, (sum(blocked) + 1) / (sum(blocked) + sum(allowed) + 2) AS rejected_share FROM shaped GROUP BY ALL
 )
@@ -146,6 +134,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN rejected_share >=
 FROM parts JOIN shaped USING (host, path) JOIN shares USING (host, template)
 """
 
+#: A level of the template tree: children of a node, the nodes, their children's names, paths with one more name.
+_LEVEL = """), c{d} AS MATERIALIZED (
+  SELECT host, template, {seg} AS seg, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed FROM l{p} WHERE len(segs) >= {d} GROUP BY ALL
+), n{d} AS (
+  SELECT host, template, count(*) AS kinds, sum(n) AS urls, sum(blocked) AS all_blocked, sum(blocked) + sum(allowed) AS all_labelled FROM c{d} GROUP BY ALL
+), m{d} AS (
+  SELECT host, template, seg, CASE
+    WHEN kinds >= 8 AND urls < 3.0 * kinds THEN '*'
+    WHEN blocked + allowed > 0 AND abs(blocked - (blocked + allowed) * (all_blocked / all_labelled)) <= 2.0 * sqrt((blocked + allowed) * (all_blocked / all_labelled) * (1 - all_blocked / all_labelled) + 0.25) THEN '~'
+    ELSE seg END AS name
+  FROM c{d} JOIN n{d} USING (host, template)
+), l{d} AS MATERIALIZED (
+  SELECT l{p}.* EXCLUDE (template), l{p}.template || coalesce('/' || name, '') AS template FROM l{p} LEFT JOIN m{d} ON l{p}.host = m{d}.host AND l{p}.template = m{d}.template AND len(segs) >= {d} AND {seg} = m{d}.seg"""
+OP4_SQL = OP4_SQL.replace("LEVELS", "\n".join(_LEVEL.format(d=d, p=d - 1, seg="array_to_string(segs[8:], '/')" if d == 8 else f"segs[{d}]") for d in range(1, 9)))
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

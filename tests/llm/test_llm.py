@@ -426,6 +426,19 @@ def test_url_templates(spark):
     assert {r["template"] for r in urls.judge(slugs, [], label=F.col("bad")).collect()} == {"/~/*"}
 
 
+def test_url_tree_below_wildcards(spark):
+    """Urls of one shape are one template, whatever their words; repeated rows and very long paths."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    rows = [(f"http://h.org/user/{word()}/{word()}", True) for _ in range(200)] + [(f"http://h.org/user/{word()}/{word()}", None) for _ in range(40)]
+    rows += [("http://h.org/user/x/y", None)] * 30 + [("http://l.org" + "/s" * 10_000, False), ("http://l.org" + "/s" * 10_000 + "/t", None), (None, None), ("", True)]
+    df = spark.createDataFrame([(u, b, "z") for u, b in rows], "url string, bad boolean, template string")
+    got = urls.judge(df, [], label=F.col("bad")).collect()
+    mine = [r for r in got if r["host"] == "h.org"]
+    assert len(got) == len(rows) and {r["template"] for r in mine} == {"/~/*/*"} and {r["verdict"] for r in mine} == {"block"}
+    assert {r["verdict"] for r in got if r["host"] == "l.org"} == {"allow"}
+
+
 # ---- embeddings
 
 
