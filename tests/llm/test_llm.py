@@ -347,7 +347,7 @@ def test_lm_beats_base(spark, data):
 def test_packing_bins():
     rnd = np.random.default_rng(6)
     lengths = rnd.integers(1, 129, 3000)
-    bins, offset, size = packing.pack_lengths(lengths, (32, 64, 128), 4)
+    bins, offset, size = packing.pack_lengths(lengths, (32, 64, 128), {32: 36, 64: 68, 128: 132})
     fill = np.bincount(bins, weights=lengths)
     cap = np.zeros(len(fill), int)
     cap[bins] = size
@@ -359,7 +359,63 @@ def test_packing_bins():
         o = mine[np.argsort(offset[mine])]
         assert (offset[o] == np.cumsum(lengths[o]) - lengths[o]).all()
     assert len(packing.pack_lengths(np.empty(0, np.int64), (32,))[0]) == 0
-    assert packing.pack_lengths(np.array([5, 5]), (8, 16), 0)[2].tolist() == [16, 16] or packing.pack_lengths(np.array([5, 5]), (8, 16), 0)[2].tolist() == [8, 8]
+
+
+def price(found, costs):
+    return sum({b: costs[c] for b, c in zip(found[0].tolist(), found[2].tolist(), strict=True)}.values())
+
+
+def test_packing_sizes_are_chosen():
+    """A smaller size is opened long before the end where it is cheaper, a larger one where that fills better."""
+    sizes, costs = (512, 1024, 2048, 4096), {c: packing.cost_of(c) for c in (512, 1024, 2048, 4096)}
+    assert set(packing.pack_lengths(np.full(5000, 512))[2].tolist()) == {512}
+    assert set(packing.pack_lengths(np.full(5000, 400))[2].tolist()) != {512}  # five of them in 2048 waste less
+    rnd = np.random.default_rng(8)
+    mixed = np.minimum(4096, np.exp(rnd.normal(5.5, 1.2, 20_000)).astype(np.int64) + 1)
+    b, _, c = packing.pack_lengths(mixed)
+    kinds = collections.Counter(dict(zip(b.tolist(), c.tolist(), strict=True)).values())
+    assert all(kinds[c] > 0.02 * sum(kinds.values()) for c in (512, 1024, 2048, 4096)), kinds
+    for single in sizes:
+        assert price((b, None, c), costs) <= price(packing._pack(mixed, sizes, costs, single), costs)
+
+
+def test_packing_near_the_optimum():
+    """At most a quarter over the cheapest of all packings of a few pieces, and equal to it in most cases."""
+    import functools
+
+    rnd, equal = random.Random(9), 0
+    sizes, costs = (4, 8, 16), {4: 5, 8: 9.5, 16: 20}
+    for _ in range(150):
+        lengths = [rnd.randrange(1, 17) for _ in range(rnd.randrange(1, 9))]
+
+        @functools.lru_cache(None)
+        def least(left):
+            if not left:
+                return 0.0
+            best, rest = math.inf, left[1:]
+            for pick in range(1 << len(rest)):
+                own = left[0] + sum(x for k, x in enumerate(rest) if pick >> k & 1)
+                if own <= 16:
+                    best = min(best, costs[next(c for c in sizes if c >= own)] + least(tuple(x for k, x in enumerate(rest) if not pick >> k & 1)))
+            return best
+
+        got, want = price(packing.pack_lengths(np.array(lengths), sizes, costs), costs), least(tuple(sorted(lengths, reverse=True)))
+        assert want - 1e-9 <= got <= 1.25 * want
+        equal += got <= want + 1e-9
+    assert equal > 100
+
+
+def test_packing_shards(spark, monkeypatch):
+    """Rows of one id, and of none, spread over shards; each piece is in one bin."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    df = spark.createDataFrame([(None if i % 2 else 7, 1 + i % 90) for i in range(600)], "doc_id long, n_tokens long")
+    got = packing.pack_documents(df, sizes=(64, 128)).collect()
+    shard = collections.Counter(r["bin_id"] >> 32 for r in got)
+    assert len(got) == 600 and len(shard) == 12 and max(shard.values()) < 120
+    fill = collections.Counter()
+    for r in got:
+        fill[r["bin_id"], r["bin_size"]] += r["n_tokens"]
+    assert all(n <= c for (_, c), n in fill.items()) and sum(fill.values()) == sum(1 + i % 90 for i in range(600))
 
 
 def test_packing_documents(spark, messy, none):
