@@ -125,8 +125,16 @@ def parts(spark: SparkSession, total_bytes: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // (32 << 20)))
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, carry: list[str], block_bytes: int, total_bytes: int) -> tuple[DataFrame, pa.Schema]:
-    """(block, blob) rows. A block is a set of documents fixed by a hash of id and text, about block_bytes of text.
+def runs_and_slices(total_bytes: int, block_bytes: int) -> tuple[int, int]:
+    """(blocks in a run, slices of what they send): a run sends one message to each slice. Both numbers grow with the square
+    root of the blocks, so that messages grow with the corpus and not with its square."""
+    root = np.sqrt(max(1, -(-total_bytes // block_bytes)))
+    return max(1, round(root / 16)), max(1, int(np.ceil(16 * root)))
+
+
+def pack(df: DataFrame, id_col: str, text_col: str, carry: list[str], block_bytes: int, total_bytes: int, per_run: int = 1) -> tuple[DataFrame, pa.Schema]:
+    """(run, block, blob) rows, partitioned by run. A block is a set of documents fixed by a hash of id and text, about
+    block_bytes of text; a run is `per_run` blocks, which a task takes one by one.
 
     The set doesn't depend on the input's order or partitions, so a recomputed task remakes the same blocks. One block
     may come as several rows. Columns in a blob: __id (long, null if null), __text (binary, empty if null), then `carry`.
@@ -153,9 +161,19 @@ def pack(df: DataFrame, id_col: str, text_col: str, carry: list[str], block_byte
                 for s, e in zip(cut.tolist(), ends, strict=True):
                     piece = rest.take(pa.array(np.arange(s, e)))
                     blobs.append(z.compress(piece.serialize()))
-                yield pa.RecordBatch.from_arrays([pa.array(at[order][cut], pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
+                block = at[order][cut]
+                yield pa.RecordBatch.from_arrays([pa.array(block // per_run, pa.int64()), pa.array(block, pa.int64()), pa.array(blobs, pa.binary())], names=["run", "block", "blob"])
+
+    return src.mapInArrow(run, "run long, block long, blob binary").repartition(parts(df.sparkSession, total_bytes), "run"), inner
+
 
-    return src.mapInArrow(run, "block long, blob binary").repartition(parts(df.sparkSession, total_bytes), "block"), inner
+def blocks_of(rows: pa.Table | list[pa.RecordBatch], inner: pa.Schema) -> Iterator[tuple[int, pa.Table]]:
+    """(block, its documents) of the rows of one run, by block."""
+    t = rows if isinstance(rows, pa.Table) else pa.Table.from_batches(rows)
+    block = np.asarray(t.column("block"))
+    blobs = t.column("blob")
+    for k in np.unique(block).tolist():
+        yield k, unpack((blobs[i].as_py() for i in np.flatnonzero(block == k).tolist()), inner)
 
 
 def unpack(blobs: Iterable[bytes], inner: pa.Schema) -> pa.Table:

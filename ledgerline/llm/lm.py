@@ -4,8 +4,10 @@ Tokens are lower-cased words and one end per text. Each token belongs to an emis
 have one each, all others share one by their last letters (`ENDINGS` of them by hash). A state emits a class, the class a
 token by its count in training; so the model's size is fixed while its counts grow with the corpus.
 
-1. Token counts: blocks of documents send their distinct tokens, as 64-bit hashes with training counts, to slices of the
-   vocabulary; each gets back the corpus counts of the tokens it asked about. No vocabulary is gathered or broadcast.
+1. Token counts: runs of blocks of documents send their distinct tokens, as 64-bit hashes with training counts, to slices
+   of the vocabulary; each gets back the corpus counts of the tokens it asked about. Runs and slices grow with the square
+   root of the corpus, so that messages grow with it. No vocabulary is gathered or broadcast; what slices report for the
+   model is added up in tasks.
 2. Blocks are stored as class numbers beside each text's count-based scores.
 3. Baum-Welch: start values come from a bounded sample; then each full round sums the expected counts of all training
    texts, a row per state and task, added up per state.
@@ -31,6 +33,8 @@ END = b"\n"
 TOP, ENDINGS = 1024, 1024
 STATES = 8
 BLOCK_BYTES = 4 << 20
+#: Least text whose tokens make a slice of the vocabulary.
+SLICE_BYTES = 16 << 20
 #: Tokens of the sample that start values are fitted on; rounds on it, and on everything.
 SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 150_000, 12, 2
 
@@ -53,12 +57,6 @@ class Words:
         weight = np.repeat(~self.held, self.n).astype(np.float64)
         self.count = np.bincount(self.ids, weights=weight, minlength=len(words)).astype(np.int64)
 
-    def order(self, slices: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens by (slice, hash), and the slices in that order."""
-        part = self.hash % np.uint64(slices)
-        order = np.lexsort((self.hash, part))
-        return order, part[order]
-
 
 class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
@@ -163,6 +161,29 @@ def _by_length(classes: np.ndarray, lengths: np.ndarray, most: int = 1_000_000)
         yield texts, Batch(np.concatenate([classes[b : b + n] for b, n in zip(begin[texts].tolist(), lengths[texts].tolist(), strict=True)]), lengths[texts])
 
 
+def _merged(blocks: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, training count, ending) of the distinct tokens of some blocks, by hash."""
+    held, first, at = np.unique(np.concatenate([w.hash for w in blocks]), return_index=True, return_inverse=True)
+    count = np.bincount(at, weights=np.concatenate([w.count for w in blocks]), minlength=len(held)).astype(np.int64)
+    return held, count, np.concatenate([w.ending for w in blocks])[first]
+
+
+def _sliced(held: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by (slice, hash), and the slices in that order."""
+    part = held % np.uint64(slices)
+    order = np.lexsort((held, part))
+    return order, part[order]
+
+
+def _reported(a: list | None, b: list) -> list:
+    """Two reports of slices as one: mass and kinds of endings, and the TOP most frequent tokens with count and ending."""
+    if a is None:
+        return b
+    h, c, e = (np.concatenate(x) for x in zip(a[2:], b[2:], strict=True))
+    best = np.lexsort((h, -c))[:TOP]
+    return [a[0] + b[0], a[1] + b[1], h[best], c[best], e[best]]
+
+
 CODED = "block long, ids array<long>, held array<boolean>, n array<int>, known array<int>, base array<double>, own array<double>, classes binary"
 
 
@@ -203,16 +224,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False)).alias("held_out"))
     total = C.text_bytes(src, "text")
-    blocks, inner = C.pack(src, "doc_id", "text", ["held_out"], BLOCK_BYTES, total)
-    slices = max(1, -(-total // (16 << 20)))
+    per_run, slices = C.runs_and_slices(total, BLOCK_BYTES)
+    slices = max(1, min(slices, -(-total // SLICE_BYTES)))
+    blocks, inner = C.pack(src, "doc_id", "text", ["held_out"], BLOCK_BYTES, total, per_run)
     parts = C.parts(spark, total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _grouped(batches):
-            w = Words(C.unpack((x for r in rows for x in r.column(1).to_pylist()), inner))
-            order, part = w.order(slices)
-            out = [(s, block, C.squeeze(w.hash[order[lo:hi]], _narrow(w.count[order[lo:hi]]), w.ending[order[lo:hi]])) for s, lo, hi in _runs(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["slice", "block", "blob"])
+        for run, rows in _grouped(batches):
+            held, count, ending = _merged([Words(t) for _, t in C.blocks_of(rows, inner)])
+            order, part = _sliced(held, slices)
+            out = [(s, run, C.squeeze(held[order[lo:hi]], _narrow(count[order[lo:hi]]), ending[order[lo:hi]])) for s, lo, hi in _runs(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["slice", "run", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _grouped(batches):
@@ -226,23 +248,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             top = np.lexsort((h, -c))[:TOP]
             top = top[known[top]]
             stats = C.squeeze(np.bincount(ending[known], weights=c[known], minlength=ENDINGS).astype(np.int64), np.bincount(ending[known], minlength=ENDINGS).astype(np.int64), h[top], c[top], ending[top])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([s]), pa.array([stats], pa.binary())], names=["block", "slice", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([s]), pa.array([stats], pa.binary())], names=["run", "slice", "blob"])
             lo = 0
-            for block, x in zip(owners, asked, strict=True):
+            for run, x in zip(owners, asked, strict=True):
                 hi = lo + len(x[0])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([s]), pa.array([C.squeeze(_narrow(c[at[lo:hi]]))], pa.binary())], names=["block", "slice", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([s]), pa.array([C.squeeze(_narrow(c[at[lo:hi]]))], pa.binary())], names=["run", "slice", "blob"])
                 lo = hi
 
-    sent = blocks.sortWithinPartitions("block").mapInArrow(send, "slice long, block long, blob binary")
-    replies = C.materialise(sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(count, "block long, slice long, blob binary"), "counts")
-    mass, kinds = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
-    top = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    for (blob,) in replies.filter("block is null").select("blob").toLocalIterator():
-        m, k, h, c, e = C.unsqueeze(bytes(blob))
-        mass, kinds = mass + m, kinds + k
-        both = tuple(np.concatenate(x) for x in zip(top, (h, c, e), strict=True))
-        best = np.lexsort((both[0], -both[1]))[:TOP]
-        top = tuple(x[best] for x in both)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What several slices report, as one report."""
+        all_ = None
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                all_ = _reported(all_, C.unsqueeze(blob))
+        if all_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([C.squeeze(*all_)], pa.binary())], names=["blob"])
+
+    sent = blocks.sortWithinPartitions("run").mapInArrow(send, "slice long, run long, blob binary")
+    replies = C.materialise(sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(count, "run long, slice long, blob binary"), "counts")
+    report = None
+    reports = replies.filter("run is null").select("slice", "blob").repartition(max(1, int(np.sqrt(slices))), "slice").select("blob").mapInArrow(add, "blob binary")
+    for (blob,) in reports.toLocalIterator():
+        report = _reported(report, C.unsqueeze(bytes(blob)))
+    none = np.empty(0, np.int64)
+    mass, kinds, *top = report or (np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64), none.astype(np.uint64), none, none)
     n, v = int(mass.sum()), int(kinds.sum())
     np.subtract.at(mass, top[2], top[1])
     np.subtract.at(kinds, top[2], 1)
@@ -254,26 +283,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["block", "ids", "held", "n", "known", "base", "own", "classes"]
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()]
+        made = [pa.table([pa.array([], k) for k in types], names=names)]
         if not left.num_rows:
-            return pa.table([pa.array([], k) for k in types], names=names)
-        w = Words(C.unpack(left.column("blob").to_pylist(), inner))
-        order, part = w.order(slices)
+            return made[0]
+        run = [(block, Words(t)) for block, t in C.blocks_of(left, inner)]
+        held, _, _ = _merged([w for _, w in run])
+        order, part = _sliced(held, slices)
         got = dict(zip(right.column("slice").to_pylist(), right.column("blob").to_pylist(), strict=True))
-        c = np.empty(len(order), np.int64)
-        c[order] = np.concatenate([C.unsqueeze(got[s])[0].astype(np.int64) for s, _, _ in _runs(part)])
-        base = np.log10((c + 1) / (n + v + 1))
-        kind = w.ending.astype(np.int64) + TOP
-        own = np.log10((c + 1) / (mass[w.ending] + kinds[w.ending] + 1))
-        if len(sorted_top):
-            p = np.minimum(np.searchsorted(sorted_top, w.hash), len(sorted_top) - 1)
-            is_top = sorted_top[p] == w.hash
-            kind[is_top], own[is_top] = by_hash[p[is_top]], 0.0
-        text = np.repeat(np.arange(len(w.n)), w.n)
-        total_of = lambda x: np.bincount(text, weights=x[w.ids], minlength=len(w.n))
-        row = [left.column("block")[0].as_py(), w.docs.column("__id").to_pylist(), w.held, w.n.astype(np.int32), total_of((c > 0).astype(np.float64)).astype(np.int32), total_of(base), total_of(own), C.squeeze(kind[w.ids].astype(np.uint16))]
-        return pa.table([pa.array([x], k) for x, k in zip(row, types, strict=True)], names=names)
-
-    coded = C.materialise(blocks.groupBy("block").cogroup(replies.filter("block is not null").groupBy("block")).applyInArrow(code, CODED), "coded")
+        told = np.empty(len(order), np.int64)
+        told[order] = np.concatenate([C.unsqueeze(got[s])[0].astype(np.int64) for s, _, _ in _runs(part)])
+        for block, w in run:
+            c = told[np.searchsorted(held, w.hash)]
+            base = np.log10((c + 1) / (n + v + 1))
+            kind = w.ending.astype(np.int64) + TOP
+            own = np.log10((c + 1) / (mass[w.ending] + kinds[w.ending] + 1))
+            if len(sorted_top):
+                p = np.minimum(np.searchsorted(sorted_top, w.hash), len(sorted_top) - 1)
+                is_top = sorted_top[p] == w.hash
+                kind[is_top], own[is_top] = by_hash[p[is_top]], 0.0
+            text = np.repeat(np.arange(len(w.n)), w.n)
+            total_of = lambda x: np.bincount(text, weights=x[w.ids], minlength=len(w.n))  # noqa: B023, E731
+            row = [block, w.docs.column("__id").to_pylist(), w.held, w.n.astype(np.int32), total_of((c > 0).astype(np.float64)).astype(np.int32), total_of(base), total_of(own), C.squeeze(kind[w.ids].astype(np.uint16))]
+            made.append(pa.table([pa.array([x], k) for x, k in zip(row, types, strict=True)], names=names))
+        return pa.concat_tables(made)
+
+    coded = C.materialise(blocks.groupBy("run").cogroup(replies.filter("run is not null").groupBy("run")).applyInArrow(code, CODED), "coded")
 
     model = Hmm.random(frequency, states)
     sample = coded.orderBy("block").limit(1).toArrow().to_pylist()  # one block: a bounded part

@@ -3,8 +3,10 @@
 A window is `window` consecutive words of one document. Every word covered by a window whose word sequence also starts
 earlier (smaller id, or the same id and an earlier start) goes. Windows are judged on the input.
 
-Documents are dealt to blocks (a hash of id and text) and packed. Three exchanges of packed arrays follow, each keyed by
-a hash, so that nothing is gathered on the driver or broadcast:
+Documents are dealt to blocks (a hash of id and text) and packed; a run of blocks is one task's work, taken a block at a
+time. Three exchanges of packed arrays follow, each keyed by a hash, so that nothing is gathered on the driver or broadcast.
+A run sends one message to each slice of the sketch and each bucket of windows; blocks in a run, slices and buckets grow
+with the square root of the corpus, so that messages grow with the corpus:
 
 1. Each block builds its partition sketch: the cells of a count-min sketch that its distinct windows fall in, once or
    more often, per row of the sketch. Slices of the sketch merge all blocks' counts; a block gets one bit for each cell
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from ledgerline.llm import common as C
 
 BLOCK_BYTES = 4 << 20
-#: Cells of one slice of one row of the sketch.
+#: Least cells of one slice of one row of the sketch.
 SLICE = 1 << 22
 ROWS = 2
 #: Odd multipliers of the two rolling fingerprints; 3 modulo 4, so that differences of powers keep most bits.
@@ -112,22 +114,24 @@ class Block:
     def cells(self, row: int, width: int) -> np.ndarray:
         return (self.h[row][self.first] >> np.uint64(3)) & np.uint64(width - 1)
 
-    def estimated_repeated(self, replies: pa.Table, width: int) -> np.ndarray:
-        """Positions in `first` of the windows whose estimate is two or more."""
+    def estimated_repeated(self, bits: dict[tuple[int, int], list], width: int) -> np.ndarray:
+        """Positions in `first` of the windows whose estimate is two or more. bits: by row and slice, what the run was told
+        and how much of it earlier blocks have used."""
         ok = np.ones(len(self.first), bool)
-        bits = {(r, s): x for r, s, x in zip(*(replies.column(c).to_pylist() for c in ("row", "slice", "blob")), strict=True)}
         for row in range(ROWS):
             cells = self.cells(row, width)
             distinct, at = np.unique(cells, return_inverse=True)
             flag = np.zeros(len(distinct), bool)
             for s, lo, hi in _runs(distinct // np.uint64(self.part)):
-                flag[lo:hi] = np.unpackbits(np.frombuffer(bits[row, s], np.uint8), count=hi - lo).astype(bool)
+                told = bits[row, s]
+                flag[lo:hi] = np.unpackbits(told[0][told[1] // 8 :], count=told[1] % 8 + hi - lo)[told[1] % 8 :].astype(bool)
+                told[1] += hi - lo
             ok &= flag[at]
         return np.flatnonzero(ok)
 
-    def candidates(self, replies: pa.Table, width: int) -> np.ndarray:
-        """Window numbers of the candidates, in order of bucket key, then of place."""
-        return np.sort(self.first[self.estimated_repeated(replies, width)])
+    def candidates(self, bits: dict[tuple[int, int], list], width: int) -> np.ndarray:
+        """Window numbers of the candidates, in order of place."""
+        return np.sort(self.first[self.estimated_repeated(bits, width)])
 
     def kept(self, drop: np.ndarray) -> np.ndarray:
         """Words that no dropped window covers."""
@@ -191,61 +195,78 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     carry = [c for c in (docs.columns if carry is None else carry) if c not in {id_col, text_col, *made}]
     spark = docs.sparkSession
     total = C.text_bytes(docs, text_col)
+    per_run, slices = C.runs_and_slices(total, block_bytes)
     width = _window_cells(total, part)
-    blocks, inner = C.pack(docs, id_col, text_col, carry, block_bytes, total)
+    part = max(part, width >> max(0, int(np.ceil(np.log2(slices)))))
+    blocks, inner = C.pack(docs, id_col, text_col, carry, block_bytes, total, per_run)
     parts = C.parts(spark, total)
-    buckets = max(1, -(-total // (16 << 20)))
+    buckets = max(1, min(slices, -(-total // (16 << 20))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _grouped(batches):
-            b = Block(C.unpack((x for r in rows for x in r.column(1).to_pylist()), inner), window, part)
-            out = []
-            for row in range(ROWS):
-                cells = b.cells(row, width)
-                distinct, at = np.unique(cells, return_inverse=True)
-                several = np.bincount(at, weights=b.times, minlength=len(distinct)) > 1
-                for s, lo, hi in _runs(distinct // np.uint64(part)):
-                    own = (distinct[lo:hi] - np.uint64(s * part)).astype(np.uint32)
-                    out.append((s, row, block, C.squeeze(_delta(own), np.packbits(several[lo:hi]))))
-            yield _table(out, ["slice", "row", "block", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+        for run, rows in _grouped(batches):
+            out: dict[tuple[int, int], list] = {}
+            for _, docs_here in C.blocks_of(rows, inner):
+                b = Block(docs_here, window, part)
+                for row in range(ROWS):
+                    cells = b.cells(row, width)
+                    distinct, at = np.unique(cells, return_inverse=True)
+                    several = np.bincount(at, weights=b.times, minlength=len(distinct)) > 1
+                    for s, lo, hi in _runs(distinct // np.uint64(part)):
+                        own = (distinct[lo:hi] - np.uint64(s * part)).astype(np.uint32)
+                        out.setdefault((s, row), []).append((_delta(own), several[lo:hi]))
+            for (s, row), x in out.items():
+                yield _table([(s, row, run, s * ROWS + row, C.squeeze(np.array([len(c) for c, _ in x], np.uint32), np.concatenate([c for c, _ in x]), np.packbits(np.concatenate([m for _, m in x]))))], ["slice", "row", "run", "key", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+
+    def cells_of(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+        """(cells of each block, whether each cell came more than once in its block)"""
+        n, step, several = C.unsqueeze(blob)
+        return [np.cumsum(x, dtype=np.int64) for x in np.split(step, np.cumsum(n[:-1], dtype=np.int64))], np.unpackbits(several, count=len(step))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _grouped(batches, 4):
+        for _, rows in _grouped(batches, 3):
             count = np.zeros(part, np.uint8)
             asked = []
             for r in rows:
-                for s, row, block, blob in zip(*(r.column(i).to_pylist() for i in range(4)), strict=True):
-                    step, several = C.unsqueeze(blob)
-                    cells = np.cumsum(step, dtype=np.int64)
-                    seen = 1 + np.unpackbits(several, count=len(cells))
-                    count[cells] = np.minimum(count[cells] + seen, 2)
-                    asked.append((block, row, s, blob))
-            for block, row, s, blob in asked:
-                cells = np.cumsum(C.unsqueeze(blob)[0], dtype=np.int64)
-                yield _table([(block, row, s, np.packbits(count[cells] > 1).tobytes())], ["block", "row", "slice", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+                for s, row, run, blob in zip(*(r.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                    cells, several = cells_of(blob)
+                    lo = 0
+                    for c in cells:
+                        count[c] = np.minimum(count[c] + 1 + several[lo : lo + len(c)], 2)
+                        lo += len(c)
+                    asked.append((run, row, s, blob))
+            for run, row, s, blob in asked:
+                flags = count[np.concatenate(cells_of(blob)[0])] > 1
+                yield _table([(run, row, s, np.packbits(flags).tobytes())], ["run", "row", "slice", "blob"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
 
     def send(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window, part)
-        pick = b.candidates(right, width)
-        bucket = b.h[0][pick] % np.uint64(buckets)
-        idv = b.ids_of_docs()
-        out = []
-        order = np.argsort(bucket, kind="stable")
-        for k, lo, hi in _runs(bucket[order]):
-            w = pick[order[lo:hi]]
-            docs_here, doc_at = np.unique(b.doc[w], return_inverse=True)
-            out.append((k, int(left.column("block")[0].as_py()), C.squeeze(b.h[0][w], (b.h[1][w] & np.uint64(0xFFFFFFFF)).astype(np.uint32), idv[docs_here], _delta(doc_at), _narrow(b.at[w] - b.start[b.doc[w]]), _delta(w))))
-        return pa.Table.from_batches([_table(out, ["bucket", "block", "blob"], [pa.int64(), pa.int64(), pa.binary()])])
+        bits = {(r, s): [np.frombuffer(x, np.uint8), 0] for r, s, x in zip(*(right.column(c).to_pylist() for c in ("row", "slice", "blob")), strict=True)}
+        out: dict[int, list] = {}
+        for block, docs_here in C.blocks_of(left, inner):
+            b = Block(docs_here, window, part)
+            pick = b.candidates(bits, width)
+            bucket = b.h[0][pick] % np.uint64(buckets)
+            idv = b.ids_of_docs()
+            order = np.argsort(bucket, kind="stable")
+            for k, lo, hi in _runs(bucket[order]):
+                w = pick[order[lo:hi]]
+                out.setdefault(k, []).append((b.h[0][w], (b.h[1][w] & np.uint64(0xFFFFFFFF)).astype(np.uint32), idv[b.doc[w]], b.at[w] - b.start[b.doc[w]], np.full(len(w), block), w))
+        run = int(left.column("run")[0].as_py()) if left.num_rows else 0
+        rows = []
+        for k, x in out.items():
+            h, g, ids, start, block, w = (np.concatenate(y) for y in zip(*x, strict=True))
+            own, at = np.unique(ids, return_inverse=True)
+            rows.append((k, run, C.squeeze(h, g, own, _narrow(at), _narrow(start), _narrow(block - run * per_run), _narrow(w))))
+        return pa.Table.from_batches([_table(rows, ["bucket", "run", "blob"], [pa.int64(), pa.int64(), pa.binary()])])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
             owners, got = [], []
             for r in rows:
-                for block, blob in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True):
-                    h, g, ids, doc, start, w = C.unsqueeze(blob)
-                    owners.append(block)
-                    got.append((h, g, ids[np.cumsum(doc, dtype=np.int64)], start.astype(np.int64), np.cumsum(w, dtype=np.int64)))
-            h, g, ids, start, w = (np.concatenate(x) for x in zip(*got, strict=True))
+                for run, blob in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True):
+                    h, g, ids, at, start, block, w = C.unsqueeze(blob)
+                    owners.append(run)
+                    got.append((h, g, ids[at], start.astype(np.int64), block, w))
+            h, g, ids, start, block, w = (np.concatenate(x) for x in zip(*got, strict=True))
             own = np.repeat(np.arange(len(owners)), [len(x[0]) for x in got])
             order = np.lexsort((start, ids, g, h))
             hs, gs = h[order], g[order]
@@ -255,7 +276,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             late[order] = (ids[order] != ids[lead]) | (start[order] != start[lead])
             hit = np.flatnonzero(late)
             for k, lo, hi in _runs(own[hit]):
-                yield _table([(owners[k], C.squeeze(_delta(w[hit[lo:hi]])))], ["block", "blob"], [pa.int64(), pa.binary()])
+                yield _table([(owners[k], C.squeeze(block[hit[lo:hi]], w[hit[lo:hi]]))], ["run", "blob"], [pa.int64(), pa.binary()])
 
     fields = [docs.schema[id_col] if docs.schema[id_col].dataType == T.LongType() else T.StructField(id_col, T.LongType())]
     fields += [T.StructField(made[2], T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *[docs.schema[c] for c in carry]]
@@ -263,30 +284,37 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kinds = [C._arrow(f.dataType) for f in schema.fields]
 
     def remove(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=schema.names)
-        b = Block(C.unpack(left.column("blob").to_pylist(), inner), window, part)
-        late = [np.cumsum(C.unsqueeze(x)[0], dtype=np.int64) for x in right.column("blob").to_pylist()]
-        late = np.concatenate(late) if late else np.empty(0, np.int64)
-        gone = np.zeros(len(b.at), bool)
-        gone[late] = True
-        gone[b.twin] = gone[b.twin_of]
-        gone[b.later] = True
-        keep = b.kept(np.flatnonzero(gone))
-        texts, n_kept = [], []
-        words, ids = b.words, b.ids
-        for i, (s, n) in enumerate(zip(b.start.tolist(), b.n.tolist(), strict=True)):
-            mine = ids[s : s + n][keep[s : s + n]].tolist()
-            text = b.texts[i] if unchanged and len(mine) == n else b" ".join([words[w] for w in mine])
-            n_kept.append(len(mine))
-            texts.append(hashlib.sha256(text).hexdigest() if digest else text)
-        n_kept = np.array(n_kept, np.int64)
-        text = pa.array(texts, pa.string() if digest else pa.binary())
-        cols = [b.docs.column("__id"), text.cast(pa.string()), pa.array(b.n), pa.array(b.n - n_kept), *[b.docs.column(f"__c{i}") for i in range(len(carry))]]
-        return pa.table([pa.chunked_array([c]).cast(k) if isinstance(c, pa.Array) else c.cast(k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
-
-    cells = blocks.sortWithinPartitions("block").mapInArrow(sketch, "slice long, row int, block long, blob binary").withColumn("key", F.col("slice") * ROWS + F.col("row"))
-    replies = cells.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(merge, "block long, row int, slice long, blob binary")
-    windows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, "bucket long, block long, blob binary")
-    repeats = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "block long, blob binary")
-    return blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(remove, schema)
+        late: dict[int, list] = {}
+        for blob in right.column("blob").to_pylist():
+            block, w = C.unsqueeze(blob)
+            order = np.argsort(block, kind="stable")
+            for k, lo, hi in _runs(block[order]):
+                late.setdefault(k, []).append(w[order[lo:hi]].astype(np.int64))
+        run = int(left.column("run")[0].as_py()) if left.num_rows else 0
+        done = [pa.table([pa.array([], k) for k in kinds], names=schema.names)]
+        for block, docs_here in C.blocks_of(left, inner):
+            b = Block(docs_here, window, part)
+            gone = np.zeros(len(b.at), bool)
+            for w in late.get(block - run * per_run, []):
+                gone[w] = True
+            gone[b.twin] = gone[b.twin_of]
+            gone[b.later] = True
+            keep = b.kept(np.flatnonzero(gone))
+            texts, n_kept = [], []
+            words, ids = b.words, b.ids
+            for i, (s, n) in enumerate(zip(b.start.tolist(), b.n.tolist(), strict=True)):
+                mine = ids[s : s + n][keep[s : s + n]].tolist()
+                text = b.texts[i] if unchanged and len(mine) == n else b" ".join([words[w] for w in mine])
+                n_kept.append(len(mine))
+                texts.append(hashlib.sha256(text).hexdigest() if digest else text)
+            n_kept = np.array(n_kept, np.int64)
+            text = pa.array(texts, pa.string() if digest else pa.binary())
+            cols = [b.docs.column("__id"), text.cast(pa.string()), pa.array(b.n), pa.array(b.n - n_kept), *[b.docs.column(f"__c{i}") for i in range(len(carry))]]
+            done.append(pa.table([pa.chunked_array([c]).cast(k) if isinstance(c, pa.Array) else c.cast(k) for c, k in zip(cols, kinds, strict=True)], names=schema.names))
+        return pa.concat_tables(done)
+
+    cells = blocks.sortWithinPartitions("run").mapInArrow(sketch, "slice long, row int, run long, key long, blob binary")
+    replies = cells.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(merge, "run long, row int, slice long, blob binary")
+    windows = blocks.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(send, "bucket long, run long, blob binary")
+    repeats = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "run long, blob binary")
+    return blocks.groupBy("run").cogroup(repeats.groupBy("run")).applyInArrow(remove, schema)

@@ -123,8 +123,17 @@ def brute_substrings(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("block", "part"), [(4 << 20, 1 << 22), (400, 64)])
-def test_substrings(spark, messy, none, block, part):
+def test_messages_grow_with_the_corpus():
+    """Runs times slices, that is what blocks send, for a block of any corpus; no run or slice of more than its square root."""
+    for size in (1 << 20, 1 << 30, 1 << 36, 1 << 40, 1 << 47):
+        per_run, slices = C.runs_and_slices(size, 4 << 20)
+        blocks = -(-size // (4 << 20))
+        assert -(-blocks // per_run) * slices <= 300 * blocks and per_run <= 1 + blocks**0.5
+
+
+@pytest.mark.parametrize(("block", "part", "per_run"), [(4 << 20, 1 << 22, 1), (400, 64, 1), (400, 64, 5)])
+def test_substrings(spark, monkeypatch, messy, none, block, part, per_run):
+    monkeypatch.setattr(C, "runs_and_slices", lambda total, size: (per_run, 7))
     rnd = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randrange(40))) + (" " + passage) * (i % 3 == 0)) for i in range(60)] + [(5, "x " + passage), (None, passage)] + ROWS
@@ -320,7 +329,12 @@ def test_baum_welch_counts_and_progress():
     assert np.allclose(start, want_s, atol=1e-4) and np.allclose(move, want_m, atol=1e-4) and np.allclose(emit, want_e, atol=1e-4)
 
 
-def test_lm_base(spark, messy, none):
+@pytest.mark.parametrize("per_run", [1, 3])
+def test_lm_base(spark, monkeypatch, messy, none, per_run):
+    """Counts over the corpus, with several blocks in a run and several slices; the score against a forward pass by hand."""
+    monkeypatch.setattr(C, "runs_and_slices", lambda total, size: (per_run, 7))
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 10_000)
     rows = ROWS + [(i, f"the cat {'sat' if i % 2 else 'ran'} the") for i in range(20, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", C.held_out("doc_id", 7, 2))
     got = lm.score(df, held_out=F.col("held")).collect()
