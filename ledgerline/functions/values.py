@@ -67,11 +67,6 @@ def skipped_form(skipped: Column, known_empty: Column) -> Column:
     return F.when(known_empty, "CONFIRMED_EMPTY").when(blank(skipped).isin("", "[]"), "UNKNOWN").otherwise(skipped)
 
 
-def tagged(*xs: Column) -> Column:
-    """Length-tagged concatenation: no two different tuples share it; null differs from empty."""
-    return F.concat(*[F.when(x.isNull(), "-;").otherwise(F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"), F.lit(";"))) for x in xs])
-
-
 def backoff(failures: Column, base_ms: int, most_ms: int, retry_after_ms: Column | None = None) -> Column:
     """Doubling per failure up to a bound; a provider's own wait is never shortened."""
     wait = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.least(F.greatest(failures - 1, F.lit(0)), F.lit(40))), F.lit(float(most_ms))).cast("long")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import dirname
 from ledgerline.functions.values import lookup
+from ledgerline.operators import ordered
 from ledgerline.operators.reconcile import GENERATION_KINDS
 
 # Journal event type of each kind that has one.
@@ -27,8 +28,7 @@ def events(transitions: DataFrame, generation: DataFrame, last_seq: DataFrame |
     """
     c = F.col
     e = transitions.withColumn("event_type", lookup(c("kind"), EVENT_TYPES)).filter("event_type is not null").join(generation.select("root_id", "generation"), "root_id")
-    order = Window.partitionBy("root_id").orderBy(c("entry_id").asc_nulls_last(), "resource_id", "ordinal")
-    e = e.withColumn("intra_seq", F.row_number().over(order))
+    e = ordered.bare(ordered.number(ordered.spread(e, ["root_id"], [c("entry_id").asc_nulls_last(), "resource_id", "ordinal"]), ["root_id"], "intra_seq"))
     if last_seq is not None:
         e = e.join(last_seq.select("root_id", c("event_seq").alias("__last")), "root_id", "left")
     else:
@@ -79,9 +79,9 @@ def parents(inventory: DataFrame) -> DataFrame:
     return inventory.withColumn("__dir", dirname(F.col("path"))).join(one, ["root_id", "__dir"], "left").drop("__dir")
 
 
-def numbered(rows: DataFrame, key: Column | str, *order: str, name: str = "seq") -> DataFrame:
-    """rows plus a dense number from 1 per key, in the given order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def numbered(rows: DataFrame, key: str, *order: str, name: str = "seq") -> DataFrame:
+    """rows plus a dense number from 1 per key, in the given order, which must be total. A key's rows are many tasks' work."""
+    return ordered.bare(ordered.number(ordered.spread(rows, [key], list(order)), [key], name))
 
 
 def already_applied(candidates: DataFrame, applied: DataFrame, roots: DataFrame) -> DataFrame:

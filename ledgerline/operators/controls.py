@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import ancestors, dirname, entry_path
-from ledgerline.functions.values import blank, tagged
+from ledgerline.functions.values import blank
+from ledgerline.operators import digests
 
 # Lifecycle steps that are allowed, and those that write an event.
 ROOT_STEPS = {("NEW", "ACTIVE"), ("ACTIVE", "DEPRECATED"), ("ACTIVE", "DELETED"), ("DEPRECATED", "DELETED")}
@@ -137,16 +138,36 @@ def observation_scope(observations: DataFrame, adapters: DataFrame) -> DataFrame
     return m.select("root_id", "snapshot_id", kind.alias("observed"))
 
 
-def entry_digest(entries: DataFrame, by: list[str]) -> DataFrame:
-    """A digest of a snapshot's entries that any order of the same entries shares and any other multiset doesn't.
+#: What a digest of entries begins with: a name space and a version, so that digests of two formats never agree.
+NAMESPACE, DIGEST_VERSION = "ledgerline/entries", "v2"
 
-    Nulls come first in the order, false before true; fields are tagged with their length. Rows are digested first, so
-    the sorted list holds 64 characters an entry.
+
+def entry_digest(entries: DataFrame, by: str = "root_id", evidence: tuple[str | None, ...] = (), namespace: str = NAMESPACE, version: str = DIGEST_VERSION) -> DataFrame:
+    """(by, digest, entries): of a snapshot's entries, which any order of the same entries shares and no other multiset.
+
+    A SHA-256 over length-prefixed fields: name space, version, each entry in a total order of its fields (nulls first,
+    false before true, a null string counts as empty), then `evidence` (traversal, error summary, skipped scopes, freshness,
+    assurance, corroboration, removal context). Times go in as nanoseconds.
     """
     c = F.col
-    fields = ["parent_ref", "name", "is_dir", "size", "mtime", "hash", "alg", "provider_id", "provider_scope", "content_type", "assurance"]
-    line = F.sha2(tagged(*[c(f) for f in fields]), 256)
-    return entries.select(*by, line.alias("line")).groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.count("*").cast("string"), F.array_join(F.array_sort(F.collect_list("line")), "")), 256).alias("digest"), F.count("*").alias("entries"))
+    text = lambda f: F.coalesce(c(f), F.lit(""))
+    mtime = c("mtime") * 1000
+    order = [text("parent_ref"), text("name"), F.coalesce("is_dir", F.lit(False)), c("size"), mtime, *[text(f) for f in ("hash", "alg", "content_type", "provider_id", "provider_scope", "assurance")]]
+    fields = [digests.tag(F.lit("entry")), digests.tag(c("parent_ref")), digests.tag(c("name")), digests.flag(c("is_dir")), digests.optional(c("size")), digests.optional(mtime)]
+    fields += [digests.tag(c(f)) for f in ("hash", "alg", "content_type", "provider_id", "provider_scope", "assurance")]
+    tail = b"".join(digests.tag_bytes(x or "") for x in ("evidence", *evidence))
+    return digests.stream_digest(entries, by, order, F.concat(*fields), digests.tag_bytes(namespace) + digests.tag_bytes(version), tail).withColumnRenamed("n", "entries")
+
+
+#: What a directory digest begins with.
+DIRECTORY_VERSION = "ledgerline/directory-v1"
+
+
+def directory_digest(coverage: DataFrame, version: str = DIRECTORY_VERSION) -> DataFrame:
+    """coverage (digest, path, adapter_digest, entry_count, topology_digest) plus directory_digest, chained on the entries'
+    digest. Generation and clocks fence a decision but aren't part of what was seen, so they don't count."""
+    c = F.col
+    return coverage.withColumn("directory_digest", F.sha2(F.concat(digests.tag(F.lit(version)), *[digests.tag(c(x)) for x in ("digest", "path", "adapter_digest", "entry_count", "topology_digest")]), 256))
 
 
 def topology_digest(mounts: DataFrame, drivers: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
     context = reconcile.removal_context(prior, resolved).first()
     from ledgerline.operators.controls import entry_digest
 
-    digest = entry_digest(entries, ["root_id"]).first()
+    digest = entry_digest(entries).first()
     identity = json.dumps([digest["digest"] if digest else "", context["context"] if context else "", accepted, [str(v) for k, v in facts.items() if k not in ("entries", "prior_present", "corroboration")]])
     if root.identities.get(identity) == root.generation and root.version:
         root.applied_seq = seq

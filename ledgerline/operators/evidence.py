@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import entry_path  # noqa: F401
 from ledgerline.functions.values import FRESH, blank, defaulted
+from ledgerline.operators import ordered
 
 SHRINK_RATIO = 0.5
 
@@ -64,21 +65,20 @@ def corroborated(snapshots: DataFrame) -> DataFrame:
     evaluated snapshot between the two has another. snapshots: root_id, snapshot_id, admission_seq, lifecycle, acceptance,
     corroboration, traversal, error_summary, skipped_known_empty, freshness, assurance, signature.
 
-    "No other signature between" is a run of equal signatures in admission order, so one window over a root's snapshots
-    replaces the pairwise search.
+    "No other signature between" is a run of equal signatures in admission order, so ordered scans of a root's snapshots
+    replace the pairwise search.
     """
-    from pyspark.sql import Window
-
     c = F.col
-    order = Window.partitionBy("root_id").orderBy("admission_seq", "snapshot_id")
     seen = c("lifecycle").isin("EVALUATED", "RECONCILED")
     anchor = (
         seen & (c("acceptance") == "SUSPICIOUS") & (blank(c("corroboration")).isin("", "NONE")) & (c("traversal") == "SUCCESS") & c("error_summary").isNull()
         & c("skipped_known_empty") & c("freshness").isin(*FRESH) & (c("assurance") == "STRONG_FAILURE_VISIBILITY")
     )
-    # the latest evaluated snapshot before this one that differs from its own predecessor's signature opens the run
-    evaluated = snapshots.withColumn("__sig", F.when(seen, c("signature"))).withColumn("__before", F.last("__sig", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    run = evaluated.withColumn("__run", F.sum(F.when(seen & ~c("signature").eqNullSafe(c("__before")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    run = run.withColumn("__mine", c("__run")).withColumn("__own", F.sum(F.when(seen & ~c("signature").eqNullSafe(c("__before")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.max(F.when(anchor, F.struct(c("__own").alias("run"), c("signature").alias("sig")))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return run.withColumn("__anchor", at).filter((c("__anchor.run") == F.coalesce(c("__mine"), F.lit(0))) & (c("__anchor.sig") == c("signature"))).select("root_id", "snapshot_id")
+    key = ["root_id"]
+    scan = ordered.spread(snapshots, key, ["admission_seq", "snapshot_id"])
+    # an evaluated snapshot that differs from the evaluated one before it opens a run
+    scan = ordered.running(scan, key, F.when(seen, c("signature")), "last", "__before", itself=False)
+    scan = scan.withColumn("__opens", F.when(seen & ~c("signature").eqNullSafe(c("__before")), 1).otherwise(0))
+    scan = ordered.running(scan, key, c("__opens"), "sum", "__own")
+    scan = ordered.running(scan, key, F.when(anchor, F.struct(c("__own").alias("run"), c("signature").alias("sig"))), "max", "__anchor", itself=False)
+    return scan.filter((c("__anchor.run") == c("__own") - c("__opens")) & (c("__anchor.sig") == c("signature"))).select("root_id", "snapshot_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ordered
+
 
 def latest(rows: DataFrame, key: list[str], order: str, carry: list[str]) -> DataFrame:
     """One row per key: the values of `carry` at the greatest `order`. An aggregate, so tasks keep one row a key."""
@@ -34,8 +36,8 @@ def pending_roots(admissions: DataFrame, limit: int | None = None) -> DataFrame:
 
 def gaps(journal: DataFrame, key: str = "root_id", seq: str = "event_seq") -> DataFrame:
     """Rows whose number isn't one above the one before (0 before the first)."""
-    before = F.coalesce(F.lag(seq).over(Window.partitionBy(key).orderBy(seq)), F.lit(0))
-    return journal.withColumn("previous", before).filter(F.col(seq) != F.col("previous") + 1)
+    scan = ordered.running(ordered.spread(journal, [key], [seq]), [key], F.col(seq), "last", "previous", itself=False)
+    return ordered.bare(scan).withColumn("previous", F.coalesce("previous", F.lit(0))).filter(F.col(seq) != F.col("previous") + 1)
 
 
 def terminal_presence(journal: DataFrame) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ordered
+
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Exact nearest-rank percentiles per group, with observed count and maximum; null values are censored.
 
-    Distinct values are counted first, so a window sees one row per value, not per observation.
+    Distinct values are counted first; the running count of a group is an ordered scan over many tasks.
     """
     seen = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = seen.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    ranked = ordered.running(ordered.spread(seen, by, [value]), by, F.col("n"), "sum", "upto").join(seen.groupBy(*by).agg(F.sum("n").alias("total")), by)
     at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p / 100), F.col(value))).alias(f"p{p}")
     told = ranked.groupBy(*by).agg(F.max("total").alias("observed"), *[at(p) for p in percents], F.max(value).alias("max"))
     return rows.groupBy(*by).agg(F.count("*").alias("population")).join(told, by, "left").withColumn("censored", F.col("population") - F.coalesce("observed", F.lit(0))).withColumn("observed", F.coalesce("observed", F.lit(0)))
@@ -27,11 +28,11 @@ def arrivals(rows: DataFrame, at: str, start: int, width: int = 1_000_000) -> Da
 def peak_concurrency(rows: DataFrame, by: list[str], started: str, finished: str) -> DataFrame:
     """Most intervals open at once per group; at one instant ends come before starts.
 
-    Steps of one instant are summed first. The running sum needs a group in order, which `by` must keep small.
+    Steps of one instant are summed first; the running sum of a group is an ordered scan over many tasks.
     """
     edges = rows.select(*by, F.explode(F.array(F.struct(F.col(started).alias("t"), F.lit(1).alias("d")), F.struct(F.col(finished).alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*by, "e.t", "e.d")
     steps = edges.groupBy(*by, "t", "d").agg(F.sum("d").alias("s"))
-    return steps.withColumn("open", F.sum("s").over(Window.partitionBy(*by).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by).agg(F.max("open").alias("peak"))
+    return ordered.running(ordered.spread(steps, by, ["t", "d"]), by, F.col("s"), "sum", "open").groupBy(*by).agg(F.max("open").alias("peak"))
 
 
 def query_cost(calls: DataFrame, cap: int = 64) -> DataFrame:

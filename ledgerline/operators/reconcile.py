@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import ancestors, dirname
 from ledgerline.functions.values import MISSING_STATES, blank, same
+from ledgerline.operators.digests import stream_digest
 from ledgerline.operators.identity import resolve
 
 # Kinds that raise the generation, and reason texts.
@@ -155,7 +156,7 @@ def counts(transitions: DataFrame) -> DataFrame:
 def removal_context(prior: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per root a digest of what the snapshot decides about removal: reappearing and absent resources with their evidence.
 
-    `context` has the sorted lines' digest. Lines are bounded by the inventory of one root.
+    `context` has the sorted lines' digest, made as a stream.
     """
     c = F.col
     seen = resolved.filter("status = 'MATCHED'").select("root_id", c("match.resource_id").alias("resource_id"), had_evidence(c("match")).alias("reset")).distinct()
@@ -164,4 +165,4 @@ def removal_context(prior: DataFrame, resolved: DataFrame) -> DataFrame:
         "|", F.when(c("reset"), "reappears_reset").otherwise("absent"), F.concat(F.lit("rid="), c("resource_id")), F.concat(F.lit("state="), c("evidence")),
         F.concat(F.lit("consec="), c("consecutive").cast("string")), F.concat(F.lit("first="), F.when(blank(c("missing_first")) != "", "1").otherwise("0")),
     )
-    return rows.select("root_id", line.alias("line")).groupBy("root_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("context"), F.count("*").alias("lines"))
+    return stream_digest(rows, "root_id", [line], line.cast("binary"), between=b"\n").withColumnsRenamed({"digest": "context", "n": "lines"})

@@ -153,12 +153,34 @@ def j18_observation_scope(spark, d):
     return controls.observation_scope(o, o.select("root_id").distinct().withColumn("base_path", F.lit("/mnt")))
 
 
-_TAG = " || ".join(f"CASE WHEN {x} IS NULL THEN '-;' ELSE length(({x})::VARCHAR) || ':' || ({x})::VARCHAR || ';' END" for x in ("parent_ref", "name", "is_dir", "size", "mtime", "hash", "alg", "provider_id", "provider_scope", "content_type", "assurance"))
+def _hex(x: str) -> str:
+    return f"(printf('%016x', strlen(coalesce({x}, ''))::BIGINT) || lower(hex(coalesce({x}, ''))))"
 
 
-@check(with_sql("inv_entries") + f", l AS (SELECT root_id, sha256({_TAG}) AS line FROM inv_entries) SELECT root_id, sha256(count(*) || chr(10) || string_agg(line, '' ORDER BY line)) AS digest, count(*) AS entries FROM l GROUP BY 1")
+def _hex_int(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN '00' ELSE '01' || printf('%016x', ({x})::BIGINT) END)"
+
+
+_SEEN = ("SUCCESS", "", "", "FRESH_DIRECT", "STRONG_FAILURE_VISIBILITY", "NONE", "")
+_ENTRY = " || ".join([_hex("'entry'"), _hex("parent_ref"), _hex("name"), "(CASE WHEN is_dir THEN '01' ELSE '00' END)", _hex_int("size"), _hex_int("mtime * 1000"), *map(_hex, ("hash", "alg", "content_type", "provider_id", "provider_scope", "assurance"))])
+_ORDER = "coalesce(parent_ref, ''), coalesce(name, ''), coalesce(is_dir, false), size NULLS FIRST, mtime NULLS FIRST, " + ", ".join(f"coalesce({x}, '')" for x in ("hash", "alg", "content_type", "provider_id", "provider_scope", "assurance"))
+_HEAD = " || ".join(_hex(f"'{x}'") for x in (controls.NAMESPACE, controls.DIGEST_VERSION))
+_TAIL = " || ".join(_hex(f"'{x}'") for x in ("evidence", *_SEEN))
+_DIGEST = f"SELECT root_id, sha256(unhex({_HEAD} || string_agg({_ENTRY}, '' ORDER BY {_ORDER}) || {_TAIL})) AS digest, count(*) AS entries FROM inv_entries GROUP BY 1"
+
+
+@check(with_sql("inv_entries") + " " + _DIGEST)
 def f15_entry_digest(spark, d):
-    return controls.entry_digest(fixture(spark, d, "inv_entries"), ["root_id"])
+    return controls.entry_digest(fixture(spark, d, "inv_entries"), "root_id", _SEEN)
+
+
+@check(
+    with_sql("inv_entries")
+    + f", e AS ({_DIGEST}) SELECT root_id, '/en' AS path, digest, entries AS entry_count, 'a' AS adapter_digest, 't' AS topology_digest, sha256(unhex({' || '.join([_hex(repr(controls.DIRECTORY_VERSION)), _hex('digest'), _hex(repr('/en')), _hex(repr('a')), _hex('entries::VARCHAR'), _hex(repr('t'))])})) AS directory_digest FROM e"
+)
+def f16_directory_digest(spark, d):
+    e = f15_entry_digest(spark, d).select("root_id", F.lit("/en").alias("path"), "digest", C("entries").alias("entry_count"), F.lit("a").alias("adapter_digest"), F.lit("t").alias("topology_digest"))
+    return controls.directory_digest(e)
 
 
 _RULES = "SELECT 'hash_with_algorithm' AS rule, count(*) FILTER (WHERE (hash IS NULL) <> (alg IS NULL)) AS violations FROM inv_prior UNION ALL SELECT 'provider_with_scope', count(*) FILTER (WHERE (provider_id IS NULL) <> (provider_scope IS NULL)) FROM inv_prior UNION ALL SELECT 'removed_is_terminal', count(*) FILTER (WHERE presence = 'REMOVED' AND evidence = 'NONE') FROM inv_prior"
