@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from ledgerline.llm import common as C
 
 BUCKETS = 1 << 14
-DIM = 64
+DIM = 32
 #: Non-zero entries of an index vector; words to each side that count as neighbours.
-SPARSE, REACH = 8, 2
+SPARSE, REACH = 4, 2
 #: Numbers that a document is pooled to.
 POOLED = 3 * DIM
 #: Rows of the vectors' sum that travel together.
@@ -39,23 +39,18 @@ CHUNK = 256
 WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x09-\x0D\x20]+")
 
 
-class Buckets:
+class Buckets(dict):
     """Bucket numbers of words, remembered up to a bound."""
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = xxhash.xxh64_intdigest(word, 3) % BUCKETS
+        return k
 
     def of(self, text: bytes | None) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
         words = WORD.findall(text or b"")
-        out, seen = np.empty(len(words), np.int32), self.seen
-        for i, w in enumerate(words):
-            k = seen.get(w)
-            if k is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                k = seen[w] = xxhash.xxh64_intdigest(w, 3) % BUCKETS
-            out[i] = k
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -67,21 +62,24 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def context_sums(docs: list[np.ndarray]) -> np.ndarray:
     """BUCKETS x DIM: for each bucket the turned index vectors of the words within REACH of its occurrences, itself included."""
     at, sign = index_vectors()
-    total = np.zeros(BUCKETS * DIM)
+    total = np.zeros(BUCKETS * DIM * 2, np.int64)  # pluses and minuses of each number
     ids, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     for d in range(-REACH, REACH + 1):
-        word, near = (slice(max(0, -d), len(ids) - max(0, d)), slice(max(0, d), len(ids) - max(0, -d))) if abs(d) < len(ids) else (slice(0), slice(0))
+        if abs(d) >= len(ids):
+            continue
+        word, near = slice(max(0, -d), len(ids) - max(0, d)), slice(max(0, d), len(ids) - max(0, -d))
         inside = doc[word] == doc[near]
-        x, y = ids[word][inside].astype(np.int64) * DIM, ids[near][inside]
-        total += np.bincount((x[:, None] + (at[y] + d) % DIM).ravel(), weights=sign[y].ravel(), minlength=BUCKETS * DIM)
-    return total.reshape(BUCKETS, DIM)
+        place = (at + d) % DIM * 2 + (sign < 0)
+        total += np.bincount((ids[word][inside][:, None] * (2 * DIM) + place[ids[near][inside]]).ravel(), minlength=len(total))
+    total = total.reshape(BUCKETS, DIM, 2)
+    return total[:, :, 0] - total[:, :, 1]
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Normalised vectors of all buckets, summed over all texts; buckets that no text has are zero."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, buckets, held, n = np.zeros((BUCKETS, DIM)), Buckets(), [], 0
+        total, buckets, held, n = np.zeros((BUCKETS, DIM), np.int64), Buckets(), [], 0
         for big in batches:
             for b in C.slices(big, 1 << 20):
                 for t in b.column(0).to_pylist():
@@ -94,7 +92,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             total += context_sums(held)
         for k in range(0, BUCKETS, CHUNK):
             if total[k : k + CHUNK].any():
-                yield C.array_row(k, total[k : k + CHUNK].ravel().astype(np.int64))
+                yield C.array_row(k, total[k : k + CHUNK].ravel())
 
     sums = C.add_arrays(docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).mapInArrow(count, C.ARRAY_ROW))
     out = np.zeros((BUCKETS, DIM))
@@ -103,25 +101,20 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32)
 
 
-def pool(docs: list[np.ndarray], vectors: np.ndarray, run: int = 1 << 15) -> np.ndarray:
+def pool(docs: list[np.ndarray], vectors: np.ndarray, run: int = 1 << 14) -> np.ndarray:
     """A row of POOLED numbers for each document; zeros for one without words."""
     out = np.zeros((len(docs), 3, DIM))
-    n = np.array([len(d) for d in docs], np.int64)
-    ids, doc = (np.concatenate(docs) if len(docs) else np.empty(0, np.int32)), np.repeat(np.arange(len(docs)), n)
-    for lo in range(0, len(ids), run):
-        own = doc[lo : lo + run]
-        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        v = vectors[ids[lo : lo + run]]
-        after = vectors[ids[lo + 1 : lo + run + 1]] * (doc[lo + 1 : lo + run + 1] == own[: len(ids) - lo - 1])[:, None]
-        for k, x in enumerate((v, v * v, v[: len(after)] * after)):
-            if k < 2 or len(x) == len(v):
-                out[own[cuts], k] += np.add.reduceat(x, cuts, axis=0)
-            elif len(x):  # the last word of all has none after it
-                some = cuts[cuts < len(x)]
-                out[own[some], k] += np.add.reduceat(x, some, axis=0)
-    size = np.maximum(1, n)[:, None]
-    mean = out[:, 0] / size
-    return np.concatenate([mean, np.sqrt(np.maximum(0, out[:, 1] / size - mean * mean)), out[:, 2] / np.maximum(1, n - 1)[:, None]], axis=1).astype(np.float32)
+    ones = np.ones(run + 1, np.float32)
+    for i, ids in enumerate(docs):
+        for lo in range(0, len(ids), run):
+            v = vectors[ids[lo : lo + run + 1]]  # with the word after the run
+            own = v[:run]
+            out[i, 0] += ones[: len(own)] @ own
+            out[i, 1] += np.einsum("ij,ij->j", own, own)
+            out[i, 2] += np.einsum("ij,ij->j", v[:-1], v[1:])
+    n = np.array([len(d) for d in docs], np.int64)[:, None]
+    mean, square = out[:, 0] / np.maximum(1, n), out[:, 1] / np.maximum(1, n)
+    return np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean)), out[:, 2] / np.maximum(1, n - 1)], axis=1).astype(np.float32)
 
 
 @dataclass
