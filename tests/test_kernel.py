@@ -19,9 +19,9 @@ def prior(rid, path, h=None, size=None, mtime=None, pid=None, stable=True, miss=
     return tuple(row[c.split()[0]] for c in PRIOR.split(", "))
 
 
-def entry(eid, path, h=None, size=None, mtime=None, pid=None, is_dir=False):
+def entry(eid, path, h=None, size=None, mtime=None, pid=None, is_dir=False, root="r"):
     parent, _, name = path.rpartition("/")
-    return ("r", "s1", eid, parent or "/", name, is_dir, size, mtime, h, "sha256" if h else None, None, pid, "d" if pid else None, "STABLE_WITHIN_SCOPE" if pid else None)
+    return (root, "s1", eid, parent or "/", name, is_dir, size, mtime, h, "sha256" if h else None, None, pid, "d" if pid else None, "STABLE_WITHIN_SCOPE" if pid else None)
 
 
 M = H // 2

@@ -140,8 +140,9 @@ def test_store_lifecycle(spark, tmp_path):
     put = lambda seq, rows, **c: coordinator.process(s, "r", seq, snapshot(seq, **c), spark.createDataFrame(rows, ENTRY), cfg)
     four = [entry(f"e{i}", f"/f{i}", f"h{i}", i, i) for i in range(4)]
     assert put(1, four) == "APPLIED" and s.load("r").generation == 1
-    assert put(2, four) == "NOOP" and put(2, four) == "STALE_INPUT"
-    assert put(3, four, traversal="FAILED") == "REJECTED"
+    assert put(2, four) == "NOOP" and put(2, four) == "NOOP"  # the same admission again
+    assert put(2, four, snapshot_id="other") == "STALE_INPUT"
+    assert put(3, four, traversal="FAILED") == "REJECTED" and put(3, four, snapshot_id="again") == "STALE_INPUT"
     assert put(4, four[:3]) == "APPLIED"  # evidence only
     assert s.load("r").generation == 1
     assert put(5, four[:3]) == "APPLIED" and s.load("r").generation == 2
@@ -149,6 +150,96 @@ def test_store_lifecycle(spark, tmp_path):
     state = {r["path"]: r["presence"] for r in s.inventory(root).collect()}
     assert state == {"/f0": "PRESENT", "/f1": "PRESENT", "/f2": "PRESENT", "/f3": "REMOVED"}
     assert [r["event_type"] for r in s.journal("r").orderBy("event_seq").collect()] == ["resource-added"] * 4 + ["resource-removed"]
+    told = [r["outcome"] for r in s.admissions("r").orderBy("number").collect()]
+    assert told == ["APPLIED", "NOOP", "STALE_INPUT", "REJECTED", "STALE_INPUT", "APPLIED", "APPLIED"]
+    seen = s.observations("r")
+    assert seen.count() == 10 and {r["assurance"] for r in seen.collect()} <= {"UNVERIFIED", "STABLE_WITHIN_SCOPE"}
+    assert s.inventory(s.load("nobody")) is None and s.journal("nobody").count() == 0
+
+
+@pytest.mark.parametrize("at", ["resolved", "transitions", "observations", "journal", "changed", "head"])
+def test_store_survives_a_lost_driver(spark, tmp_path, monkeypatch, at):
+    """Whatever write is the last before the driver is lost, readers see the state before, and a retry gives the state after once."""
+    from pyspark.sql import DataFrameWriter
+
+    s, cfg = coordinator.Store(spark, str(tmp_path / "store")), reconcile.Config()
+    three = [entry(f"e{i}", f"/f{i}", f"h{i}", i, i) for i in range(3)]
+    put = lambda seq, rows: coordinator.process(s, "r", seq, snapshot(seq), spark.createDataFrame(rows, ENTRY), cfg)
+    assert put(1, three) == "APPLIED"
+    plain, whole = DataFrameWriter.parquet, coordinator.Store.commit
+
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    if at == "head":
+        monkeypatch.setattr(coordinator.Store, "commit", lost)
+    else:
+        monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plain(self, path, *a, **k), lost() if path.endswith("/" + at) else None))
+    four = [*three, entry("e9", "/f9", "h9", 9, 9)]
+    with pytest.raises(RuntimeError):
+        put(2, four)
+    monkeypatch.setattr(coordinator.Store, "commit", whole)
+    monkeypatch.setattr(DataFrameWriter, "parquet", plain)
+    assert s.load("r").number == 1 and s.journal("r").count() == 3 and s.inventory(s.load("r")).count() == 3
+    assert put(2, four) == "APPLIED" and put(2, four) == "APPLIED"
+    assert sorted(r["event_seq"] for r in s.journal("r").collect()) == [1, 2, 3, 4] and s.inventory(s.load("r")).count() == 4 and s.load("r").generation == 2
+    stale = s.load("r")
+    with pytest.raises(coordinator.Conflict):  # a second writer with the number of the first
+        s.commit(stale)
+
+
+def test_queue(spark, tmp_path):
+    """Drafts, guarded steps, admission in order and again, lost submissions, several roots at once."""
+    s, cfg = coordinator.Store(spark, str(tmp_path / "store")), reconcile.Config()
+    rows = lambda n, root: spark.createDataFrame([entry(f"e{i}", f"/f{i}", f"h{i}", i, i, root=root) for i in range(n)], ENTRY)
+    for root, n in (("r", 2), ("q/%", 1)):
+        for k in range(2):
+            s.draft(root, snapshot(k), rows(n + k, root))
+            with pytest.raises(coordinator.Conflict):
+                s.draft(root, snapshot(k), rows(1, root))
+            with pytest.raises(coordinator.Conflict):
+                s.admit(root, f"s{k}")
+            assert s.state(root, f"s{k}") == "DRAFT"
+            s.submit(root, f"s{k}")
+            with pytest.raises(coordinator.Conflict):
+                s.submit(root, f"s{k}")
+    assert s.recover("r") == (None, ["s0", "s1"])  # ambiguous
+    assert s.admit("r", "s0") == 1 and s.admit("r", "s0") == 1 and s.recover("r") == (2, ["s1"]) and s.recover("r") == (None, [])
+    assert [s.admit("q/%", f"s{k}") for k in (0, 1)] == [1, 2]
+    assert coordinator.drain(s, ["r", "q/%"], cfg) == {"r": [(1, "APPLIED"), (2, "APPLIED")], "q/%": [(1, "APPLIED"), (2, "APPLIED")]}
+    assert coordinator.process_head(s, "r", cfg) is None and coordinator.process_snapshot(s, "r", "s1", cfg) == "APPLIED"
+    assert s.state("r", "s1") == "EVALUATED" and s.inventory(s.load("q/%")).count() == 2 and s.journal("q/%").count() == 2
+
+
+def test_store_pages(spark, tmp_path, monkeypatch):
+    """Pages over several files and changed rows are those of a sorted listing; a merge doesn't change them."""
+    monkeypatch.setattr(coordinator, "FILE_ROWS", 10)
+    s, cfg = coordinator.Store(spark, str(tmp_path / "store")), reconcile.Config()
+    put = lambda seq, rows: coordinator.process(s, "r", seq, snapshot(seq), spark.createDataFrame(rows, ENTRY), cfg)
+    rows = [entry(f"e{i:02d}", f"/f{i % 37:02d}", f"h{i}", i, i) for i in range(37)]
+    assert put(1, rows) == "APPLIED" and len(s.load("r").files) == 4
+
+    def same():
+        head = s.load("r")
+        want = sorted((r["path"], r["resource_id"]) for r in s.inventory(head).collect())
+        one = [(r["path"], r["resource_id"]) for t, _ in s.pages(head, 7) for r in t.to_pylist()]
+        got, cursor = [], None
+        while True:
+            page = s.page(head, 7, cursor)
+            got += [(r["path"], r["resource_id"]) for r in page]
+            cursor = reader.next_cursor(page, "r", head.generation, 7)
+            if cursor is None:
+                break
+        assert got == want and one == want
+        return head
+
+    same()
+    assert put(2, [*rows, entry("n1", "/a", "x", 1, 1), entry("n2", "/f05a", "y", 2, 2), entry("n3", "/z", "z", 3, 3)]) == "APPLIED"
+    assert same().change_rows == 3
+    more = [entry(f"m{i}", f"/m{i}", f"k{i}", i, i) for i in range(20)]
+    assert put(3, [*rows, *more]) == "APPLIED" and same().changes == []  # merged
+    with pytest.raises(reader.StaleCursor):
+        s.page(s.load("r"), 7, reader.encode_cursor("r", 1, "/a", "x"))
 
 
 def test_topology_and_lifecycles(spark):
