@@ -35,8 +35,9 @@ STATES = 8
 BLOCK_BYTES = 4 << 20
 #: Least text whose tokens make a slice of the vocabulary.
 SLICE_BYTES = 16 << 20
-#: Tokens of the sample that start values are fitted on; rounds on it, and on everything.
-SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 150_000, 12, 2
+#: Tokens of the sample that start values are fitted on; rounds on it, and most rounds on everything. These end before when
+#: the likelihood of all training texts has risen by less than GAIN of itself.
+SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS, GAIN = 150_000, 12, 4, 0.001
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -82,7 +83,7 @@ class Batch:
     """Class sequences laid out step by step: all texts' first tokens, then the second ones of those that have one."""
 
     def __init__(self, classes: np.ndarray, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
+        self.order, self.loglik = np.argsort(-lengths, kind="stable"), 0.0
         n = lengths[self.order]
         self.steps = int(n[0]) if len(n) else 0
         self.live = len(n) - np.searchsorted(n[::-1], np.arange(self.steps), "right")  # texts longer than t
@@ -126,12 +127,13 @@ class Batch:
         return out
 
     def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves, and emissions."""
+        """Expected counts of starts, moves, and emissions; sets `loglik`, the natural log of all texts' likelihood."""
         k, classes = len(m.start), m.emit.shape[1]
         if not self.steps:
             return np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
         kind = np.float32
         alpha, scale, emit = self.forward(m, kind)
+        self.loglik = float(np.log(scale.astype(np.float64)).sum())
         back = np.ascontiguousarray(m.move.T.astype(kind))
         ahead = emit  # becomes emission * beta / scale
         beta = np.ones_like(alpha)
@@ -316,8 +318,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     batch = Batch(classes[: lengths[:few].sum()], lengths[:few])
     for _ in range(SAMPLE_ROUNDS if batch.steps else 0):
         model = Hmm.of_counts(*batch.expected(model), frequency)
+    last = None
     for _ in range(rounds):
-        model = _round(coded, model, frequency)
+        model, loglik = _round(coded, model, frequency)
+        if last is not None and loglik - last < GAIN * abs(last):
+            break
+        last = loglik
     sent_model = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +342,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _round(coded: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
-    """One round of Baum-Welch over all training texts."""
+def _round(coded: DataFrame, model: Hmm, frequency: np.ndarray) -> tuple[Hmm, float]:
+    """One round of Baum-Welch over all training texts: the new model, and the log likelihood of the texts under the old one."""
     sent = coded.sparkSession.sparkContext.broadcast(model)
     k = len(model.start)
 
@@ -345,26 +351,16 @@ def _round(coded: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
         total = None
         for rows in _batches(batches):
             for _, batch in _by_length(*_sequences(rows, True)):
-                got = batch.expected(sent.value)
+                got = (*batch.expected(sent.value), batch.loglik)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
         if total is not None:
-            start, move, emit = total
-            lines = [np.concatenate([[start[i]], move[i], emit[i]]).tolist() for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(lines, pa.list_(pa.float64()))], names=["state", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            width = 1 + k + len(frequency)
-            for s, x in zip(b.column(0).to_pylist(), np.asarray(b.column(1).flatten()).reshape(-1, width), strict=True):
-                sums[s] = sums[s] + x if s in sums else x.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["state", "counts"])
-
-    kind = "state int, counts array<double>"
-    rows = coded.mapInArrow(expect, kind).repartition(k, "state").mapInArrow(add, kind).toArrow()
-    if not rows.num_rows:
-        return model
-    counts = np.zeros((k, 1 + k + len(frequency)))
-    for s, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        counts[s] += x
-    return Hmm.of_counts(counts[:, 0], counts[:, 1 : 1 + k], counts[:, 1 + k :], frequency)
+            start, move, emit, loglik = total
+            for i in range(k):
+                yield C.array_row(i, np.concatenate([[start[i]], move[i], emit[i]]))
+            yield C.array_row(k, np.array([loglik]))
+
+    counts = C.add_arrays(coded.mapInArrow(expect, C.ARRAY_ROW))
+    if not counts:
+        return model, 0.0
+    lines = np.stack([counts[i] for i in range(k)])
+    return Hmm.of_counts(lines[:, 0], lines[:, 1 : 1 + k], lines[:, 1 + k :], frequency), float(counts[k][0])

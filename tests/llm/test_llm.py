@@ -350,6 +350,50 @@ def test_lm_base(spark, monkeypatch, messy, none, per_run):
     assert {r["train_tokens"] for r in nothing} == {0} and {r["base_score"] for r in nothing} == {0.0}
 
 
+def test_lm_learns_until_it_stops(spark, data, monkeypatch):
+    """The likelihood of the training texts never falls from round to round, and rounds end when it stops rising."""
+    told, plain = [], lm._round
+
+    def listen(*a):
+        out = plain(*a)
+        told.append(out[1])
+        return out
+
+    monkeypatch.setattr(lm, "_round", listen)
+    docs = C.load(spark, data, "documents").select("doc_id", "text")
+    lm.score(docs, rounds=30).count()
+    assert 2 <= len(told) < 30 and all(b >= a - 1e-4 * abs(a) for a, b in zip(told, told[1:], strict=False))
+    assert told[-1] - told[-2] < lm.GAIN * abs(told[-2])
+
+
+def test_lm_score(spark, monkeypatch):
+    """The score is the forward likelihood of classes times each token's share of its class, by hand."""
+    monkeypatch.setattr(lm, "TOP", 4)
+    rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on x{i % 9} the") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = []
+    monkeypatch.setattr(lm.Hmm, "of_counts", staticmethod(lambda *a, f=lm.Hmm.of_counts: (models.append(f(*a)), models[-1])[1]))
+    got = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    m = models[-1]
+    tok = [[*t.encode().split(), b"\n"] for _, t in rows]
+    count = collections.Counter(x for t in tok for x in t)
+    h = {w: xxhash.xxh3_64_intdigest(w) for w in count}
+    top = sorted(count, key=lambda w: (-count[w], h[w]))[:4]
+    ending = {w: xxhash.xxh32_intdigest(w[-3:]) % lm.ENDINGS for w in count}
+    rest = [w for w in count if w not in top]
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w in rest:
+        mass[ending[w]] += count[w]
+        kinds[ending[w]] += 1
+    for (i, _), t in zip(rows, tok, strict=True):
+        cls = [top.index(w) if w in top else 4 + ending[w] for w in t]
+        p = m.start * m.emit[:, cls[0]]
+        for c in cls[1:]:
+            p = (p @ m.move) * m.emit[:, c]
+        share = sum(math.log10((count[w] + 1) / (mass[ending[w]] + kinds[ending[w]] + 1)) for w in t if w not in top)
+        assert math.isclose(got[i], math.log10(p.sum()) + share, rel_tol=1e-6)
+
+
 def test_lm_beats_base(spark, data):
     r = queries.op5_lm_scoring(spark, data).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
