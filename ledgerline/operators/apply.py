@@ -95,3 +95,22 @@ def stale_input(admissions: DataFrame) -> DataFrame:
     """admissions plus stale: its number isn't above the root's highest applied one."""
     top = admissions.filter("status = 'APPLIED'").groupBy("root_id").agg(F.max("seq").alias("__top"))
     return admissions.join(top, "root_id", "left").withColumn("stale", F.coalesce(F.col("seq") <= F.col("__top"), F.lit(False)) & (F.col("status") == "PENDING")).drop("__top")
+
+
+def next_intra(journal: DataFrame) -> DataFrame:
+    """(root_id, generation, next_intra): the next free number inside each generation."""
+    return journal.groupBy("root_id", "generation").agg((F.coalesce(F.max("intra_seq"), F.lit(0)) + 1).alias("next_intra"))
+
+
+def apply_order(journal: DataFrame) -> DataFrame:
+    """journal plus apply_order: the place of each event in a root's replay, by generation, number in it, event number."""
+    return ordered.bare(ordered.number(ordered.spread(journal, ["root_id"], ["generation", "intra_seq", "event_seq"]), ["root_id"], "apply_order"))
+
+
+def present_counts(inventory: DataFrame) -> DataFrame:
+    return inventory.groupBy("root_id").agg(F.count_if(F.col("presence") == "PRESENT").alias("present"))
+
+
+def last_generation_of(applied: DataFrame) -> DataFrame:
+    """The highest generation that each identity was applied at. applied: root_id, identity, generation."""
+    return applied.groupBy("root_id", "identity").agg(F.max("generation").alias("generation"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import ancestors, dirname, entry_path
-from ledgerline.functions.values import blank
+from ledgerline.functions.values import blank, comparable_hash
 from ledgerline.operators import digests
 
 # Lifecycle steps that are allowed, and those that write an event.
@@ -238,3 +238,19 @@ def parent_directories(entries: DataFrame) -> DataFrame:
 
 def config_digest(kind: Column, config: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit("\0"), blank(config)), 256)
+
+
+def path_proofs(inventory: DataFrame) -> DataFrame:
+    """What the present rows at each path prove of it: how many, whether all are sound directories, the last change, an id."""
+    c = F.col
+    return inventory.filter("presence = 'PRESENT'").groupBy("root_id", "path").agg(F.count("*").alias("n"), F.bool_and(c("is_dir") & (c("evidence") == "NONE")).alias("good"), F.max("mtime").alias("changed_at"), F.min("resource_id").alias("resource_id"))
+
+
+def settled(admissions: DataFrame) -> DataFrame:
+    """(root_id, n, settled): whether all of a root's admissions have ended."""
+    return admissions.groupBy("root_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("status") != "PENDING"), F.lit(False)).alias("settled"))
+
+
+def observed_hashes(entries: DataFrame) -> DataFrame:
+    """How often a snapshot holds each hash that can be compared."""
+    return entries.filter(comparable_hash(F.col("hash"), F.col("alg"))).groupBy("root_id", "alg", "hash").agg(F.count("*").alias("n"))

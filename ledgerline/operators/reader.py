@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VIEW = ["resource_id", "root_id", "path", "is_dir", "size", "mtime", "hash", "content_type", "presence", "confirmed_generation"]
@@ -50,8 +50,23 @@ def resolve_path(inventory: DataFrame, roots: DataFrame, root_id: str, path: str
     """All rows at a path, present ones first, each with whether there are several."""
     rows = _of_visible(inventory.filter((F.col("root_id") == root_id) & (F.col("path") == path)), roots, **opts)
     rows = rows if removed else rows.filter("presence = 'PRESENT'")
-    n = rows.agg((F.count("*") > 1).alias("ambiguous"))
-    return rows.select(*VIEW).crossJoin(F.broadcast(n)).orderBy(F.when(F.col("presence") == "PRESENT", 0).otherwise(1), "resource_id")
+    several = F.count("*").over(Window.partitionBy("root_id", "path")) > 1  # rows of one path
+    return rows.select(*VIEW, several.alias("ambiguous")).orderBy(F.when(F.col("presence") == "PRESENT", 0).otherwise(1), "resource_id")
+
+
+def json_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """One JSON text a row; nulls are left out."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("body"))
+
+
+def parameter(value: str | None, default: int = 0) -> int:
+    """A number of a request: digits, else the default."""
+    return int(value) if value is not None and value.isascii() and value.isdigit() else default
+
+
+def switch(value: str | None) -> bool:
+    """A flag of a request: 1 or true."""
+    return value in ("1", "true")
 
 
 def ambiguous_paths(inventory: DataFrame) -> DataFrame:

@@ -79,15 +79,18 @@ def merge_signals(work: DataFrame, signals: DataFrame, roots: DataFrame) -> Data
     return m.select("root_id", "scope", *[out[x].alias(x) if x in out else c(x) for x in work.columns if x not in ("root_id", "scope")])
 
 
-def claim(work: DataFrame, picked: DataFrame, now: Column) -> DataFrame:
-    """Picked pending rows (root_id, scope, version) go IN_FLIGHT; a row whose version moved on stays as it is."""
+def claim(work: DataFrame, picked: DataFrame, now: Column, roots: DataFrame | None = None) -> DataFrame:
+    """Picked pending rows (root_id, scope, version) go IN_FLIGHT; a row whose version moved on stays as it is. With roots,
+    picked rows of a root that isn't ACTIVE are suspended instead."""
     c = F.col
     m = work.join(picked.select("root_id", "scope", c("version").alias("__v")), ["root_id", "scope"], "left")
-    take = (c("__v") == c("version")) & (c("work_state") == "PENDING")
+    m = m.withColumn("__a", F.lit(True)) if roots is None else m.join(roots.select("root_id", (c("lifecycle") == "ACTIVE").alias("__a")), "root_id", "left")
+    hit = (c("__v") == c("version")) & (c("work_state") == "PENDING")
+    take, off = hit & F.coalesce("__a", F.lit(False)), hit & ~F.coalesce("__a", F.lit(False))
     swap = {"sources": None, "reasons": None, "priority": None, "first_seen": None, "not_before": None}
     out = {x: F.when(take, F.lit(v)).otherwise(c(x)) for x, v in swap.items()}
     out |= {f"claimed_{x}": F.when(take, c(x)).otherwise(c(f"claimed_{x}")) for x in swap}
-    out |= {"claimed_seq": F.when(take, c("signal_seq")).otherwise(c("claimed_seq")), "work_state": F.when(take, "IN_FLIGHT").otherwise(c("work_state")), "attempts": c("attempts") + F.when(take, 1).otherwise(0), "started": F.when(take, now).otherwise(c("started")), "version": c("version") + F.when(take, 1).otherwise(0)}
+    out |= {"claimed_seq": F.when(take, c("signal_seq")).otherwise(c("claimed_seq")), "work_state": F.when(take, "IN_FLIGHT").when(off, "SUSPENDED").otherwise(c("work_state")), "attempts": c("attempts") + F.when(take, 1).otherwise(0), "started": F.when(take, now).otherwise(c("started")), "version": c("version") + F.when(hit, 1).otherwise(0)}
     return m.select(*[out[x].alias(x) if x in out else c(x) for x in work.columns])
 
 
@@ -149,10 +152,62 @@ def recover_stale(work: DataFrame, roots: DataFrame, before: Column) -> DataFram
     ).drop("__a")
 
 
-def retry_ready(work: DataFrame, now: Column) -> DataFrame:
-    """Retries whose wait is over are pending."""
-    ready = (F.col("work_state") == "RETRY_WAIT") & (F.col("not_before") <= now)
-    return work.withColumn("work_state", F.when(ready, "PENDING").otherwise(F.col("work_state")))
+def _again(work: DataFrame, roots: DataFrame | None, when: Column, not_before: Column | None = None) -> DataFrame:
+    """Work that may run again is pending, on ACTIVE roots only."""
+    c = F.col
+    m = work.withColumn("__a", F.lit(True)) if roots is None else work.join(roots.select("root_id", (c("lifecycle") == "ACTIVE").alias("__a")), "root_id", "left")
+    go = F.coalesce(when & c("__a"), F.lit(False))
+    out = {"work_state": F.when(go, "PENDING").otherwise(c("work_state"))}
+    if not_before is not None:
+        out["not_before"] = F.when(go, not_before).otherwise(c("not_before"))
+    if "version" in work.columns:
+        out["version"] = c("version") + F.when(go, 1).otherwise(0)
+    return m.select(*[out[x].alias(x) if x in out else c(x) for x in work.columns])
+
+
+def retry_ready(work: DataFrame, now: Column, roots: DataFrame | None = None) -> DataFrame:
+    """Retries whose wait is over are pending, without a wait."""
+    return _again(work, roots, (F.col("work_state") == "RETRY_WAIT") & (F.col("not_before") <= now), F.lit(None).cast("long"))
+
+
+def resume_suspended(work: DataFrame, roots: DataFrame) -> DataFrame:
+    """Suspended work of roots that are ACTIVE again is pending."""
+    return _again(work, roots, F.col("work_state") == "SUSPENDED")
+
+
+def repair_blocked(work: DataFrame, picked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Picked blocked rows (root_id, scope, version) are pending: the only way out of BLOCKED."""
+    m = work.join(picked.select("root_id", "scope", F.col("version").alias("__v")), ["root_id", "scope"], "left")
+    return _again(m, roots, (F.col("work_state") == "BLOCKED") & (F.col("__v") == F.col("version"))).drop("__v")
+
+
+def budget_defer(work: DataFrame, picked: DataFrame, until: Column) -> DataFrame:
+    """Picked pending rows (root_id, scope, version) wait until an instant; a later wait stays."""
+    c = F.col
+    m = work.join(picked.select("root_id", "scope", c("version").alias("__v")), ["root_id", "scope"], "left")
+    hit = F.coalesce((c("__v") == c("version")) & (c("work_state") == "PENDING") & (c("not_before").isNull() | (c("not_before") < until)), F.lit(False))
+    out = {"not_before": F.when(hit, until).otherwise(c("not_before")), "version": c("version") + F.when(hit, 1).otherwise(0)}
+    return m.select(*[out[x].alias(x) if x in out else c(x) for x in work.columns])
+
+
+def watch_effects(watches: DataFrame, work: DataFrame, now: Column) -> DataFrame:
+    """watches after what befell the work of their scopes. work: root_id, scope, claimed_sources, step (STARTED, SUCCEEDED,
+    FAILED), error_class. Only work that the poll schedule asked for counts; a root that is not active is no failure of the
+    provider. watches: attempt_at, finished_at, fresh_at, failures, last_error, version and whatever else."""
+    c = F.col
+    polled = work.filter(F.array_contains("claimed_sources", "POLL_SCHEDULE")).select("root_id", "scope", c("step").alias("__step"), c("error_class").alias("__error"))
+    m = watches.join(polled, ["root_id", "scope"], "left")
+    on = lambda step: F.coalesce(c("__step") == step, F.lit(False))
+    ok, bad = on("SUCCEEDED"), on("FAILED")
+    out = {
+        "attempt_at": F.when(on("STARTED"), now).otherwise(c("attempt_at")),
+        "finished_at": F.when(ok | bad, now).otherwise(c("finished_at")),
+        "fresh_at": F.when(ok, now).otherwise(c("fresh_at")),
+        "failures": F.when(ok, 0).otherwise(c("failures") + F.when(bad & (c("__error") != "ROOT_INACTIVE"), 1).otherwise(0)),
+        "last_error": F.when(ok, None).when(bad, c("__error")).otherwise(c("last_error")),
+        "version": c("version") + F.when(c("__step").isNotNull(), 1).otherwise(0),
+    }
+    return m.select(*[out[x].alias(x) if x in out else c(x) for x in watches.columns])
 
 
 def due_polls(watches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

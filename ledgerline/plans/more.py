@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import paths, values
-from ledgerline.operators import controls, latest, reader, runtime, selectors, work
+from ledgerline.operators import apply, controls, latest, reader, runtime, selectors, work
 from ledgerline.plans.fixtures import MINUTE, NOW, fixture, with_sql
 from ledgerline.plans.reads import admissions, journal
 
@@ -34,43 +34,40 @@ _JRN = with_sql("inv_journal", "inv_admission") + ", journal AS (SELECT root_id,
 
 @check(_JRN + " SELECT root_id, event_seq // 4 AS generation, coalesce(max(event_seq % 4 + 1), 0) + 1 AS next_intra FROM journal GROUP BY 1, 2")
 def a3_next_intra_seq(spark, d):
-    j = journal(spark, d).select("root_id", F.floor(C("event_seq") / 4).alias("generation"), (C("event_seq") % 4 + 1).alias("intra"))
-    return j.groupBy("root_id", "generation").agg((F.coalesce(F.max("intra"), F.lit(0)) + 1).alias("next_intra"))
+    j = journal(spark, d).select("root_id", F.floor(C("event_seq") / 4).alias("generation"), (C("event_seq") % 4 + 1).alias("intra_seq"))
+    return apply.next_intra(j)
 
 
 @check(_JRN + " SELECT * FROM (SELECT root_id, event_seq, event_seq // 4 AS generation, event_type, row_number() OVER (PARTITION BY root_id ORDER BY event_seq // 4, event_seq % 4, event_seq) AS apply_order FROM journal)")
 def l10_apply_order(spark, d):
-    from pyspark.sql import Window
-
-    j = journal(spark, d).withColumn("generation", F.floor(C("event_seq") / 4))
-    return j.select("root_id", "event_seq", "generation", "event_type", F.row_number().over(Window.partitionBy("root_id").orderBy("generation", C("event_seq") % 4, "event_seq")).alias("apply_order"))
+    j = journal(spark, d).withColumn("generation", F.floor(C("event_seq") / 4)).withColumn("intra_seq", C("event_seq") % 4)
+    return apply.apply_order(j).select("root_id", "event_seq", "generation", "event_type", "apply_order")
 
 
 @check(with_sql("inv_prior") + " SELECT root_id, count(*) FILTER (WHERE presence = 'PRESENT') AS present FROM inv_prior GROUP BY 1")
 def a1_present_count(spark, d):
-    return fixture(spark, d, "inv_prior").groupBy("root_id").agg(F.count_if(C("presence") == "PRESENT").alias("present"))
+    return apply.present_counts(fixture(spark, d, "inv_prior"))
 
 
 @check(with_sql("inv_prior") + " SELECT root_id, path, count(*) AS n, bool_and(is_dir AND evidence = 'NONE') AS good, max(mtime) AS changed_at, min(resource_id) AS resource_id FROM inv_prior WHERE presence = 'PRESENT' GROUP BY 1, 2")
 def a7_path_proof(spark, d):
-    p = fixture(spark, d, "inv_prior").filter("presence = 'PRESENT'")
-    return p.groupBy("root_id", "path").agg(F.count("*").alias("n"), F.bool_and(C("is_dir") & (C("evidence") == "NONE")).alias("good"), F.max("mtime").alias("changed_at"), F.min("resource_id").alias("resource_id"))
+    return controls.path_proofs(fixture(spark, d, "inv_prior"))
 
 
 @check(_JRN + " SELECT root_id, count(*) AS n, coalesce(bool_and(status <> 'PENDING'), false) AS settled FROM admission GROUP BY 1")
 def a8_receipt_flags(spark, d):
-    return admissions(spark, d).groupBy("root_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(C("status") != "PENDING"), F.lit(False)).alias("settled"))
+    return controls.settled(admissions(spark, d))
 
 
 @check(with_sql("inv_entries") + " SELECT root_id, alg, hash, count(*) AS n FROM inv_entries WHERE coalesce(hash, '') <> '' AND coalesce(alg, '') <> '' GROUP BY 1, 2, 3")
 def a10_observed_hashes(spark, d):
-    e = fixture(spark, d, "inv_entries")
-    return e.filter(values.comparable_hash(C("hash"), C("alg"))).groupBy("root_id", "alg", "hash").agg(F.count("*").alias("n"))
+    return controls.observed_hashes(fixture(spark, d, "inv_entries"))
 
 
 @check(_JRN + " SELECT root_id, seq % 4 AS identity, max(seq) AS generation FROM admission WHERE status = 'APPLIED' GROUP BY 1, 2")
 def k17_last_generation_of_identity(spark, d):
-    return admissions(spark, d).filter("status = 'APPLIED'").groupBy("root_id", (C("seq") % 4).alias("identity")).agg(F.max("seq").alias("generation"))
+    a = admissions(spark, d).filter("status = 'APPLIED'")
+    return apply.last_generation_of(a.select("root_id", (C("seq") % 4).alias("identity"), C("seq").alias("generation")))
 
 
 @check(_JRN + ", s AS (SELECT root_id, max(seq) AS seq FROM admission GROUP BY 1), o AS (SELECT root_id, seq, seq % 3 <> 0 AS ok, seq % 2 = 0 AS shrunk FROM admission), f AS (SELECT root_id, arg_min(shrunk, seq) AS shrunk FROM o WHERE ok GROUP BY 1) SELECT root_id, CASE WHEN s.seq % 5 = 0 OR f.shrunk IS NULL THEN 'NONE' WHEN f.shrunk THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS corroboration FROM s LEFT JOIN f USING (root_id)")
@@ -108,7 +105,7 @@ def p4_list_children(spark, d):
 
 @check(with_sql("inv_prior") + " SELECT to_json(struct_pack(resource_id := resource_id, path := path, size := size)) AS body FROM inv_prior WHERE presence = 'PRESENT'")
 def s17_json_rows(spark, d):
-    return fixture(spark, d, "inv_prior").filter("presence = 'PRESENT'").select(F.to_json(F.struct("resource_id", "path", "size")).alias("body"))
+    return reader.json_rows(fixture(spark, d, "inv_prior").filter("presence = 'PRESENT'"), "resource_id", "path", "size")
 
 
 @check(with_sql("inv_entries") + " SELECT root_id, entry_id, row_number() OVER (PARTITION BY root_id ORDER BY parent_ref, name, entry_id) AS place FROM inv_entries")
@@ -161,9 +158,45 @@ def t8_recover_stale(spark, d):
     return work.recover_stale(_state(spark, d), fixture(spark, d, "inv_root"), at() - 10 * MINUTE).select("root_id", "scope", "tie", "work_state", "first_seen", "not_before", "failures")
 
 
-@check(_ST + f" SELECT root_id, scope, tie, CASE WHEN work_state = 'RETRY_WAIT' AND not_before <= {NOW} THEN 'PENDING' ELSE work_state END AS work_state FROM s")
+_GO = "coalesce(lifecycle = 'ACTIVE', false)"
+
+
+@check(_ST + f", r AS (SELECT s.*, work_state = 'RETRY_WAIT' AND not_before <= {NOW} AND {_GO} AS go FROM s LEFT JOIN inv_root USING (root_id)) SELECT root_id, scope, tie, CASE WHEN go THEN 'PENDING' ELSE work_state END AS work_state, CASE WHEN fl OR go THEN NULL ELSE not_before END AS not_before, CASE WHEN go THEN 2 ELSE 1 END AS version FROM r")
 def t7_retry_ready(spark, d):
-    return work.retry_ready(fixture(spark, d, "inv_work"), at()).select("root_id", "scope", "tie", "work_state")
+    return work.retry_ready(_state(spark, d), at(), fixture(spark, d, "inv_root")).select("root_id", "scope", "tie", "work_state", "not_before", "version")
+
+
+@check(_ST + f", r AS (SELECT s.*, work_state = 'SUSPENDED' AND {_GO} AS go FROM s LEFT JOIN inv_root USING (root_id)) SELECT root_id, scope, tie, CASE WHEN go THEN 'PENDING' ELSE work_state END AS work_state, CASE WHEN go THEN 2 ELSE 1 END AS version FROM r")
+def t7_resume_suspended(spark, d):
+    return work.resume_suspended(_state(spark, d), fixture(spark, d, "inv_root")).select("root_id", "scope", "tie", "work_state", "version")
+
+
+def _picked(spark, d, state):
+    """One row for each scope in a state; every third has been changed meanwhile."""
+    w = _state(spark, d).filter(C("work_state") == state)
+    return w.groupBy("root_id", "scope").agg(F.min("tie").alias("t")).select("root_id", "scope", F.when(C("t") % 3 == 0, 9).otherwise(1).alias("version"))
+
+
+_PICK = ", p AS (SELECT root_id, scope, CASE WHEN min(tie) % 3 = 0 THEN 9 ELSE 1 END AS v FROM s WHERE work_state = '{0}' GROUP BY 1, 2)"
+
+
+@check(_ST + _PICK.format("BLOCKED") + f", r AS (SELECT s.*, work_state = 'BLOCKED' AND coalesce(v = 1, false) AND {_GO} AS go FROM s LEFT JOIN p USING (root_id, scope) LEFT JOIN inv_root USING (root_id)) SELECT root_id, scope, tie, CASE WHEN go THEN 'PENDING' ELSE work_state END AS work_state, CASE WHEN go THEN 2 ELSE 1 END AS version FROM r")
+def t7_repair_blocked(spark, d):
+    return work.repair_blocked(_state(spark, d), _picked(spark, d, "BLOCKED"), fixture(spark, d, "inv_root")).select("root_id", "scope", "tie", "work_state", "version")
+
+
+@check(_ST + _PICK.format("PENDING") + f", r AS (SELECT s.*, work_state = 'PENDING' AND coalesce(v = 1, false) AND (not_before IS NULL OR not_before < {NOW}) AS go FROM s LEFT JOIN p USING (root_id, scope)) SELECT root_id, scope, tie, CASE WHEN go THEN {NOW} WHEN fl THEN NULL ELSE not_before END AS not_before, CASE WHEN go THEN 2 ELSE 1 END AS version FROM r")
+def t7_budget_defer(spark, d):
+    return work.budget_defer(_state(spark, d), _picked(spark, d, "PENDING"), at()).select("root_id", "scope", "tie", "not_before", "version")
+
+
+@check(
+    _ST + _PICK.format("PENDING")
+    + f", r AS (SELECT s.*, work_state = 'PENDING' AND coalesce(v = 1, false) AS hit, {_GO} AS act FROM s LEFT JOIN p USING (root_id, scope) LEFT JOIN inv_root USING (root_id)) SELECT root_id, scope, tie, CASE WHEN hit AND act THEN 'IN_FLIGHT' WHEN hit THEN 'SUSPENDED' ELSE work_state END AS work_state, CASE WHEN hit AND act THEN signal_seq WHEN fl THEN cs END AS claimed_seq, CASE WHEN hit AND act THEN NULL WHEN NOT fl OR q THEN 'RECOVERY' END AS sources, CASE WHEN hit AND act THEN 'RECOVERY' WHEN fl THEN 'POLL_SCHEDULE' END AS claimed_sources, CASE WHEN hit AND act THEN 2 ELSE 1 END AS attempts, CASE WHEN hit THEN 2 ELSE 1 END AS version FROM r"
+)
+def t4_claim(spark, d):
+    out = work.claim(_state(spark, d), _picked(spark, d, "PENDING"), at(), fixture(spark, d, "inv_root"))
+    return out.select("root_id", "scope", "tie", "work_state", "claimed_seq", F.array_join("sources", ",").alias("sources"), F.array_join("claimed_sources", ",").alias("claimed_sources"), "attempts", "version")
 
 
 @check(_ST + " SELECT DISTINCT root_id, scope, tie FROM s WHERE fl AND scope = '/w1/' || tie AND cs >= 2")
