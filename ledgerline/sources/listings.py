@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,13 +75,45 @@ def page_error(pages: DataFrame, most: int) -> DataFrame:
     return g.select("scope", error.alias("error"))
 
 
-COLLECTORS = {"rclone": read_rclone}
-
-
-def collect(spark: SparkSession, kind: str, path: str) -> tuple[DataFrame, DataFrame]:
-    if kind not in COLLECTORS:
-        raise ValueError(f"unknown collector {kind}")
-    return COLLECTORS[kind](spark, path)
+def scan_rclone(spark: SparkSession, remote: str, program: str = "rclone", timeout: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+    """(entries, evidence) of a recursive listing that the program makes. Its output goes to the shared folder; a program that
+    can't run, fails or writes no listing is evidence of failure."""
+    import subprocess
+
+    from ledgerline.operators.ordered import shared_dir
+
+    at = f"{shared_dir(spark)}/rclone-{uuid.uuid4().hex}.json"
+    try:
+        done = subprocess.run([program, "lsjson", "--recursive", "--hash", remote], capture_output=True, timeout=timeout)
+        error = None if done.returncode == 0 else done.stderr.decode(errors="replace")[-500:] or f"exit status {done.returncode}"
+        text = done.stdout
+    except (OSError, subprocess.SubprocessError) as e:
+        error, text = f"{type(e).__name__}: {program}", b""
+    p = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(b"[]" if error else text))
+    out.close()
+    rows, evidence = read_rclone(spark, at)
+    return (rows, evidence) if error is None else (rows, evidence_row(spark, "FAILED", error))
+
+
+def evidence_row(spark: SparkSession, traversal: str, error: str | None = None) -> DataFrame:
+    return spark.createDataFrame([(traversal, None if error is None else json.dumps({"message": error}))], "traversal string, error_summary string")
+
+
+def collect(spark: SparkSession, kind: str, where, **options) -> tuple[DataFrame, DataFrame]:
+    """(entries, evidence) of a source: `rclone` listing files, `rclone-live` remotes, or the address of an `alist` or
+    `openlist` server with the options of alist.Provider and `top`."""
+    if kind == "rclone":
+        return read_rclone(spark, where)
+    if kind == "rclone-live":
+        return scan_rclone(spark, where, **options)
+    if kind in ("alist", "openlist"):
+        from ledgerline.sources import alist
+
+        top = options.pop("top", "/")
+        return alist.scan(spark, alist.Provider(where, **options), top)
+    raise ValueError(f"unknown collector {kind}")
 
 
 def walk(list_one, top: str = "/") -> tuple[list[dict], str | None]:
