@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import common as C
+
 Template = Callable[[list[tuple[str, str]]], str]
 
 CONTROL = re.compile(r"([\[<])(\\*)(/?(?:INST|ROLE|NAME|s)[\]>])")
@@ -30,10 +32,15 @@ TURN = re.compile(r"\[INST\] (.*?) \[/INST\]|<s>(.*?)</s>|\[ROLE\](.*?)\[NAME\](
 
 
 @lru_cache(4096)
-def escape(text: str) -> str:
+def _escape_short(text: str) -> str:
     return CONTROL.sub(r"\1\\\2\3", text)
 
 
+def escape(text: str) -> str:
+    """Short texts are remembered, as each is rendered once for every later turn; long ones aren't, to bound memory."""
+    return _escape_short(text) if len(text) <= 4096 else CONTROL.sub(r"\1\\\2\3", text)
+
+
 def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1\2\3", text)
 
@@ -132,7 +139,7 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     """
     src = rows.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     # sorted rows, not gathered groups: a task holds one conversation at a time
-    dealt = src.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = src.repartition(C.parts(rows.sparkSession, C.text_bytes(src, "text")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
