@@ -13,6 +13,7 @@ when the tests exceed one block, all terms are stored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -185,12 +186,13 @@ class Shard:
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return both[0], both[1]
 
-    def near(self, p: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start of a span) for phrases whose words, as often as they recur in it, all lie in length + slop words.
+    def near(self, p: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, start, words) of spans of at most length + slop words that hold all words of a phrase, as often as they
+        recur in it.
 
-        A span starts and ends at one of the words; only the first span of those that start at one posting counts.
+        A span starts and ends at one of the words, and is the shortest of those that start at its first word.
         """
-        who, where = [], []
+        who, where, size = [], [], []
         for i in range(len(p.length)):
             words = p.word[i, : p.length[i]]
             term, need = np.unique(words, return_counts=True)
@@ -204,13 +206,18 @@ class Shard:
             nxt = np.searchsorted(rare, starts)
             starts = starts[(nxt < len(rare)) & (rare[np.minimum(nxt, len(rare) - 1)] < starts + span)]
             ok = np.ones(len(starts), bool)
+            last = starts.copy()  # where the last word that is needed stands
             d = np.searchsorted(self.doc_start, starts, "right") - 1
             stop = np.minimum(starts + span, self.doc_start[d] + self.words[d])
             for x, k in zip(lists, need.tolist(), strict=True):
-                ok &= np.searchsorted(x, stop) - np.searchsorted(x, starts) >= k
+                at = np.searchsorted(x, starts) + k - 1
+                there = x[np.minimum(at, len(x) - 1)]
+                ok &= (at < len(x)) & (there < stop)
+                last = np.maximum(last, there)
             who.append(np.full(int(ok.sum()), i))
             where.append(starts[ok])
-        return (np.concatenate(who), np.concatenate(where)) if who else (np.empty(0, np.int64), np.empty(0, np.int64))
+            size.append(last[ok] + 1 - starts[ok])
+        return tuple(np.concatenate(x) for x in (who, where, size)) if who else (np.empty(0, np.int64),) * 3
 
 
 def test_blocks(tests: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
@@ -236,7 +243,8 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
     """One row per document of the index: its place there (shard, place), doc_id, n_words, spans, items.
 
     spans: words in a match, as merged [start, end) runs; items: distinct ids, in byte order, of tests with a match. With
-    slop, proximity matches (a span of a phrase's length + slop words) instead of exact ones.
+    slop, proximity matches (spans of at most a phrase's length + slop words, from one of its words to another) instead of
+    exact ones.
     """
     sent = index.sparkSession.sparkContext.broadcast(phrases)
 
@@ -245,12 +253,12 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row, p)
-                who, pos = s.exact(p) if slop is None else s.near(p, slop)
+                who, pos, *size = s.exact(p) if slop is None else s.near(p, slop)
                 doc = np.searchsorted(s.doc_start, pos, "right") - 1
-                width = p.length[who] + (slop or 0)
+                width = size[0] if size else p.length[who]
                 cover = np.zeros(s.size + 1, np.int64)
                 np.add.at(cover, pos, 1)
-                np.add.at(cover, np.minimum(pos + width, s.doc_start[doc] + s.words[doc]), -1)
+                np.add.at(cover, pos + width, -1)
                 edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
                 begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 spans: list[list] = [[] for _ in s.words]
@@ -289,9 +297,10 @@ def find_contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id"
     if second is None:
         return search(C.materialise(index, "postings") if store else index, Phrases(first, window), slop).drop("shard", "place")
     index = C.materialise(index, "postings")
-    both = search(index, Phrases(first, window), slop).unionByName(search(index, Phrases(second, window), slop))
-    for block in blocks:
-        both = both.unionByName(search(index, Phrases(block, window), slop))
+    both = None
+    for block in itertools.chain((first, second), blocks):  # each block's answers are stored before the next is read
+        found = C.materialise(search(index, Phrases(block, window), slop), "matches")
+        both = found if both is None else both.unionByName(found)
     return (
         both.groupBy("shard", "place")
         .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
