@@ -4,8 +4,8 @@ Equal vectors collapse first. A tree of centroids (groups, cells, clusters), fit
 its `overlap` nearest clusters, which so overlap. Each cluster is a build shard: its members' nearest neighbours are pruned
 robustly (a neighbour goes if another kept one is nearer to it, by the factor alpha) to a bounded degree. The adjacency
 lists of a vector from all its shards are then united. Search takes the united graph a cell at a time: each vector at home
-there starts at the nearest medoids, expands best first, and from then on every vector within range, until the range
-brings no new one. Found links are verified in double precision.
+there starts at the nearest medoids (and at itself, where it is a node), expands best first, and from then on every vector
+within range, until the range brings no new one. Found links are verified in double precision.
 
 A link between vectors of two cells is found by one of the two: a vector asks in every cell that can be home to one within
 the threshold (`Tree.reach`), if of the two cells its own is the one to ask. There it is compared with all vectors at home,
@@ -40,8 +40,8 @@ SAMPLE, SAMPLE_PER_CELL, SAMPLE_BYTES = 32_000, 8, 256 << 20
 #: Cells up to which there is one group of them.
 GROUP = 64
 DEGREE, ALPHA, CANDIDATES = 16, 1.2, 64
-#: Audit queries of each draw; links that make a further draw needless.
-AUDIT, AUDIT_LINKS = (500, 1000, 2000), 200
+#: Audit queries of each draw; queries with a link that make a further draw needless.
+AUDIT, AUDIT_LINKED = (500, 1000, 2000), 100
 
 
 def usable(v: Column) -> Column:
@@ -189,8 +189,9 @@ class Graph:
             self.medoids.append(rows[int((x[rows] @ x[rows].mean(0)).argmax())])
         self.medoids = np.array(self.medoids)
 
-    def search(self, q: np.ndarray, reach: float, steps: int, starts: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs seen with a similarity of `reach` or more: greedy steps, then the whole range."""
+    def search(self, q: np.ndarray, reach: float, steps: int, starts: int = 4, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs seen with a similarity of `reach` or more: greedy steps, then the whole range. own: the node
+        that each query is, -1 for none."""
         n = len(self.x)
         seen = np.full((len(q), n), -9.0, np.float32)
         done = np.zeros((len(q), n), bool)
@@ -205,6 +206,8 @@ class Graph:
         rows = np.arange(len(q))
         first = np.argsort(-(q @ self.x[self.medoids].T), axis=1, kind="stable")[:, :starts]
         visit(np.repeat(rows, first.shape[1]), self.medoids[first.ravel()])
+        if own is not None:
+            visit(rows, own)
         for _ in range(steps):
             open_ = np.where(done, np.float32(-9), seen)
             pick = open_.argmax(1)
@@ -225,8 +228,12 @@ class Graph:
 
 
 def _tiles(df: DataFrame, by: str, most: int, name: str) -> DataFrame:
-    """df with `name`: the number of tiles of at most about `most` rows that its rows of one `by` make."""
-    return df.join(df.groupBy(by).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name)), by)
+    """df with `name`: the number of tiles of at most about `most` rows that its rows of one `by` make.
+
+    There are as many cells as the tree has, and up to CELL / SHARD clusters in each: a bounded table, which is broadcast, so
+    that no cell's rows meet in a join.
+    """
+    return df.join(F.broadcast(df.groupBy(by).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))), by)
 
 
 class Found:
@@ -321,9 +328,9 @@ def neighbours(distinct: DataFrame, threshold: float, n: int, overlap: int = 3,
     # askers from other cells meet the vectors at home, a tile of either at a time
     asks = _tiles(own.mapInArrow(route, "cell long, " + kind), "cell", CELL_TILE, "turns")
     parts = nodes.groupBy("cell").agg(F.first("tiles").alias("tiles"))
-    askers = asks.join(parts, "cell").withColumn("p", each("tiles")).select("cell", "p", F.col("p").alias("q"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("turns")).cast("int").alias("turn"), F.lit(-1).alias("part"), F.lit(None).cast("long").alias("shard"), F.lit(False).alias("home"), "key", "copies", "vec", F.lit(None).cast("array<long>").alias("near"))
+    askers = asks.join(F.broadcast(parts), "cell").withColumn("p", each("tiles")).select("cell", "p", F.col("p").alias("q"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("turns")).cast("int").alias("turn"), F.lit(-1).alias("part"), F.lit(None).cast("long").alias("shard"), F.lit(False).alias("home"), "key", "copies", "vec", F.lit(None).cast("array<long>").alias("near"))
     turns = asks.groupBy("cell").agg(F.first("turns").alias("turns"))
-    hosts = nodes.filter("home").join(turns, "cell").withColumn("turn", each("turns")).select("cell", F.col("part").alias("p"), F.col("part").alias("q"), "turn", "part", "shard", "home", "key", "copies", "vec", F.lit(None).cast("array<long>").alias("near"))
+    hosts = nodes.filter("home").join(F.broadcast(turns), "cell").withColumn("turn", each("turns")).select("cell", F.col("part").alias("p"), F.col("part").alias("q"), "turn", "part", "shard", "home", "key", "copies", "vec", F.lit(None).cast("array<long>").alias("near"))
 
     def graph(table: pa.Table, rows: np.ndarray, keys: np.ndarray, x: np.ndarray) -> tuple[Graph, np.ndarray]:
         """The united graph of one tile, and its rows, one for each key: that at home, if any."""
@@ -355,8 +362,10 @@ def neighbours(distinct: DataFrame, threshold: float, n: int, overlap: int = 3,
         place = np.full(len(table), -1, np.int64)
         place[at_home] = np.arange(len(at_home))
         starts = 4 * max(1, -(-len(g.medoids) * SHARD // max(1, len(rows))))
+        at = np.minimum(np.searchsorted(keys[rows], keys[asks]), len(rows) - 1)
+        own = np.where(keys[rows][at] == keys[asks], at, -1)
         for lo in range(0, len(asks), 128):
-            who, hit = g.search(found.x[asks[lo : lo + 128]].astype(np.float32), threshold - 1e-4, steps, starts)
+            who, hit = g.search(found.x[asks[lo : lo + 128]].astype(np.float32), threshold - 1e-4, steps, starts, own[lo : lo + 128])
             there = place[rows[hit]]
             who, there = who[there >= 0], there[there >= 0]
             ok = found.sure(asks[lo + who], at_home[there])
@@ -413,18 +422,18 @@ def brute_degrees(distinct: DataFrame, queries: pa.Table, threshold: float) -> D
 
 
 def audit_of(distinct: DataFrame, threshold: float) -> dict[int, int]:
-    """Of random queries, the copies that each is linked with, where that is any; more are drawn until AUDIT_LINKS are seen or
-    the draws are used up."""
+    """Of random queries, the copies that each is linked with, where that is any; more are drawn until AUDIT_LINKED have some
+    or the draws are used up."""
     truth: dict[int, int] = {}
     for k, n in enumerate(AUDIT):
         asked = distinct.orderBy(F.xxhash64("key", F.lit(k + 1))).limit(n).select("key", "vec").toArrow()
         truth |= {key: n for key, n in brute_degrees(distinct, asked, threshold).collect() if n}
-        if sum(truth.values()) >= AUDIT_LINKS:
+        if len(truth) >= AUDIT_LINKED:
             break
     return truth
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.98) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, audited_recall, audited_links.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing: their component is
