@@ -14,6 +14,31 @@ ROOT_STEPS = {("NEW", "ACTIVE"), ("ACTIVE", "DEPRECATED"), ("ACTIVE", "DELETED")
 ROOT_EVENTS = {"DEPRECATED": "root-deprecated", "DELETED": "root-deleted"}
 
 
+# The closed sets of the control plane's columns.
+CLOSED = {
+    "watch_state": ("HOT", "WARM", "COLD", "DISABLED"),
+    "work_state": ("PENDING", "IN_FLIGHT", "VERIFIED", "RETRY_WAIT", "BLOCKED", "SUSPENDED"),
+    "priority": ("URGENT", "HIGH", "NORMAL", "LOW"),
+    "trigger_source": ("POLL_SCHEDULE", "MUTATION_HINT", "MANUAL_OPERATOR", "PROVIDER_EVENT", "RECOVERY", "FULL_VERIFY_BACKSTOP"),
+    "watch_source": ("OPERATOR_POLICY", "ADAPTIVE_POLICY", "MIGRATED", "BACKSTOP_ENROLL"),
+    "trigger_reason": ("POSSIBLE_CHANGE", "DELETE_HINT", "MOVE_UNCERTAIN", "METADATA_UNCERTAIN", "MANUAL_VERIFY", "DRIFT_VERIFY", "RETRY"),
+    "error_class": ("TRANSIENT_PROVIDER", "THROTTLED", "AUTH_OR_PERMISSION", "SCOPE_TOO_LARGE", "INVALID_SCOPE", "ROOT_INACTIVE", "CONFIG_INVALID", "INTERNAL"),
+}
+
+
+def in_set(value: Column, name: str) -> Column:
+    """Whether a value is of the closed set of that name; null for null."""
+    return value.isin(*CLOSED[name])
+
+
+def create_roots(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """roots with those of new (root_id, created_at) that aren't there yet, NEW and at generation 0. A root that repeats
+    counts once, as the earliest."""
+    fresh = new.groupBy("root_id").agg(F.min("created_at").alias("created_at")).join(roots.select("root_id"), "root_id", "left_anti")
+    made = fresh.withColumns({"generation": F.lit(0).cast("long"), "lifecycle": F.lit("NEW")})
+    return roots.unionByName(made.select(*[c for c in roots.columns if c in made.columns]), allowMissingColumns=True)
+
+
 def valid_step(before: Column, after: Column) -> Column:
     out = F.lit(False)
     for a, b in sorted(ROOT_STEPS):

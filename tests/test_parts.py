@@ -39,6 +39,11 @@ def test_null_rules(spark):
     assert one(spark, values.backoff(F.lit(3), 1000, 30000, F.lit(50000))) == 50000 and one(spark, values.budget_group(F.lit("HTTPS://Host:443/a"))) == "https://host"
 
 
+def test_parameters():
+    assert [reader.parameter(x, 7) for x in (None, "", "12", "-1", "x", "0", "²")] == [7, 7, 12, 7, 7, 0, 7]
+    assert [reader.switch(x) for x in ("1", "true", "TRUE", "0", None)] == [True, True, False, False, False]
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([("r", f"x{i}", f"/p{i % 3}") for i in range(6)], "root_id string, resource_id string, path string")
     seen, cursor = [], None
