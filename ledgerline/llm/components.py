@@ -60,8 +60,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node (as a signed long) of its component.
 
     Each round first contracts every task's links to stars, RUN of them at most at a time, then takes a large-star and a
-    small-star step with aggregation instead of neighbour lists, so that a hub is never gathered in one task. A list of
-    RUN links or fewer needs no more than its first contraction. Each round is written to the shared folder. edges: src,
+    small-star step with aggregation instead of neighbour lists. A hub's links meet the hub's one row in a join, whose
+    large partitions Spark splits (its skew join), and no task holds them as a list. A list of RUN links or fewer needs no
+    more than its first contraction. Each round is written to the shared folder. edges: src,
     dst long; null, repeated and self edges are allowed and ignored. Raises if it hasn't converged after most_rounds.
     """
     e = C.materialise(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst"), "cc")

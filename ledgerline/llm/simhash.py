@@ -262,11 +262,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     class too, named by the smallest non-null id of its component, if any. Extra columns don't matter.
     """
     prints = C.materialise(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`")), text_col, shingle, seed, [id_col]), "simhash")
-    distinct = prints.groupBy("simhash").agg(F.min(id_col).alias("first"))
+    distinct = C.materialise(prints.groupBy("simhash").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")), "simhash-distinct")
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     roots = connected_components(C.materialise(link_forest(distinct.select("simhash"), narrow_ring(distance)), "simhash-links"))
-    grouped = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("simhash", "component_id")
-    return prints.join(named, "simhash").select(id_col, "simhash", "component_id")
+    grouped = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select("simhash", "first", "copies", F.coalesce("root", "simhash").alias("root"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("simhash", "copies", "component_id")
+    return C.join_hot(prints, named, ["simhash"], total).select(id_col, "simhash", "component_id")
 
 
 def shingle_sets(texts: list[bytes | None], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +332,8 @@ def _same_sets(x: list, y: list | None, seen: np.ndarray, shingle: int, similari
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets): stored rows with `keep`, __id, __row and __node; for each distinct set of shingles its __node, __root
-    and `least`, the first of its rows as a struct by id."""
+    """(rows, sets): stored rows with `keep`, __id, __row and __node; for each distinct set of shingles its __node, __root,
+    the number of its rows as `copies`, and `least`, the first of them as a struct by id."""
     fps = [f"__fp{i}" for i in range(PARTS)]
     made = T.StructType([T.StructField("__node", T.LongType()), T.StructField("__bytes", T.LongType()), *[T.StructField(c, T.LongType()) for c in fps]])
 
@@ -344,7 +345,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
 
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__words"))
     rows = C.materialise(C.append(src, "__words", run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
-    distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
+    distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
     loose = connected_components(C.materialise(link_forest(distinct, wide_ring(similarity), "__node", fps, WIDE_TILE), "wide-links"))
     members = distinct.select(F.col("__node").alias("node"), F.col("least.__row").alias("__row"), "__bytes", *fps).join(loose, "node")
     tiles = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(SET_TILE), F.sum("__bytes") / F.lit(SET_BYTES))).cast("int").alias("tiles"))
@@ -366,7 +367,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
     by = ["root", "p", "q"]
     links = dealt.repartition(C.parts(docs.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key((y for x in batches for y in C.slices(x, 2 << 20)), 3, solve), "src long, dst long")
     roots = connected_components(C.materialise(links, "similar-links"))
-    return rows, distinct.join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left").select("__node", "least", F.coalesce("root", "__node").alias("__root"))
+    return rows, distinct.join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left").select("__node", "least", "copies", F.coalesce("root", "__node").alias("__root"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -377,8 +378,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by the smallest non-null id. Extra columns don't matter.
     """
     rows, sets = _similar(docs, id_col, text_col, [], shingle, similarity)
-    named = sets.join(sets.groupBy("__root").agg(F.min("least").alias("first")), "__root").select("__node", F.col("first.__id").alias("component_id"))
-    return rows.select(F.col("__id").alias(id_col), "__node").join(named, "__node").select(id_col, "component_id")
+    named = sets.join(sets.groupBy("__root").agg(F.min("least").alias("first")), "__root").select("__node", "copies", F.col("first.__id").alias("component_id"))
+    total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return C.join_hot(rows.select(F.col("__id").alias(id_col), "__node"), named, ["__node"], total).select(id_col, "component_id")
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
