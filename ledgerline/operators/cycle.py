@@ -78,6 +78,16 @@ class Settings:
         if self.rolling and not self.revisit:
             raise ValueError("rolling polls need a revisit interval")
 
+    @staticmethod
+    def from_environment(env: dict[str, str]) -> Settings:
+        """Settings of LEDGERLINE_* variables, times in milliseconds (MS) or whole seconds (S); others keep their defaults."""
+        number = lambda name, unit: None if f"LEDGERLINE_{name}" not in env else int(env[f"LEDGERLINE_{name}"]) * unit
+        given = {"due_watches": number("DUE_WATCHES", 1), "items": number("ITEMS", 1), "wall_time": number("WALL_TIME_S", SECOND), "readers": number("READERS", 1), "wake_interval": number("WAKE_INTERVAL_S", SECOND), "retries": number("RETRIES", 1), "revisit": number("REVISIT_S", SECOND), "discovery": env.get("LEDGERLINE_DISCOVERY_SCOPE")}
+        share = number("ROLLING_SHARE", 1)
+        if share is not None:
+            given["rolling"] = RollingPolicy(share, number("ROLLING_SPACING_MS", 1000) or 200_000, number("ROLLING_LEASE_S", SECOND) or 24 * HOUR)
+        return Settings(**{k: v for k, v in given.items() if v is not None})
+
 
 @dataclass(frozen=True)
 class DiagnoseLimits:
@@ -267,6 +277,8 @@ def execute_cycle(state: Control, scan: Callable[[str, str], dict], settings: Se
             # the watch is told by what was claimed, so before the claim is given back
             _watch(state, [(*item, "SUCCEEDED" if error is None else "FAILED", error)], now)
             if error is None:
+                if got.get("mirror") and settings.revisit:
+                    children = mirror_children(state, item[0], children, settings, now)
                 state.put("work", _followed(state, work.complete(state.work, mine, F.lit(now)), item, children, settings, now))
                 out.succeeded += 1
             else:
@@ -280,6 +292,31 @@ def execute_cycle(state: Control, scan: Callable[[str, str], dict], settings: Se
             return out
 
 
+def mirror_children(state: Control, root_id: str, children: list[str], settings: Settings, now: int) -> list[str]:
+    """The children of a mirrored scope that need a signal: those that a sound verification or queued work doesn't cover
+    already. Children without a watch get one that revisits them."""
+    from ledgerline.operators.controls import path_proofs
+
+    if not children:
+        return []
+    c, mine = F.col, F.col("root_id") == root_id
+    top = settings.discovery
+    high = lambda x: bool(top) and (x == top or x.startswith(top.removesuffix("/") + "/"))
+    kids = state.spark.createDataFrame([(root_id, x, "HIGH" if high(x) else "NORMAL") for x in children], "root_id string, scope string, child_priority string")
+    proofs = path_proofs(state.inventory.filter(mine)).select("root_id", c("path").alias("scope"), ((c("n") == 1) & c("good")).alias("proof_ok"), "changed_at")
+    watches = state.watches.filter(mine).select("root_id", "scope", "watch_state", "cadence", "source_set", "priority", "last_error", "deferred_until", "interval_s", "next_due")
+    rows = state.work.filter(mine).select("root_id", "scope", "work_state", "verified_at", "verified_seq", "signal_seq", "attempts", "error_class", c("priority").alias("work_priority"), "not_before")
+    told = work.admit_children(kids.join(proofs, ["root_id", "scope"], "left").join(watches, ["root_id", "scope"], "left").join(rows, ["root_id", "scope"], "left"), F.lit(now), settings.revisit // SECOND)
+    told = told.select("scope", "verdict", c("watch_state").isNull().alias("bare")).collect()  # a scope's children
+    bare = [r["scope"] for r in told if r["bare"]]
+    if bare:
+        new = state.spark.createDataFrame([(root_id, x) for x in bare], "root_id string, scope string")
+        given = {"watch_state": F.lit("WARM"), "cadence": F.lit("MIRROR_REVISIT"), "priority": F.lit("NORMAL"), "interval_s": F.lit(settings.revisit // SECOND), "next_due": F.lit(now + settings.revisit), "failures": F.lit(0), "version": F.lit(1), "source_set": F.array(F.lit("BACKSTOP_ENROLL"))}
+        kind = state.watches.schema
+        state.put("watches", state.watches.unionByName(new.select("root_id", "scope", *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind if f.name not in ("root_id", "scope")])))
+    return [r["scope"] for r in told if r["verdict"] not in ("VERIFIED_REUSED", "ALREADY_QUEUED")]
+
+
 def _watch(state: Control, steps: list[tuple], now: int) -> None:
     told = state.spark.createDataFrame(steps, "root_id string, scope string, step string, __e string")
     rows = state.work.select("root_id", "scope", "claimed_sources").join(told, ["root_id", "scope"]).withColumnRenamed("__e", "error_class")

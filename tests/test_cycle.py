@@ -45,6 +45,27 @@ def test_settings_have_bounds():
     assert cycle.check_revisit(0) == 0 and cycle.check_revisit(30_000_000)
 
 
+def test_settings_of_the_environment():
+    s = cycle.Settings.from_environment({"LEDGERLINE_READERS": "4", "LEDGERLINE_REVISIT_S": "60", "LEDGERLINE_ROLLING_SHARE": "10", "LEDGERLINE_DISCOVERY_SCOPE": "/x", "OTHER": "1"})
+    assert (s.readers, s.revisit, s.rolling.share, s.discovery, s.items) == (4, 60_000_000, 10, "/x", 5)
+    with pytest.raises(ValueError):
+        cycle.Settings.from_environment({"LEDGERLINE_READERS": "3"})
+
+
+def test_mirror_children(spark):
+    """Verified and queued children get no signal, bare ones a watch, and the executor follows the rest."""
+    inv = [("a", f"r{i}", f"/m/{i}", True, "PRESENT", "NONE", NOW - 10**9) for i in range(4)]
+    sound = dict(verified_at=NOW - 5, verified_seq=1, attempts=1)
+    s = control(spark, [item("a", "/m", priority="URGENT"), item("a", "/m/0", state="VERIFIED", **sound), item("a", "/m/1", age=1, not_before=NOW + 10**9, verified_at=NOW - 5)], [watch("a", f"/m/{i}", due=10, rolling=True) for i in range(3)], inv)
+    got = cycle.mirror_children(s, "a", [f"/m/{i}" for i in range(5)], cycle.Settings(revisit=60_000_000), NOW)
+    assert "/m/0" not in got and {"/m/2", "/m/3", "/m/4"} <= set(got)
+    new = {r["scope"]: r for r in s.watches.filter("scope in ('/m/3', '/m/4')").collect()}
+    assert len(new) == 2 and new["/m/3"]["next_due"] == NOW + 60_000_000 and new["/m/3"]["source_set"] == ["BACKSTOP_ENROLL"]
+    out = cycle.execute_cycle(s, lambda r, p: {"outcome": "APPLIED", "mirror": True, "children": ["/m/0", "/m/2"] if p == "/m" else []}, cycle.Settings(revisit=60_000_000))
+    w = states(s)
+    assert out.succeeded == 1 and w["a", "/m/0"]["work_state"] == "VERIFIED" and w["a", "/m/2"]["work_state"] == "PENDING"
+
+
 def test_discovery_children():
     f = cycle.discovery_children
     assert f("", "/a", ["/a/b"]) == [] and f("/x", "/a", ["/a/b"]) == [] and f("/", "/a", ["/a/b", "/a/c", "/a/b"]) == ["/a/b", "/a/c"]
