@@ -282,16 +282,22 @@ OBSERVATION = "root_id string, resource_id string, observation_id string, snapsh
 FACTS = ("traversal", "error_summary", "skipped_scopes", "skipped_known_empty", "freshness", "assurance", "used_cache", "corroboration")
 
 
+def together(*jobs):
+    """What some independent jobs return, run at once: none of them alone keeps a cluster busy."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [j.result() for j in [pool.submit(f) for f in jobs]]
+
+
 def evaluate(prior: DataFrame, entries: DataFrame, snapshot: dict, resolved: DataFrame) -> tuple[str, str]:
     """(acceptance, identity) of a snapshot against a root's inventory. The identity says what was seen and what it decides
     about removal: a snapshot of the same identity at the same generation changes nothing."""
     spark = prior.sparkSession
-    facts = {k: snapshot.get(k) for k in FACTS} | {"entries": entries.count(), "prior_present": prior.filter("presence = 'PRESENT'").count()}
+    n_entries, n_present, context = together(entries.count, prior.filter("presence = 'PRESENT'").count, reconcile.removal_context(prior, resolved).first)
+    facts = {k: snapshot.get(k) for k in FACTS} | {"entries": n_entries, "prior_present": n_present}
     kind = "traversal string, error_summary string, skipped_scopes string, skipped_known_empty boolean, freshness string, assurance string, used_cache boolean, corroboration string, entries long, prior_present long"
     accepted = evidence.acceptance(spark.createDataFrame([tuple(facts.values())], kind)).first()["acceptance"]
     if accepted == "FAILED":
         return accepted, ""
-    context = reconcile.removal_context(prior, resolved).first()
     digest = controls.entry_digest(entries, evidence=(*(None if facts[k] is None else str(facts[k]) for k in FACTS), accepted, context["context"] if context else "")).first()
     return accepted, digest["digest"] if digest else f"none-{accepted}-{context['context'] if context else ''}"
 
@@ -346,10 +352,15 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
     own.folder, own.events = folder, sizes["n"]  # each kind that raises the generation has an event
     g = spark.createDataFrame([(root_id, own.generation)], "root_id string, generation long")
     after = _with_identities(apply.apply_transitions(prior, entries, t, g), prior, entries, t)
-    write(observed(entries, t, own.number, snapshot), "observations")
-    write(apply.events(t, g, spark.createDataFrame([(root_id, head.last_event)], "root_id string, event_seq long")) if own.events else spark.createDataFrame([], JOURNAL), "journal")
     own.last_event = head.last_event + own.events
-    if head.base:
+
+    def journal() -> None:
+        last = spark.createDataFrame([(root_id, head.last_event)], "root_id string, event_seq long")
+        write(apply.events(t, g, last) if own.events else spark.createDataFrame([], JOURNAL), "journal")
+
+    def rows() -> None:
+        if not head.base:
+            return _write_base(store, own, folder, after, sizes["e"])
         was = prior.select("root_id", "resource_id", F.struct(*COLUMNS).alias("__was"))
         changed = after.join(was, ["root_id", "resource_id"], "left").filter(~F.struct(*COLUMNS).eqNullSafe(F.col("__was"))).select(*COLUMNS, F.lit(own.number).cast("long").alias("__number"))
         write(changed, "changed")
@@ -357,8 +368,8 @@ def process(store: Store, root_id: str, seq: int, snapshot: dict, entries: DataF
         own.changes, own.change_rows = [*head.changes, f"{folder}/changed"], head.change_rows + n
         if own.change_rows > MERGE_SHARE * head.base_rows:
             _write_base(store, own, folder, store.inventory(own), head.base_rows + own.change_rows)
-    else:
-        _write_base(store, own, folder, after, sizes["e"])
+
+    together(lambda: write(observed(entries, t, own.number, snapshot), "observations"), journal, rows)
     return end(APPLIED)
 
 
