@@ -97,6 +97,7 @@ class Ring:
     budgets: list[int]
     limit: int | None = None
     parts: int = 1
+    ratio: float = 1.0
 
     def value(self, x: np.ndarray, i: int) -> np.ndarray:
         part, shift, width = self.segments[i % len(self.segments)]
@@ -127,11 +128,12 @@ def wide_ring(similarity: float, parts: int = PARTS) -> Ring:
     bits = WIDTH * parts
     chance = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
     limit = int(np.ceil(bits * chance + 4 * np.sqrt(bits * chance * (1 - chance))))
-    return Ring([(p, s, SEGMENT) for p in range(parts) for s in range(0, WIDTH, SEGMENT)], list(range(CHAIN)), limit, parts)
+    return Ring([(p, s, SEGMENT) for p in range(parts) for s in range(0, WIDTH, SEGMENT)], list(range(CHAIN)), limit, parts, similarity)
 
 
-def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring) -> np.ndarray:
+def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring, size: np.ndarray | None = None) -> np.ndarray:
     """Links of a with b, or within a, as pairs of row numbers (b's after a's): a spanning forest. All agree in segment `first`.
+    size: of the sets of both; only pairs of which the smaller is ring.ratio of the larger or more are looked at.
 
     All are compared with a few of their own first, which settles a large group of near copies; only those that
     then aren't in the largest component ask further, each among all.
@@ -140,6 +142,8 @@ def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring) -> np.nd
     side = np.zeros(len(everything), bool)
     side[len(a) :] = True
     tree = np.arange(len(everything))
+    size = np.zeros(len(everything), np.int64) if size is None else size.astype(np.int64)
+    least, most = np.floor(size * ring.ratio).astype(np.int64), np.ceil(size / ring.ratio).astype(np.int64)
 
     def settle(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal tree
@@ -149,22 +153,24 @@ def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring) -> np.nd
     for _ in range(3 if len(everything) > 64 else 0):
         largest = np.bincount(tree).argmax()
         for k in {0, int(np.flatnonzero(tree == largest)[-1]), len(a) - 1}:
-            other = np.flatnonzero((tree != tree[k]) & ((side != side[k]) if b is not None else True))
+            other = np.flatnonzero((tree != tree[k]) & (size >= least[k]) & (size <= most[k]) & ((side != side[k]) if b is not None else True))
             settle(np.full(len(other), k)[(ok := ring.near(everything[other], np.broadcast_to(everything[k], (len(other), everything.shape[1])), first))], other[ok])
     ask = np.flatnonzero(tree != np.bincount(tree).argmax())
     second = ring.value(everything, first + 1).astype(np.int64)
     width = ring.segments[(first + 1) % len(ring.segments)][2]
     flips = [0, *(1 << k for k in range(width))] if len(ring.budgets) > 1 and ring.budgets[1] >= 1 else [0]
     for asks, pool in [(ask, np.arange(len(everything)))] if b is None else [(ask[~side[ask]], np.flatnonzero(side)), (ask[side[ask]], np.flatnonzero(~side))]:
-        pool = pool[np.argsort(second[pool], kind="stable")]
-        keys = second[pool]
+        place = second << 40 | size  # by second segment, then by size
+        pool = pool[np.argsort(place[pool], kind="stable")]
+        keys = place[pool]
         for flip in flips:
-            lo, hi = np.searchsorted(keys, second[asks] ^ flip, "left"), np.searchsorted(keys, second[asks] ^ flip, "right")
-            size = hi - lo
-            at, ends = 0, np.cumsum(size)
+            near = (second[asks] ^ flip) << 40
+            lo, hi = np.searchsorted(keys, near | least[asks], "left"), np.searchsorted(keys, near | most[asks], "right")
+            many = hi - lo
+            at, ends = 0, np.cumsum(many)
             while at < len(asks):  # bounded runs of candidates
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
-                n = size[at:stop]
+                n = many[at:stop]
                 i = np.repeat(asks[at:stop], n)
                 j = pool[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
                 differ = tree[i] != tree[j]  # links inside a known component add nothing
@@ -176,17 +182,18 @@ def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring) -> np.nd
     return np.stack([used, tree[used]])
 
 
-def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: list[str] | None = None, tile: int | None = None) -> DataFrame:
+def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: list[str] | None = None, size: str | None = None, tile: int | None = None) -> DataFrame:
     """(src, dst) links that connect exactly the nodes joined by chains of links within the ring's budgets and limit.
 
     prints: a node (long) for each distinct fingerprint, and its parts as long columns; without `parts` the node is its own
-    only part. Complete for narrow rings: by the pigeonring principle no linked pair lacks a chain.
+    only part. size: a column with the sizes of the sets, by which pairs are cut down. Complete for narrow rings: by the
+    pigeonring principle no linked pair lacks a chain.
     """
     tile = tile or TILE
-    cols = [f"fp{i}" for i in range(ring.parts)] if parts else []
+    cols = [f"fp{i}" for i in range(ring.parts)] + ["size"] * bool(size) if parts else []
     part = lambda p: F.col(f"fp{p}") if parts else F.col("node")
     value = lambda p, s, w: F.shiftrightunsigned(part(p), s).bitwiseAND(F.lit((1 << w) - 1)).cast("int")
-    own = prints.select(F.col(node).alias("node"), *[F.col(c).alias(f"fp{i}") for i, c in enumerate(parts or [])])
+    own = prints.select(F.col(node).alias("node"), *[F.col(c).alias(n) for n, c in zip(cols, [*(parts or []), size], strict=False)])
     m = len(ring.segments)
     rows = own.select("node", *cols, F.posexplode(F.array(*[value(*x) for x in ring.segments])).alias("seg", "key"))
     # a row for each value of each segment at most: a bounded table
@@ -216,13 +223,14 @@ def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: lis
         seg, _, _, p, q = key
         node = np.concatenate([np.asarray(h.column(6)) for h in held])
         fp = np.stack([np.concatenate([np.asarray(h.column(c)) for h in held]).view(np.uint64) for c in (range(7, 7 + ring.parts) if cols else [6])], axis=1)
+        sizes = np.concatenate([np.asarray(h.column(7 + ring.parts)) for h in held]) if size else None
         if p == q:
-            return node[_links(fp, None, seg, ring)]
+            return node[_links(fp, None, seg, ring, sizes)]
         tile = np.concatenate([np.asarray(h.column(5)) for h in held])
         left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
         if not len(left) or not len(right):
             return np.empty((2, 0), np.int64)
-        return np.concatenate([node[left], node[right]])[_links(fp[left], fp[right], seg, ring)]
+        return np.concatenate([node[left], node[right]])[_links(fp[left], fp[right], seg, ring, None if sizes is None else sizes[np.concatenate([left, right])])]
 
     by = ["seg", "key", "sub", "p", "q"]
     return dealt.repartition(C.parts(prints.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key(batches, 5, solve), "src long, dst long")
@@ -335,18 +343,18 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
     """(rows, sets): stored rows with `keep`, __id, __row and __node; for each distinct set of shingles its __node, __root,
     the number of its rows as `copies`, and `least`, the first of them as a struct by id."""
     fps = [f"__fp{i}" for i in range(PARTS)]
-    made = T.StructType([T.StructField("__node", T.LongType()), T.StructField("__bytes", T.LongType()), *[T.StructField(c, T.LongType()) for c in fps]])
+    made = T.StructType([T.StructField("__node", T.LongType()), T.StructField("__bytes", T.LongType()), T.StructField("__size", T.LongType()), *[T.StructField(c, T.LongType()) for c in fps]])
 
     def run(texts: list) -> dict:
         h, size = shingle_sets(texts, shingle)
         fp, end = wide_fingerprints(h, size), np.cumsum(size)
         node = np.array([xxhash.xxh3_64_intdigest(h[e - n : e].tobytes()) for e, n in zip(end.tolist(), size.tolist(), strict=True)], np.uint64)
-        return {"__node": pa.array(node.view(np.int64)), "__bytes": pa.array([len(t or b"") for t in texts], pa.int64())} | {c: pa.array(fp[:, i].copy().view(np.int64)) for i, c in enumerate(fps)}
+        return {"__node": pa.array(node.view(np.int64)), "__bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "__size": pa.array(size, pa.int64())} | {c: pa.array(fp[:, i].copy().view(np.int64)) for i, c in enumerate(fps)}
 
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__words"))
     rows = C.materialise(C.append(src, "__words", run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
-    distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
-    loose = connected_components(C.materialise(link_forest(distinct, wide_ring(similarity), "__node", fps, WIDE_TILE), "wide-links"))
+    distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), F.first("__size").alias("__size"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
+    loose = connected_components(C.materialise(link_forest(distinct, wide_ring(similarity), "__node", fps, "__size", WIDE_TILE), "wide-links"))
     members = distinct.select(F.col("__node").alias("node"), F.col("least.__row").alias("__row"), "__bytes", *fps).join(loose, "node")
     tiles = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(SET_TILE), F.sum("__bytes") / F.lit(SET_BYTES))).cast("int").alias("tiles"))
     placed = members.join(tiles, "root").select("__row", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int").alias("tile"), *fps)
