@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import controls, cycle, work
-from ledgerline.plans.fixtures import NOW, fixture, with_sql
+from ledgerline.operators import controls, coordinator, cycle, diagnose, identity, latest, work
+from ledgerline.plans import kernel_sql
+from ledgerline.plans.controls import _ENTRY, _HEAD, _ORDER, _hex
+from ledgerline.plans.fixtures import MINUTE, NOW, fixture, with_sql
+from ledgerline.plans.ingest import SOUND
+from ledgerline.plans.kernel import HORIZON
+from ledgerline.plans.reads import _JOURNAL, journal
 from ledgerline.plans.works import _watches
 from ledgerline.sources import listings
 
@@ -116,3 +121,51 @@ def x1_create_roots(spark, d):
     new = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("root"), "c_custkey").alias("root_id"), C("c_custkey").alias("created_at"))
     old = new.filter("created_at % 3 = 0").select("root_id", "created_at", F.lit(0).cast("long").alias("generation"), F.lit("ACTIVE").alias("lifecycle"))
     return controls.create_roots(old, new.unionByName(new))
+
+
+_OLD = NOW - 10 * MINUTE
+
+
+@check(
+    with_sql("inv_watch")
+    + f""", w AS (SELECT concat(root_id, scope) AS root_id, watch_state IN ('DISABLED', 'COLD') AS off, greatest(next_due, coalesce(deferred_until, next_due)) AS due, failures, last_error FROM inv_watch)
+SELECT root_id, 'WATCH_DISABLED' AS code, 'WARN' AS status FROM w WHERE off UNION ALL SELECT root_id, 'WATCH_LAG', 'WARN' FROM w WHERE NOT off AND due < {_OLD} UNION ALL SELECT root_id, 'WATCH_DUE', 'OK' FROM w WHERE NOT off AND due BETWEEN {_OLD} AND {NOW} UNION ALL SELECT root_id, 'WATCH_SCHEDULED', 'OK' FROM w WHERE NOT off AND due > {NOW}
+UNION ALL SELECT root_id, 'WATCH_FAILURE', 'WARN' FROM w WHERE NOT off AND failures > 0 UNION ALL SELECT root_id, 'SOURCE_UNAVAILABLE', 'WARN' FROM w WHERE NOT off AND failures > 0 AND last_error = 'THROTTLED'"""
+)
+def k22_watch_checks(spark, d):
+    return diagnose.watch_checks(fixture(spark, d, "inv_watch").withColumn("root_id", F.concat("root_id", "scope")), F.lit(NOW), 10 * MINUTE)
+
+
+@check(
+    _JOURNAL
+    + """, j AS (SELECT root_id, event_seq, event_type, resource_id, event_seq // 4 AS generation FROM journal WHERE NOT (root_id LIKE '%5' AND event_seq = 2)),
+e AS (SELECT root_id, resource_id, arg_max(CASE WHEN event_type = 'resource-removed' THEN 'REMOVED' ELSE 'PRESENT' END, event_seq) AS terminal FROM j WHERE event_type LIKE 'resource-%' GROUP BY 1, 2),
+inv AS (SELECT root_id, resource_id, concat('/', right(resource_id, 1)) AS path, CASE WHEN root_id LIKE '%8' THEN 'PRESENT' ELSE terminal END AS presence, terminal FROM e),
+r AS (SELECT DISTINCT root_id, 3 AS generation FROM j),
+dup AS (SELECT DISTINCT root_id FROM (SELECT root_id, path FROM inv WHERE presence = 'PRESENT' GROUP BY 1, 2 HAVING count(*) > 1)),
+bad AS (SELECT root_id FROM inv WHERE presence <> terminal UNION SELECT root_id FROM (SELECT root_id, event_seq - coalesce(lag(event_seq) OVER (PARTITION BY root_id ORDER BY event_seq), 0) AS step FROM j) WHERE step <> 1 UNION SELECT root_id FROM j WHERE generation > 3)
+SELECT root_id, CASE WHEN root_id IN (SELECT root_id FROM dup) THEN 'IDENTITY_AMBIGUITY' ELSE 'IDENTITY_CHECK' END AS code, CASE WHEN root_id IN (SELECT root_id FROM dup) THEN 'WARN' ELSE 'OK' END AS status FROM r
+UNION ALL SELECT root_id, CASE WHEN root_id IN (SELECT root_id FROM bad) THEN 'CANONICAL_JOURNAL_MISMATCH' ELSE 'BOUNDED_CONSISTENCY' END, CASE WHEN root_id IN (SELECT root_id FROM bad) THEN 'ERROR' ELSE 'OK' END FROM r"""
+)
+def k22_inventory_checks(spark, d):
+    j = journal(spark, d).filter(~(C("root_id").endswith("5") & (C("event_seq") == 2))).withColumn("generation", F.floor(C("event_seq") / 4))
+    inv = latest.terminal_presence(j).select("root_id", "resource_id", F.concat(F.lit("/"), F.substring("resource_id", -1, 1)).alias("path"), F.when(C("root_id").endswith("8"), "PRESENT").otherwise(C("terminal")).alias("presence"))
+    return diagnose.inventory_checks(inv, j, j.select("root_id", F.lit(3).alias("generation")).distinct())
+
+
+_FACTS = SOUND | {"snapshot_id": "s1", "observed_at": NOW}
+_TOLD = " || ".join(_hex(f"'{_FACTS[k] if _FACTS.get(k) is not None else ''}'") for k in coordinator.FACTS)
+
+
+@check(
+    kernel_sql.SQL["k11_removal_context"].replace(" SELECT root_id, sha256(string_agg(line", " , ctx AS (SELECT root_id, sha256(string_agg(line")
+    + f"""), n AS (SELECT (SELECT count(*) FROM inv_prior WHERE root_id = 'root0' AND presence = 'PRESENT') AS p, (SELECT count(*) FROM inv_entries WHERE root_id = 'root0') AS e),
+a AS (SELECT CASE WHEN p > 0 AND p > e AND (p - e) / p >= 0.5 THEN 'SUSPICIOUS' ELSE 'COMPLETE' END AS acceptance FROM n),
+c AS (SELECT coalesce(max(context), '') AS context FROM ctx WHERE root_id = 'root0')
+SELECT 'root0' AS root_id, acceptance, sha256(unhex((SELECT {_HEAD} || string_agg({_ENTRY}, '' ORDER BY {_ORDER}) FROM inv_entries WHERE root_id = 'root0') || {_hex("'evidence'")} || {_TOLD} || {_hex('acceptance')} || {_hex('context')})) AS identity FROM a, c"""
+)
+def k1_evaluate(spark, d):
+    """One root's snapshot: how far it is trusted, and its identity. One root is what a snapshot is of."""
+    prior, entries = (fixture(spark, d, f"inv_{x}").filter("root_id = 'root0'") for x in ("prior", "entries"))
+    told = coordinator.evaluate(prior, entries, _FACTS, identity.resolve(prior, entries, F.lit(NOW), HORIZON))
+    return spark.createDataFrame([("root0", *told)], "root_id string, acceptance string, identity string")
