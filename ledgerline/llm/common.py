@@ -234,12 +234,20 @@ def add_arrays(rows: DataFrame, salts: int = 64) -> dict[int, np.ndarray]:
     return {p: unsqueeze(x)[0] for p, x in zip(done.column("part").to_pylist(), done.column("blob").to_pylist(), strict=True)}
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def word_ids(texts: list[bytes], split: Callable[[bytes], list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(id of each word in order, distinct words, number of words of each text)."""
-    seen: dict[bytes, int] = {}
+    seen = _Numbers()
     ids, counts = [], np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
         w = split(t)
         counts[i] = len(w)
-        ids.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
+        ids.append(np.fromiter(map(seen.__getitem__, w), np.int32, len(w)))
     return (np.concatenate(ids) if ids else np.empty(0, np.int32)), list(seen), counts

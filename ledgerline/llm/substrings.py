@@ -93,8 +93,9 @@ class Block:
         # the first occurrence in this block of each distinct window, by (id, start); that is their order unless ids repeat
         idv = self.ids_of_docs()
         rel = self.at - self.start[self.doc]
-        place = (self.at,) if (np.diff(idv) != 0).all() else (rel, idv[self.doc])
-        order = np.lexsort((*place, self.h[1], self.h[0]))
+        order = np.argsort(self.h[0], kind="stable") if (np.diff(idv) != 0).all() else None
+        if order is None or self._mixed(order):
+            order = np.lexsort((rel, idv[self.doc], self.h[1], self.h[0]))
         a, b = self.h[0][order], self.h[1][order]
         head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(order) else np.empty(0, bool)
         self.first = order[head]
@@ -107,20 +108,30 @@ class Block:
         self.twin, self.twin_of = self.later[same], lead_of_later[same]
         self.later = self.later[~same]
 
+    def _mixed(self, order: np.ndarray) -> bool:
+        """Whether some windows agree in the first fingerprint alone."""
+        a, b = self.h[0][order], self.h[1][order]
+        return bool(((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any())
+
     def ids_of_docs(self) -> np.ndarray:
         """Null ids rank first, as the smallest long."""
         return np.asarray(pc.fill_null(self.docs.column("__id"), -(2**63)).combine_chunks()).astype(np.int64)
 
-    def cells(self, row: int, width: int) -> np.ndarray:
-        return (self.h[row][self.first] >> np.uint64(3)) & np.uint64(width - 1)
+    def cells(self, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct cells in order, which of them each window of `first` falls in): the top bits of a fingerprint. `first` is
+        in order of the first one."""
+        cells = self.h[row][self.first] >> np.uint64(64 - width.bit_length() + 1) if width > 1 else np.zeros(len(self.first), np.uint64)
+        if row:
+            return np.unique(cells, return_inverse=True)
+        new = np.r_[True, cells[1:] != cells[:-1]] if len(cells) else np.empty(0, bool)
+        return cells[new], np.cumsum(new) - 1
 
     def estimated_repeated(self, bits: dict[tuple[int, int], list], width: int) -> np.ndarray:
         """Positions in `first` of the windows whose estimate is two or more. bits: by row and slice, what the run was told
         and how much of it earlier blocks have used."""
         ok = np.ones(len(self.first), bool)
         for row in range(ROWS):
-            cells = self.cells(row, width)
-            distinct, at = np.unique(cells, return_inverse=True)
+            distinct, at = self.cells(row, width)
             flag = np.zeros(len(distinct), bool)
             for s, lo, hi in _runs(distinct // np.uint64(self.part)):
                 told = bits[row, s]
@@ -208,8 +219,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for _, docs_here in C.blocks_of(rows, inner):
                 b = Block(docs_here, window, part)
                 for row in range(ROWS):
-                    cells = b.cells(row, width)
-                    distinct, at = np.unique(cells, return_inverse=True)
+                    distinct, at = b.cells(row, width)
                     several = np.bincount(at, weights=b.times, minlength=len(distinct)) > 1
                     for s, lo, hi in _runs(distinct // np.uint64(part)):
                         own = (distinct[lo:hi] - np.uint64(s * part)).astype(np.uint32)
