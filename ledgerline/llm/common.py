@@ -41,15 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._ledgerline_dir
 
 
+#: Tables made inside the `stage_output` calls that are running.
+_made: list[list[str]] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    for held in _made:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_output(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make returns, materialised; the tables that it took on the way are deleted then."""
+    held: list[str] = []
+    _made.append(held)
+    try:
+        out = make()
+        held_before = list(held)
+        stored = materialise(out, tag)
+    finally:
+        _made.pop()
+    for path in held_before:
+        _delete(spark, path)
+    return stored
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

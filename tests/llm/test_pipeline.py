@@ -147,5 +147,16 @@ def test_stages_on_messy_tables(spark, data):
             assert name == "packing" or out.columns == P.COLUMNS
 
 
+def test_tables_of_a_stage_go(spark):
+    """Only what a stage returns is left of it."""
+    import os
+
+    from ledgerline.llm import common as C
+
+    before = set(os.listdir(C.shared_dir(spark)))
+    out = C.stage_output(spark, lambda: C.materialise(C.materialise(spark.range(5), "one").filter("id > 1"), "two").filter("id > 2"), "three")
+    assert [r[0] for r in out.orderBy("id").collect()] == [3, 4] and {n.split("-")[0] for n in set(os.listdir(C.shared_dir(spark))) - before} == {"three"}
+
+
 def test_run_is_the_stages(spark, data, stages):
     assert sorted(map(repr, P.run(spark, data).collect())) == sorted(map(repr, stages[-1][1].collect()))
