@@ -182,11 +182,12 @@ def _links(a: np.ndarray, b: np.ndarray | None, first: int, ring: Ring, size: np
     return np.stack([used, tree[used]])
 
 
-def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: list[str] | None = None, size: str | None = None, tile: int | None = None) -> DataFrame:
+def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: list[str] | None = None, size: str | None = None, tile: int | None = None, rows_bytes: int = 0) -> DataFrame:
     """(src, dst) links that connect exactly the nodes joined by chains of links within the ring's budgets and limit.
 
     prints: a node (long) for each distinct fingerprint, and its parts as long columns; without `parts` the node is its own
-    only part. size: a column with the sizes of the sets, by which pairs are cut down. Complete for narrow rings: by the
+    only part. size: a column with the sizes of the sets, by which pairs are cut down. rows_bytes: about what is dealt, which
+    the number of tasks follows. Complete for narrow rings: by the
     pigeonring principle no linked pair lacks a chain.
     """
     tile = tile or TILE
@@ -233,7 +234,7 @@ def link_forest(prints: DataFrame, ring: Ring, node: str = "simhash", parts: lis
         return np.concatenate([node[left], node[right]])[_links(fp[left], fp[right], seg, ring, None if sizes is None else sizes[np.concatenate([left, right])])]
 
     by = ["seg", "key", "sub", "p", "q"]
-    return dealt.repartition(C.parts(prints.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key(batches, 5, solve), "src long, dst long")
+    return dealt.repartition(C.parts(prints.sparkSession, rows_bytes), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key(batches, 5, solve), "src long, dst long")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], width: int, solve) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     prints = C.materialise(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`")), text_col, shingle, seed, [id_col]), "simhash")
     distinct = C.materialise(prints.groupBy("simhash").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")), "simhash-distinct")
     total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    roots = connected_components(C.materialise(link_forest(distinct.select("simhash"), narrow_ring(distance)), "simhash-links"))
+    roots = connected_components(C.materialise(link_forest(distinct.select("simhash"), narrow_ring(distance), rows_bytes=32 * (distance + 1) * total), "simhash-links"))
     grouped = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select("simhash", "first", "copies", F.coalesce("root", "simhash").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("simhash", "copies", "component_id")
     return C.join_hot(prints, named, ["simhash"], total).select(id_col, "simhash", "component_id")
@@ -354,7 +355,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__words"))
     rows = C.materialise(C.append(src, "__words", run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
     distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), F.first("__size").alias("__size"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
-    loose = connected_components(C.materialise(link_forest(distinct, wide_ring(similarity), "__node", fps, "__size", WIDE_TILE), "wide-links"))
+    ring = wide_ring(similarity)
+    n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
+    loose = connected_components(C.materialise(link_forest(distinct, ring, "__node", fps, "__size", WIDE_TILE, len(ring.segments) * 8 * (PARTS + 4) * n), "wide-links"))
     members = distinct.select(F.col("__node").alias("node"), F.col("least.__row").alias("__row"), "__bytes", *fps).join(loose, "node")
     tiles = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(SET_TILE), F.sum("__bytes") / F.lit(SET_BYTES))).cast("int").alias("tiles"))
     placed = members.join(tiles, "root").select("__row", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int").alias("tile"), *fps)
@@ -373,7 +376,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
         return node[both][_same_sets([text[i] for i in left], [text[i] for i in right] if q != p else None, seen[both], shingle, similarity)]
 
     by = ["root", "p", "q"]
-    links = dealt.repartition(C.parts(docs.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key((y for x in batches for y in C.slices(x, 2 << 20)), 3, solve), "src long, dst long")
+    links = dealt.repartition(C.parts(docs.sparkSession, total), *by).sortWithinPartitions(*by).mapInArrow(lambda batches: _by_key((y for x in batches for y in C.slices(x, 2 << 20)), 3, solve), "src long, dst long")
     roots = connected_components(C.materialise(links, "similar-links"))
     return rows, distinct.join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left").select("__node", "least", "copies", F.coalesce("root", "__node").alias("__root"))
 
