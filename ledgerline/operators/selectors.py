@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.paths import depth, parent_scope, under_base
 from ledgerline.functions.values import blank, priority_rank
+from ledgerline.operators.ordered import stored
 
 
 def of_active(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -144,5 +145,5 @@ def maintenance_page(bindings: DataFrame, watches: DataFrame, cursor: tuple[str,
 
 def bounded_sample(rows: DataFrame, limit: int, *order: str) -> tuple[DataFrame, bool]:
     """The first `limit` rows, and whether these are all."""
-    more = rows.orderBy(*order).limit(limit + 1)
+    more = stored(rows.orderBy(*order).limit(limit + 1), "sample")  # limit + 1 rows, read twice
     return more.orderBy(*order).limit(limit), more.count() <= limit

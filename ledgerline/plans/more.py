@@ -213,9 +213,10 @@ def l12_claim_order(spark, d):
     return numbered(fixture(spark, d, "inv_work").filter("work_state = 'IN_FLIGHT'"), "root_id", "started", "scope", "tie", name="place").select("root_id", "scope", "tie", "place")
 
 
-@check(with_sql("inv_work") + " SELECT * FROM inv_work WHERE root_id = 'root7' ORDER BY scope, tie LIMIT 12")
+@check(with_sql("inv_work") + " SELECT *, (SELECT count(*) <= 12 FROM inv_work WHERE root_id = 'root7') AS whole FROM inv_work WHERE root_id = 'root7' ORDER BY scope, tie LIMIT 12")
 def l14_bounded_sample(spark, d):
-    return selectors.bounded_sample(fixture(spark, d, "inv_work").filter("root_id = 'root7'"), 12, "scope", "tie")[0]
+    rows, whole = selectors.bounded_sample(fixture(spark, d, "inv_work").filter("root_id = 'root7'"), 12, "scope", "tie")
+    return rows.withColumn("whole", F.lit(whole))
 
 
 @check("SELECT event_id, user_id % 50 + 1 AS share, 100 * 8 * 100 / (user_id % 50 + 1)::DOUBLE AS spacing_ms FROM events")
