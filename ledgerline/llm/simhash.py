@@ -352,8 +352,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
         node = np.array([xxhash.xxh3_64_intdigest(h[e - n : e].tobytes()) for e, n in zip(end.tolist(), size.tolist(), strict=True)], np.uint64)
         return {"__node": pa.array(node.view(np.int64)), "__bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "__size": pa.array(size, pa.int64())} | {c: pa.array(fp[:, i].copy().view(np.int64)) for i, c in enumerate(fps)}
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__words"))
-    rows = C.materialise(C.append(src, "__words", run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
+    held = text_col in keep  # then the text is stored already
+    text = text_col if held else "__words"
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.monotonically_increasing_id().alias("__row"), *([] if held else [F.col(f"`{text_col}`").cast("string").alias(text)]))
+    rows = C.materialise(C.append(src, text, run, made, src.columns), "wide-simhash")  # stored, so that row numbers stay
     distinct = C.materialise(rows.groupBy("__node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("least"), F.min("__bytes").alias("__bytes"), F.first("__size").alias("__size"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fps]), "wide-distinct")
     ring = wide_ring(similarity)
     n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
@@ -362,7 +364,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, keep: list[str], shing
     tiles = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(SET_TILE), F.sum("__bytes") / F.lit(SET_BYTES))).cast("int").alias("tiles"))
     placed = members.join(tiles, "root").select("__row", "node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int").alias("tile"), *fps)
     # one text stands for all that share its set, found by its row number: no group of copies meets in a join
-    texts = rows.select("__row", F.col("__words").cast("binary").alias("text")).join(C.materialise(placed, "loose"), "__row")
+    texts = rows.select("__row", F.col(f"`{text}`").cast("string").cast("binary").alias("text")).join(C.materialise(placed, "loose"), "__row")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", *fps, "text")
 
     def solve(key: tuple, held: list[pa.RecordBatch]) -> np.ndarray:
