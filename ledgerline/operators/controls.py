@@ -77,12 +77,12 @@ def dependencies(inventory: DataFrame, entries: DataFrame) -> DataFrame:
     return own("path").union(below).union(above).union(own("hash")).union(own("size")).union(own("provider_id")).union(evident).distinct()
 
 
-def coverage_ok(listings: DataFrame, now: Column, most: int = 10_000) -> DataFrame:
+def coverage_ok(listings: DataFrame, now: Column, most: int | None = 10_000) -> DataFrame:
     """Per listing of one directory whether it proves full coverage of its direct children.
 
     listings: root_id, scope, generation, current_generation, declared, traversal, freshness, observed_at, and one row per
-    name. Generation as now, declared count met, names unique, at most `most`, observed from two minutes ago to thirty
-    seconds ahead, traversal PARTIAL and freshly refreshed.
+    name. Generation as now, declared count met, names unique, at most `most` (None: however many), observed from two
+    minutes ago to thirty seconds ahead, traversal PARTIAL and freshly refreshed.
     """
     c = F.col
     g = listings.groupBy("root_id", "scope").agg(
@@ -90,7 +90,7 @@ def coverage_ok(listings: DataFrame, now: Column, most: int = 10_000) -> DataFra
         F.max("traversal").alias("traversal"), F.max("freshness").alias("freshness"), F.max("observed_at").alias("observed_at"), F.bool_or(c("name").contains("/") | c("name").isin("", ".", "..")).alias("bad_name"),
     )
     ok = (
-        (c("n") == c("declared")) & (c("n") == c("distinct_names")) & (c("n") <= most) & (c("generation") == c("current_generation")) & (c("traversal") == "PARTIAL") & (c("freshness") == "FRESH_REFRESHED")
+        (c("n") == c("declared")) & (c("n") == c("distinct_names")) & (F.lit(True) if most is None else c("n") <= most) & (c("generation") == c("current_generation")) & (c("traversal") == "PARTIAL") & (c("freshness") == "FRESH_REFRESHED")
         & (c("observed_at") >= now - 120_000_000) & (c("observed_at") <= now + 30_000_000) & ~F.coalesce("bad_name", F.lit(False))
     )
     return g.select("root_id", "scope", "n", F.coalesce(ok, F.lit(False)).alias("covered"))

@@ -251,3 +251,12 @@ def test_topology_and_lifecycles(spark):
     m = spark.createDataFrame([("a", "/x", "s3"), ("a", "/x/y", "s3"), ("b", "/x", "s3"), ("b", "/xy", "s3"), ("c", "/x", "ftp"), ("d", "/x", "s3"), ("d", "/x", "s3")], "root_id string, mount string, driver string")
     assert {r["root_id"]: r["refused"] for r in controls.topology_digest(m, ["s3"]).collect()} == {"a": True, "b": False, "c": True, "d": True}
     assert one(spark, controls.valid_step(F.lit("NEW"), F.lit("ACTIVE"))) and not one(spark, controls.valid_step(F.lit("DELETED"), F.lit("ACTIVE")))
+
+
+def test_coverage_bound(spark):
+    """10 000 names at most, unless the caller sets another bound or none."""
+    rows = spark.range(10_001).selectExpr("'r' root_id", "if(id < 10000, '/a', '/b') scope", "1 generation", "1 current_generation", "cast(id as string) name", "if(id < 10000, 10000, 1) declared", "'PARTIAL' traversal", "'FRESH_REFRESHED' freshness", "0L observed_at")
+    more = rows.withColumns({"scope": F.lit("/a"), "declared": F.lit(10_001)})
+    covered = lambda df, **kw: {r["scope"]: r["covered"] for r in controls.coverage_ok(df, F.lit(0), **kw).collect()}
+    assert covered(rows) == {"/a": True, "/b": True} and covered(rows, most=9999) == {"/a": False, "/b": True}
+    assert covered(more) == {"/a": False} and covered(more, most=None) == {"/a": True}

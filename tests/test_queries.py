@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -43,6 +44,19 @@ def test_same_as_sql(spark, duck, data, name):
     assert x == y
 
 
+def test_large_directories_are_covered_as_in_sql(spark, tmp_path):
+    """A directory of more than 10 000 names, the operator's bound, which the SQL does not have."""
+    n = 10_100
+    ids = [i // 10 * 100 + (2, 3, 4, 6, 7, 8, 12, 13, 14, 18)[i % 10] for i in range(n)]
+    table = {"doc_id": pa.array(ids, pa.int64()), "text": ["t"] * n, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": pa.array([1] * n, pa.int64())}
+    pq.write_table(pa.table(table), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got = rows(entry.queries()["p19_directory_coverage"](spark, str(tmp_path)).toArrow())
+    assert got == rows(c.execute(entry.oracle_sql()["p19_directory_coverage"]).to_arrow_table())
+    assert got == (["covered", "n", "root_id", "scope"], [(True, n, "root0", "/en")])
+
+
 def test_a_microsecond_is_seen():
     at = [1709999603000000, None]
     one, other = (pa.table({"t": pa.array([at[0] + k, at[1]], pa.int64())}) for k in (0, 1))
