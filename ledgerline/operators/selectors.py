@@ -44,13 +44,13 @@ def due_retries(work: DataFrame, roots: DataFrame, watches: DataFrame, adapters:
     """Retries whose wait is over: provider errors, and few INTERNAL ones of a mirrored root with credentials.
 
     adapters: root_id, kind, mirror, token, username, password (the names of settings). The two policy tests sit under an
-    OR, so they are flags of left joins, not semi joins.
+    OR, so they are flags of left joins, not semi joins. Where rows repeat a root and scope, the other columns order them.
     """
     policy = watches.filter(F.col("watch_state").isin("HOT", "WARM") & (F.col("cadence") == "SOURCE_MIRROR") & F.array_contains("source_set", "OPERATOR_POLICY")).select("root_id", "scope").distinct().withColumn("has_watch", F.lit(True))
     able = adapters.filter(F.col("kind").isin("alist", "openlist") & F.coalesce("mirror", F.lit(False)) & ((blank(F.col("token")) != "") | ((blank(F.col("username")) != "") & (blank(F.col("password")) != "")))).select("root_id").distinct().withColumn("has_adapter", F.lit(True))
     rows = of_active(work.filter("work_state = 'RETRY_WAIT'").filter(F.col("not_before") <= now), roots).join(policy, ["root_id", "scope"], "left").join(able, "root_id", "left")
     few = (F.col("error_class") == "INTERNAL") & (F.col("scope") == "/") & F.col("failures").between(1, 2) & F.coalesce("has_watch", F.lit(False)) & F.coalesce("has_adapter", F.lit(False))
-    return rows.filter(F.col("error_class").isin("TRANSIENT_PROVIDER", "THROTTLED") | few).drop("has_watch", "has_adapter").orderBy("not_before", "root_id", "scope").limit(limit)
+    return rows.filter(F.col("error_class").isin("TRANSIENT_PROVIDER", "THROTTLED") | few).drop("has_watch", "has_adapter").orderBy(*dict.fromkeys(["not_before", "root_id", "scope", *work.columns])).limit(limit)
 
 
 def managed() -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import paths, values
-from ledgerline.operators import controls, coordinator, reader, reconcile, work
+from ledgerline.operators import controls, coordinator, reader, reconcile, selectors, work
 from ledgerline.sources import listings
 from ledgerline.streaming import signals
 from tests.test_kernel import ENTRY, H, NOW, entry
@@ -260,3 +260,13 @@ def test_coverage_bound(spark):
     covered = lambda df, **kw: {r["scope"]: r["covered"] for r in controls.coverage_ok(df, F.lit(0), **kw).collect()}
     assert covered(rows) == {"/a": True, "/b": True} and covered(rows, most=9999) == {"/a": False, "/b": True}
     assert covered(more) == {"/a": False} and covered(more, most=None) == {"/a": True}
+
+
+def test_due_retries_that_tie(spark):
+    """Rows that repeat a root and scope are picked the same, however they lie in partitions."""
+    w = spark.range(60).selectExpr("'r' root_id", "'/' scope", "id tie", "'RETRY_WAIT' work_state", "0L not_before", "'THROTTLED' error_class", "1 failures")
+    r = spark.createDataFrame([("r", "ACTIVE")], "root_id string, lifecycle string")
+    watches = spark.createDataFrame([], "root_id string, scope string, watch_state string, cadence string, source_set array<string>")
+    adapters = spark.createDataFrame([], "root_id string, kind string, mirror boolean, token string, username string, password string")
+    orders = (w.coalesce(1), w.coalesce(1).sortWithinPartitions(F.desc("tie")), w.repartition(7, "tie"))
+    assert [[x["tie"] for x in selectors.due_retries(o, r, watches, adapters, F.lit(0), 5).collect()] for o in orders] == [[0, 1, 2, 3, 4]] * 3
